@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import mixing, simhash
+from halyard.llm import mixing, packing, simhash
+from halyard.llm.tokens import public
 from halyard.session import table
 
 
@@ -17,6 +18,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All documents in sequences of 1024 tokens: a row a piece, its ids as a digest."""
+    found = packing.pieces(docs, public("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
+    digest = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digest, capacity=1024)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents: see ``packing``."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: see ``simhash.groups``."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
@@ -24,7 +37,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op8_simhash": op8_simhash}
+    return {"op2_mixing": op2_mixing, "op6_packing": op6_packing, "op8_simhash": op8_simhash}
 
 
 OP2 = r"""
