@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import mixing, packing, simhash
+from halyard.llm import linededup, mixing, packing, simhash
 from halyard.llm.tokens import public
 from halyard.session import table
 
@@ -36,8 +36,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every line of every document: see ``linededup.classes``."""
+    return linededup.classes(table(spark, sf_dir, "documents"), max_edits=2, per_edit=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op6_packing": op6_packing, "op8_simhash": op8_simhash}
+    return {"op2_mixing": op2_mixing, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_linededup": op9_linededup}
 
 
 OP2 = r"""
