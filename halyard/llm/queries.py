@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import linededup, mixing, packing, simhash
+from halyard.llm import linededup, mixing, packing, quality, simhash
 from halyard.llm.tokens import public
 from halyard.session import table
 
@@ -18,6 +18,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: doc_id, quality_score, keep (1 from 0.5 on). See ``quality``."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs))
+    return found.select("_row.doc_id", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("keep"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """All documents in sequences of 1024 tokens: a row a piece, its ids as a digest."""
     found = packing.pieces(docs, public("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
@@ -42,7 +49,7 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_linededup": op9_linededup}
+    return {"op2_mixing": op2_mixing, "op3_quality": op3_quality, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_linededup": op9_linededup}
 
 
 OP2 = r"""
