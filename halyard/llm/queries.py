@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import linededup, mixing, packing, quality, simhash
+from halyard.llm import langid, linededup, mixing, packing, quality, simhash, toxicity
+from halyard.llm.terms import held_out
 from halyard.llm.tokens import public
 from halyard.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: see ``toxicity``."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: see ``mixing.plan``."""
     plan = mixing.plan(table(spark, sf_dir, "documents"))
@@ -48,8 +56,15 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.classes(table(spark, sf_dir, "documents"), max_edits=2, per_edit=16)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: see ``langid``."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_quality": op3_quality, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_linededup": op9_linededup}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op6_packing, op8_simhash, op9_linededup, op10_langid)}
 
 
 OP2 = r"""
