@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import langid, linededup, mixing, packing, quality, simhash, toxicity
+from halyard.llm import ann, chat, langid, linededup, mixing, packing, quality, simhash, topk, toxicity
 from halyard.llm.terms import held_out
 from halyard.llm.tokens import public
 from halyard.session import table
@@ -33,6 +33,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("keep"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations and conversation -1, read back: see ``chat``."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.windows(rows, public("byte_bpe_50k.tiktoken"), budget=1024, history=2))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products for every 20th vector: see ``topk``."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """All documents in sequences of 1024 tokens: a row a piece, its ids as a digest."""
     found = packing.pieces(docs, public("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
@@ -45,6 +59,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found by cosine for every 50th vector: see ``ann``."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: see ``simhash.groups``."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
@@ -64,7 +84,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op6_packing, op8_simhash, op9_linededup, op10_langid)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_chat, op5_topk, op6_packing, op7_ann, op8_simhash, op9_linededup, op10_langid)}
 
 
 OP2 = r"""
