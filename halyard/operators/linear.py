@@ -2,8 +2,8 @@
 
 The objective is the weighted mean loss plus |W|^2 / (2 C S), S being the sum of
 weights; intercepts are free. Two classes have one weight vector, for the larger
-label; more classes are multinomial. The fit is Spark ML's; a pass over the data
-then measures the gradient of that objective at the result, in original
+label; more classes are multinomial. A table of checked small size is fitted in
+memory, any other by Spark ML; a pass over the data then measures the gradient of that objective at the result, in original
 coordinates, and a warning tells if it is not below ``tol``. If it is not, Newton
 steps on aggregated second derivatives polish two-class fits of few features.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Self
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.functions.vectors import dot, vector
 from halyard.operators.base import Estimator, sorted_labels
+from halyard.plans.nearest import fits
 from halyard.validation import checked, prepared, require_int, require_params, require_positive
 
 #: Features up to which Newton steps are taken.
@@ -81,7 +82,7 @@ class LogisticRegression(Estimator):
         rows = rows.persist()
         try:
             shape = checked(rows)
-            self.n_features_in_, self._features = shape.dimensions, features
+            self._rows, self.n_features_in_, self._features = shape.rows, shape.dimensions, features
             self.classes_ = sorted_labels(rows)
             if len(self.classes_) < 2:
                 raise ValueError(f"This solver needs samples of at least 2 classes in the data, but the data contains only one class: {self.classes_[0]!r}")
@@ -117,22 +118,16 @@ class LogisticRegression(Estimator):
 
     def _solve(self, coded: DataFrame, k: int, total: float) -> None:
         penalty = self._penalty(total)
-        vectors = coded.withColumn("vector", array_to_vector("features")).select("vector", "code", "weight")
-        # Spark ML stops by relative improvement; that is tightened until the gradient itself is small
-        for closeness in (self.tol * 1e-2, self.tol * 1e-4, 1e-10):
-            spark_fit = _SparkLogistic(
-                featuresCol="vector", labelCol="code", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False,
-                family="binomial" if k == 2 else "multinomial", tol=min(closeness, 1e-6), maxIter=self.max_iter, fitIntercept=self.fit_intercept,
-            ).fit(vectors)
-            if k == 2:
-                self.coef_, self.intercept_ = np.array([spark_fit.coefficients.toArray()]), np.array([spark_fit.intercept])
-            else:
-                self.coef_, self.intercept_ = spark_fit.coefficientMatrix.toArray(), spark_fit.interceptVector.toArray()
-            self.n_iter_ = spark_fit.summary.totalIterations
+        outputs, d = 1 if k == 2 else k, self.n_features_in_
+        if fits(self._rows, d + 1):
+            fun = _in_memory(coded, d, outputs, total, penalty, self.fit_intercept)
+            found, self.n_iter_ = minimize(fun, np.zeros(outputs * d + outputs * self.fit_intercept), min(self.tol, 1e-6), self.max_iter)
+            self.coef_ = found[: outputs * d].reshape(outputs, d)
+            self.intercept_ = found[outputs * d :] if self.fit_intercept else np.zeros(outputs)
             value, slope, gradient = _evaluate(coded, self.coef_, self.intercept_, total, penalty, self.fit_intercept)
-            if gradient <= self.tol or self.n_iter_ >= self.max_iter or (k == 2 and self.n_features_in_ <= NEWTON):
-                break
-        backend = "spark_ml"
+            backend = "memory"
+        else:
+            value, slope, gradient, backend = self._solve_distributed(coded, k, total, penalty)
         for _ in range(25):
             if gradient <= min(self.tol, 1e-8) or k > 2 or self.n_features_in_ > NEWTON:
                 break
@@ -147,13 +142,31 @@ class LogisticRegression(Estimator):
                 size /= 2
             else:
                 break
-            self.coef_, self.intercept_, (value, slope, gradient), backend = coef, intercept, new, "spark_ml+newton"
+            self.coef_, self.intercept_, (value, slope, gradient), backend = coef, intercept, new, f"{backend.removesuffix('+newton')}+newton"
             self.n_iter_ += 1
         self.objective_, self.gradient_max_ = value, gradient
-        self._ran("fit", backend, shape=(0, self.n_features_in_))
+        self._ran("fit", backend, shape=(self._rows, self.n_features_in_))
         if gradient > self.tol:
             warnings.warn(f"the largest gradient component is {gradient:.3g}, above tol={self.tol:g}, after {self.n_iter_} iterations", ConvergenceWarning, stacklevel=4)
 
+    def _solve_distributed(self, coded: DataFrame, k: int, total: float, penalty: float) -> tuple[float, np.ndarray, float, str]:
+        vectors = coded.withColumn("vector", array_to_vector("features")).select("vector", "code", "weight")
+        # Spark ML stops by relative improvement; that is tightened until the gradient itself is small
+        for closeness in (self.tol * 1e-2, self.tol * 1e-4, 1e-10):
+            spark_fit = _SparkLogistic(
+                featuresCol="vector", labelCol="code", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False,
+                family="binomial" if k == 2 else "multinomial", tol=min(closeness, 1e-6), maxIter=self.max_iter, fitIntercept=self.fit_intercept,
+            ).fit(vectors)
+            if k == 2:
+                self.coef_, self.intercept_ = np.array([spark_fit.coefficients.toArray()]), np.array([spark_fit.intercept])
+            else:
+                self.coef_, self.intercept_ = spark_fit.coefficientMatrix.toArray(), spark_fit.interceptVector.toArray()
+            self.n_iter_ = spark_fit.summary.totalIterations
+            value, slope, gradient = _evaluate(coded, self.coef_, self.intercept_, total, penalty, self.fit_intercept)
+            if gradient <= self.tol or self.n_iter_ >= self.max_iter or (k == 2 and self.n_features_in_ <= NEWTON):
+                break
+        return value, slope, gradient, "spark_ml"
+
     def objective(self, df: DataFrame, label: str = "label", weight: str | None = None) -> float:
         """The objective at the fitted coefficients on labelled rows."""
         rows = self._coded(df, label, weight)
@@ -212,11 +225,12 @@ class LogisticRegression(Estimator):
         """``df`` with ``probability``: an array in the order of ``classes_``."""
         raw = self._raw(self._x(df))
         if len(raw) == 1:
-            p = 1 / (1 + F.exp(-raw[0]))
-            return self._with(df, "probability", F.array(1 - p, p))
-        top = F.greatest(*raw)
-        e = [F.exp(r - top) for r in raw]
-        return self._with(df, "probability", F.array(*[x / sum(e[1:], e[0]) for x in e]))
+            return df.withColumn("_p", 1 / (1 + F.exp(-raw[0]))).withColumn("probability", F.array(1 - F.col("_p"), F.col("_p"))).drop("_p")
+        # step by step, so that scores are not computed again for every class
+        e = df.withColumn("_raw", F.array(*raw)).withColumn("_top", F.array_max("_raw"))
+        e = e.withColumn("_e", F.transform("_raw", lambda r: F.exp(r - F.col("_top"))))
+        e = e.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda s, v: s + v))
+        return e.withColumn("probability", F.transform("_e", lambda v: v / F.col("_sum"))).drop("_raw", "_top", "_e", "_sum")
 
     def predict_log_proba(self, df: DataFrame) -> DataFrame:
         """``df`` with ``log_probability``."""
@@ -232,6 +246,61 @@ class LogisticRegression(Estimator):
         return self
 
 
+def minimize(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, tol: float, max_iter: int, memory: int = 10) -> tuple[np.ndarray, int]:
+    """Limited-memory BFGS: the point at which no gradient component exceeds ``tol``, or the last one, and the iterations."""
+    value, slope = fun(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for iteration in range(max_iter):
+        if np.abs(slope).max() <= tol:
+            return x, iteration
+        way, shares = -slope, []
+        for s, y, r in reversed(steps):
+            shares.append(r * (s @ way))
+            way = way - shares[-1] * y
+        if steps:
+            s, y, _ = steps[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y, r), share in zip(steps, reversed(shares), strict=True):
+            way = way + s * (share - r * (y @ way))
+        fall = slope @ way
+        if fall >= 0:
+            way, fall, steps = -slope, -(slope @ slope), []
+        size = 1.0 if steps else min(1.0, 1 / np.abs(slope).sum())
+        low, high = 0.0, np.inf
+        for _ in range(40):  # bisection for the weak Wolfe conditions
+            new, bend = fun(x + size * way)
+            if new > value + 1e-4 * size * fall:
+                high = size
+            elif bend @ way < 0.9 * fall:
+                low = size
+            else:
+                break
+            size = (low + high) / 2 if np.isfinite(high) else 2 * size
+        if not new <= value + 1e-12 * abs(value):
+            return x, iteration
+        s, y = size * way, bend - slope
+        if s @ y > 1e-12 * (y @ y):
+            steps = [*steps[-memory + 1 :], (s, y, 1 / (s @ y))]
+        x, value, slope = x + s, new, bend
+    return x, max_iter
+
+
+def _in_memory(coded: DataFrame, d: int, k: int, total: float, penalty: float, free: bool) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The objective and its gradient over rows held on the driver; parameters are weights row by row, then intercepts."""
+    rows = coded.toArrow().combine_chunks()
+    x = np.asarray(rows.column("features").combine_chunks().flatten(), float).reshape(-1, d)
+    y, w = rows.column("code").to_numpy(), rows.column("weight").to_numpy()
+
+    def fun(p: np.ndarray) -> tuple[float, np.ndarray]:
+        coef = p[: k * d].reshape(k, d)
+        z = x @ coef.T + (p[k * d :] if free else 0.0)
+        r = _residuals(z, y) * w[:, None] / total
+        slope = np.concatenate([(r.T @ x + penalty * coef).ravel(), r.sum(0) if free else []])
+        return float(np.sum(w * _losses(z, y)) / total + 0.5 * penalty * np.square(coef).sum()), slope
+
+    return fun
+
+
 def _partials(coded: DataFrame, compute, width: int) -> np.ndarray:
     """The sum over all rows of what ``compute`` (x, y, w) returns for a batch."""
 
