@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm import linededup, mixing, quality, queries, simhash
+from halyard.llm.workers import small_batches
 from halyard.session import checkpoint_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,16 +20,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rates 0.5 or better; the others go."""
+    small_batches(spark)
     return quality.keep_good(docs, threshold=0.5)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of which an equal or nearly equal one came before."""
+    small_batches(spark)
     return linededup.deduplicate(docs, max_edits=2, per_edit=16)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
+    small_batches(spark)
     return simhash.deduplicate(docs, width=4, threshold=4)
 
 
@@ -39,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
+    small_batches(spark)
     return queries.packed(docs)
 
 

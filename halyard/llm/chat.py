@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.tokens import encoder
+from halyard.llm.workers import tidy
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings (fixed values): this template's, and those of other common ones.
@@ -154,7 +155,7 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, histor
             out.append(state.close())
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, window int, first_turn long, repeated int, tokens long, text string, loss array<struct<start:long,end:long>>")
+    return rows.mapInArrow(tidy(run), f"conv_id {kind.simpleString()}, window int, first_turn long, repeated int, tokens long, text string, loss array<struct<start:long,end:long>>")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -191,4 +192,4 @@ def digests(found: DataFrame) -> DataFrame:
     def told(state: list) -> dict:
         return {"conv_id": state[0], "n_turns": state[1], "turns_sha256": state[2].hexdigest(), "loss_chars": state[3], "loss_sha256": state[4].hexdigest(), "formatted_chars": state[5]}
 
-    return found.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return found.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

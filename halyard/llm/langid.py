@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.terms import EDGES, Memo, held_out, sampled
+from halyard.llm.workers import tidy
 
 BITS = 18
 LETTER = re.compile(r"[^\W\d_]")
@@ -40,7 +41,7 @@ UNKNOWN = "und"
 #: Words of one document in a row, and of a whole sequence, in training.
 RUN, SEQUENCE = 12, 60
 #: Words labelled at once, block length, words whose emissions a task remembers.
-WORDS, BLOCK, KNOWN = 400_000, 64, 300_000
+WORDS, BLOCK, KNOWN = 200_000, 64, 200_000
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, sample: int = 4000, words: int = 240, seed: int = 42) -
             short = [" ".join([w for w in t.lower().split() if LETTER.search(w)][:words]) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.string())], ["doc_id", "lang", "text"])
 
-    rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text string").collect()
+    rows = chosen.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text string").collect()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
@@ -264,7 +265,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 share[i] = total.max() / total.sum()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
@@ -279,4 +280,4 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
                 best = [own.languages[j] for j in found.argmax(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([words]), pa.array([best])], ["doc_id", "words", "langs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.graph import components
+from halyard.llm.workers import tidy
 from halyard.session import cut
 
 #: Pairs at one key beyond which the key is split.
@@ -42,7 +43,7 @@ CROWD = 1 << 26
 #: Rows of a part of a split key.
 PART = 1 << 12
 #: Pairs compared at once, characters hashed at once, lines that a task remembers having sent.
-PAIRS, CHARS, SEEN = 1 << 20, 1 << 20, 1 << 19
+PAIRS, CHARS, SEEN = 1 << 19, 1 << 19, 1 << 17
 #: Ids of lines to verify that are broadcast at most; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1 << 19
 
@@ -157,10 +158,15 @@ def keys(lines: list[str], max_edits: int, per_edit: int) -> tuple[np.ndarray, n
     return line[order], key[order], probe[order], parity
 
 
-def identity(line: str) -> tuple[int, int]:
-    """128 bits that stand for a line, as two signed numbers."""
-    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+def identity(line: str) -> bytes:
+    """128 bits that stand for a line."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
+def _halves(ids: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Identities as two columns of signed numbers."""
+    h = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
+    return pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -175,17 +181,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         doc.append(i)
                         number.append(k)
                         ids.append(identity(line))
-            h = np.array(ids, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "line_no", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), *_halves(ids)], ["doc_id", "line_no", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, h1 long, h2 long")
 
 
 def _distinct_lines(docs: DataFrame, max_edits: int, per_edit: int, texts: bool) -> DataFrame:
     """Lines long enough for an edit, hardly repeated within a task: h1, h2, and the text, or keys and sketch."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-        seen: set[tuple[int, int]] = set()
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+        seen: set[bytes] = set()
         some, ids, held = [], [], 0
         for batch in batches:
             for text in batch.column(0):
@@ -208,8 +213,7 @@ def _distinct_lines(docs: DataFrame, max_edits: int, per_edit: int, texts: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, ids in lines(batches):
-            h = np.array(ids, np.int64)
-            own = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
+            own = _halves(ids)
             if texts:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(some, pa.string())], ["h1", "h2", "line"])
                 continue
@@ -220,7 +224,7 @@ def _distinct_lines(docs: DataFrame, max_edits: int, per_edit: int, texts: bool)
             yield pa.RecordBatch.from_arrays([*own, pa.array(parity.view(np.int64)), pa.ListArray.from_arrays(pa.array(first), pa.array(signed))], ["h1", "h2", "sketch", "keys"])
 
     kind = "h1 long, h2 long, line string" if texts else "h1 long, h2 long, sketch long, keys array<long>"
-    return docs.select("text").mapInArrow(run, kind)
+    return docs.select("text").mapInArrow(tidy(run), kind)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,13 +302,13 @@ def _meeting(dealt: DataFrame, flips: int, crowd: float) -> DataFrame:
             columns = [[pa.array(u), none(len(many))], [pa.array(v), none(len(many))], [none(len(u)), pa.array(many)]]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "crowded"])
 
-    return dealt.mapInArrow(run, "u long, v long, crowded long")
+    return dealt.mapInArrow(tidy(run), "u long, v long, crowded long")
 
 
 def candidates(docs: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
     """Pairs (u, v) of lines, by the first half of their identity, that may link."""
     distinct = _distinct_lines(docs, max_edits, per_edit, texts=False).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    spread = distinct.mapInArrow(_spread, "key long, probe long, h1 long, sketch long")
+    spread = distinct.mapInArrow(tidy(_spread), "key long, probe long, h1 long, sketch long")
     dealt = spread.withColumn("part", F.lit(0)).repartition("key").sortWithinPartitions("key")
     found = cut(_meeting(dealt, 4 * max_edits, CROWD).distinct())
     crowded = found.where(F.col("crowded").isNotNull()).select(F.col("crowded").alias("key"))
@@ -338,7 +342,7 @@ def links(docs: DataFrame, max_edits: int = 2, per_edit: int = 16) -> DataFrame:
     left = named.select(F.col("h1").alias("u"), F.col("name").alias("a_name"), F.col("line").alias("a"))
     right = named.select(F.col("h1").alias("v"), F.col("name").alias("b_name"), F.col("line").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select(F.least("a_name", "b_name").alias("u"), F.greatest("a_name", "b_name").alias("v"), "a", "b")
-    return both.mapInArrow(verify, "u string, v string")
+    return both.mapInArrow(tidy(verify), "u string, v string")
 
 
 def _name(h1, h2):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.tokens import encoder
+from halyard.llm.workers import tidy
 from halyard.session import cut
 
 GROUP = 8192
@@ -66,7 +67,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
         columns = [pa.array(doc, kind), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
 
 
 class _Bins:
@@ -172,7 +173,7 @@ def pack(found: DataFrame, capacity: int = 1024, seed: int = 42) -> DataFrame:
 
     row = F.struct(*[F.col(f"`{c}`") for c in found.columns]).alias("row")
     kind = found.select(row).schema["row"].dataType.simpleString()
-    held = cut(found.select(row).mapInArrow(keyed, f"key long, row {kind}"))
+    held = cut(found.select(row).mapInArrow(tidy(keyed), f"key long, row {kind}"))
     small = held.where(F.col("row.length") < capacity)
     n = small.count()
     groups = max(1, -(-n // GROUP))
@@ -210,13 +211,13 @@ def pack(found: DataFrame, capacity: int = 1024, seed: int = 42) -> DataFrame:
     schema = pa.schema([("grp", pa.int64()), ("island", pa.int32()), ("round", pa.int32()), ("sizes", pa.binary()), ("members", pa.list_(pa.binary())), ("bins", pa.int64()), ("fill", pa.float64())])
     grouped = small.select(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(groups)).alias("grp"), F.struct((-F.col("row.length")).alias("n"), "key").alias("item")).groupBy("grp").agg(F.sort_array(F.collect_list("item")).alias("items"))
     grouped = cut(grouped.select("grp", F.transform("items", lambda i: i["key"]).alias("keys"), F.transform("items", lambda i: (-i["n"]).cast("int")).alias("lengths")))
-    now = grouped.select("grp", "lengths").mapInArrow(state, shape)
+    now = grouped.select("grp", "lengths").mapInArrow(tidy(state), shape)
     for _ in range(ROUNDS):
-        now = cut(now.repartition("grp", "island").mapInArrow(islands, shape))
+        now = cut(now.repartition("grp", "island").mapInArrow(tidy(islands), shape))
         sent = now.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("members", 1).alias("elite"))
         now = now.join(sent, ["grp", "island"]).withColumn("members", F.concat("members", F.array("elite"))).drop("elite").select(*schema.names)
     best = now.groupBy("grp").agg(F.max_by(F.struct("sizes", F.element_at("members", 1).alias("best")), F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("s"))
-    solved = best.join(grouped.select("grp", "keys"), "grp").select("grp", "keys", "s.sizes", "s.best").mapInArrow(placed, "key long, bin long, offset long")
+    solved = best.join(grouped.select("grp", "keys"), "grp").select("grp", "keys", "s.sizes", "s.best").mapInArrow(tidy(placed), "key long, bin long, offset long")
     together = held.join(solved, "key", "left")
     sequence = F.when(F.col("bin").isNull(), F.col("key") * 2 + 1).otherwise(F.col("bin") * 2)
     return together.select("row.*", sequence.alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))

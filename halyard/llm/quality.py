@@ -20,15 +20,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log2
+from math import exp, log2
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.terms import EDGES, Memo, bucket, sampled
+from halyard.llm.workers import tidy
 
 BITS = 16
 #: Buckets after the hashed ones: a repeated word, and the constant.
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, sample: int = 6000, seed: int = 42) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["votes", "buckets", "values"])
 
     chosen = sampled(docs.select("doc_id", "text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sample, seed)
-    rows = chosen.select("text").mapInArrow(run, "votes binary, buckets binary, values binary").collect()
+    rows = chosen.select("text").mapInArrow(tidy(run), "votes binary, buckets binary, values binary").collect()
     if not rows:
         return Model(np.zeros(SIZE), 0.5, np.full(LABELLERS, 0.5))
     rows.sort(key=lambda r: (bytes(r["buckets"]), bytes(r["values"])))
@@ -170,31 +171,36 @@ def fit(docs: DataFrame, sample: int = 6000, seed: int = 42) -> Model:
     return Model(_logistic(row, np.concatenate(column), value, good), share, share * table[:, GOOD, GOOD] + (1 - share) * table[:, JUNK, JUNK])
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (doc_id) and quality_score, from 0 to 1, of every whole text."""
-    carried = columns or ["doc_id"]
+def rating(docs: DataFrame, model: Model) -> Column:
+    """quality_score of ``docs``' text, from 0 to 1; only the text goes to Python."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(run)(batches)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = weights.value
-        memo = Memo(lambda word: own[list(_two(word))].sum())
+        memo = Memo(lambda word: float(own[list(_two(word))].sum()))
         for batch in batches:
             found = []
-            for text in batch.column("_text"):
+            for text in batch:
                 words = (text.as_py() or "").split()
                 if not words:
                     found.append(0.0)
                     continue
                 raw = sum(map(memo.__getitem__, words)) + own[REPEATED] * sum(map(eq, words, words[1:]))
-                found.append(1 / (1 + np.exp(-np.clip(raw / len(words) + own[CONSTANT], -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.float64())], ["_row", "quality_score"])
+                found.append(1 / (1 + exp(-min(30.0, max(-30.0, raw / len(words) + own[CONSTANT])))))
+            yield pa.array(found, pa.float64())
+
+    return rate(F.col("text"))
+
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col("text").alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {kind}, quality_score double")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and quality_score of every whole text."""
+    return docs.select("doc_id", rating(docs, model).alias("quality_score"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, sample: int = 6000, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more."""
-    scored = score(docs, fit(docs, sample, seed), docs.columns)
-    return scored.where(F.col("quality_score") >= threshold).select("_row.*")
+    return docs.where(rating(docs, fit(docs, sample, seed)) >= threshold)

@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from halyard.llm import ann, chat, langid, linededup, mixing, packing, quality, simhash, topk, toxicity
 from halyard.llm.terms import held_out
 from halyard.llm.tokens import public
+from halyard.llm.workers import small_batches
 from halyard.session import table
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, to be sent to Python in small batches."""
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: see ``toxicity``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -28,9 +35,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document: doc_id, quality_score, keep (1 from 0.5 on). See ``quality``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = quality.score(docs, quality.fit(docs))
-    return found.select("_row.doc_id", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("keep"))
+    return found.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("keep"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents: see ``packing``."""
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(_documents(spark, sf_dir))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,18 +74,18 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: see ``simhash.groups``."""
-    found = simhash.groups(table(spark, sf_dir, "documents"))
+    found = simhash.groups(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every line of every document: see ``linededup.classes``."""
-    return linededup.classes(table(spark, sf_dir, "documents"), max_edits=2, per_edit=16)
+    return linededup.classes(_documents(spark, sf_dir), max_edits=2, per_edit=16)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: see ``langid``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

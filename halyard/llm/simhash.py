@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.graph import components, local_roots
+from halyard.llm.workers import tidy
 from halyard.session import cut
 
 SEED = 42
@@ -155,7 +156,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
@@ -189,7 +190,7 @@ def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    spreaded = prints.select("fp").mapInArrow(spread, "anchor long, fp long")
+    spreaded = prints.select("fp").mapInArrow(tidy(spread), "anchor long, fp long")
     crowded = cut(spreaded.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.ceil(2 * F.col("count") / HOT).cast("int").alias("parts")))
     if crowded.isEmpty():
         parted = spreaded.withColumn("part", F.lit(0).cast("long"))
@@ -198,7 +199,7 @@ def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(other, own) * 1024 + F.greatest(other, own))
         parted = spreaded.join(crowded, "anchor", "left").withColumn("part", F.explode(F.coalesce(pairs, F.array(F.lit(0))))).select("anchor", "fp", F.col("part").cast("long").alias("part"))
     dealt = parted.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(compare, "u long, v long")
+    return dealt.mapInArrow(tidy(compare), "u long, v long")
 
 
 def groups(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:

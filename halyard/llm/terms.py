@@ -16,7 +16,7 @@ EDGES = ".,;:!?()[]{}\"'|-_*#%&$@~^<>/\\=+"
 class Memo(dict):
     """A function of a word, remembered for up to ``limit`` words; only speed depends on it."""
 
-    def __init__(self, function: Callable[[str], Any], limit: int = 400_000) -> None:
+    def __init__(self, function: Callable[[str], Any], limit: int = 150_000) -> None:
         super().__init__()
         self.function, self.limit = function, limit
 

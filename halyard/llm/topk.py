@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.vectors import matrix, padded
+from halyard.llm.workers import tidy
 
 #: Queries that are broadcast at once; scores held at once.
 BLOCK, SCORES = 8192, 1 << 21
@@ -82,7 +83,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, sca
         at, _ = np.nonzero(np.isfinite(best))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(best[np.isfinite(best)])], ["query", "low"])
 
-    gathered = vectors.mapInArrow(local_lists, "query int, low double")
+    gathered = vectors.mapInArrow(tidy(local_lists), "query int, low double")
     order = Window.partitionBy("query").orderBy(F.desc("low"))
     found = gathered.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where(F.col("place") == k).select("query", "low").collect()
     cutoffs = np.full(len(ids), -np.inf)
@@ -109,7 +110,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, sca
             part = slice(lo, lo + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(own[at[part]]), pa.array(vec[part]), pa.array(score[part])], ["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(sufficient, "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(tidy(sufficient), "query_id long, vec_id long, score long")
 
 
 def _best(at: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.terms import EDGES, Memo, bucket, held_out, sampled
+from halyard.llm.workers import tidy
 
 BITS = 20
 FACTORS = 4
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 42
 
     # the sample is bounded, so is what is broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, buckets binary").collect()
+    rows = rows.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, buckets binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     label = np.array([min(1, max(0, r["toxic"])) for r in rows])
     share = (label.sum() + 1) / (len(label) + 2)
@@ -142,4 +143,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = 1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
