@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.terms import sampled
 from halyard.llm.vectors import matrix, padded
+from halyard.llm.workers import tidy
 from halyard.session import cut
 
 #: Vectors the index is fitted on, aimed size of a list, most centroids.
@@ -161,12 +162,14 @@ def fit(vectors: DataFrame, seed: int = 42, k: int = 5) -> Index | None:
     index = Index(centroids, *graph(centroids, rng), 1.0)
     # the smallest ratio that finds enough of the true neighbours
     asked = rng.choice(len(x), min(PROBES, len(x)), replace=False)
-    true = np.argsort(-(x[asked] @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
-    rows, lists = lists_of(x, index)
+    true = np.concatenate([np.argsort(-(x[asked[i : i + 32]] @ x.T), axis=1, kind="stable")[:, 1 : k + 1] for i in range(0, len(asked), 32)])
     ids, far = walk(x[asked], index)
-    member: list[set[int]] = [set() for _ in x]
-    for r, c in zip(rows.tolist(), lists.tolist(), strict=True):
-        member[r].add(c)
+    member: dict[int, set[int]] = {t: set() for t in np.unique(true).tolist()}
+    some = np.array(sorted(member))
+    for i in range(0, len(some), 1024):
+        rows, lists = lists_of(x[some[i : i + 1024]], index)
+        for r, c in zip(some[i + rows].tolist(), lists.tolist(), strict=True):
+            member[r].add(c)
     needed = []
     for q, neighbours in enumerate(true.tolist()):
         place = {c: far[q, i] / max(far[q, 0], 1e-12) for i, c in enumerate(ids[q].tolist())}
@@ -211,8 +214,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
         return run
 
     kind = "list int, id long, x binary"
-    posted = cut(rows.mapInArrow(dealt(False), kind))
-    sought = cut(asked.mapInArrow(dealt(True), kind))
+    posted = cut(rows.mapInArrow(tidy(dealt(False)), kind))
+    sought = cut(asked.mapInArrow(tidy(dealt(True)), kind))
     # the number of lists is bounded by CENTROIDS, and so are these counts
     size = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     wants = sought.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("askers"))
@@ -270,7 +273,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
     def told(best: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "vec_id", "score"])
 
-    found = together.mapInArrow(compare, "query_id long, vec_id long, score double")
+    found = together.mapInArrow(tidy(compare), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
