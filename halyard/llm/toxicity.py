@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.graph import local_roots
 from halyard.llm.terms import EDGES, Memo, bucket, held_out, sampled
 from halyard.llm.workers import tidy
 
@@ -50,7 +51,40 @@ class Model:
         return self.constant + self.weights[buckets].sum() + 0.5 * float(np.square(v.sum(0)).sum() - np.square(v).sum())
 
 
-def telling(count: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> np.ndarray:
+def lone(row: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
+    """1 / the number of near copies of each row, itself included, so that copies count as one.
+
+    Rows are near copies if they agree in the three least hashes of one of five bands;
+    buckets that more than a tenth of the rows have take no part.
+    """
+    count = np.bincount(buckets, minlength=1)
+    rare = count[buckets] <= max(50, n // 10)
+    row, buckets = row[rare], buckets[rare].astype(np.uint64)
+    if not len(row):
+        return np.ones(n)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    least = []
+    for i in range(15):
+        mixed = (buckets + np.uint64(1)) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        least.append(np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), first))
+    ones, others = [], []
+    for i in range(0, 15, 3):
+        band = np.stack(least[i : i + 3])
+        order = np.lexsort(band)
+        same = (band[:, order][:, 1:] == band[:, order][:, :-1]).all(0)
+        ones.append(row[first][order][:-1][same])
+        others.append(row[first][order][1:][same])
+    one, other = np.concatenate(ones), np.concatenate(others)
+    weight = np.ones(n)
+    if len(one):
+        nodes, roots = local_roots(one, other)
+        _, back, size = np.unique(roots, return_inverse=True, return_counts=True)
+        weight[nodes] = 1 / size[back]
+    return weight
+
+
+def telling(count: np.ndarray, toxic: np.ndarray, n: float, positive: float) -> np.ndarray:
     """Buckets whose share of toxic documents is no chance.
 
     ``count`` and ``toxic`` are the documents and the toxic ones of each bucket.
@@ -64,24 +98,32 @@ def telling(count: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> np.n
     return np.flatnonzero((count > 1) & (count * part >= np.log(max(2, (count > 1).sum()))))
 
 
-def train(row: np.ndarray, place: np.ndarray, label: np.ndarray, width: int, seed: int, steps: int = 300, ridge: float = 1e-5, rate: float = 0.1) -> tuple[float, np.ndarray, np.ndarray]:
-    """Constant, weights and factors by Adam over all rows; ``row`` and ``place`` are the rows' buckets."""
+def train(row: np.ndarray, place: np.ndarray, label: np.ndarray, weight: np.ndarray, width: int, seed: int, steps: int = 300, ridge: float = 1e-5, rate: float = 0.05) -> tuple[float, np.ndarray, np.ndarray]:
+    """Constant, weights and factors by Adam over all weighted rows; ``row`` and ``place`` are the rows' buckets.
+
+    Weights begin at, and are drawn towards, the log-odds of their bucket, so that a
+    telling term counts in full where it stands alone, though it rarely does in training.
+    """
     rng = np.random.default_rng(seed)
-    n, share = len(label), label.mean()
-    found = np.concatenate([[np.log(share / (1 - share))], np.zeros(width), rng.normal(0, 0.05, width * FACTORS)])
+    n, mass = len(label), weight.sum()
+    base = float(np.log((weight @ label) / (weight @ (1 - label))))
+    count, toxic = np.bincount(place, weight[row], width), np.bincount(place, (weight * label)[row], width)
+    odds = np.log((toxic + 0.5) / (count - toxic + 0.5)) - base
+    found = np.concatenate([[base], odds, rng.normal(0, 0.05, width * FACTORS)])
+    home = np.concatenate([[base], odds, np.zeros(width * FACTORS)])
     first, second = np.zeros_like(found), np.zeros_like(found)
     penalty = np.full(len(found), ridge)
-    penalty[0] = 0
+    penalty[0] = 100 * ridge
     penalty[1 + width :] *= 10
     for step in range(1, steps + 1):
         weights, v = found[1 : 1 + width], found[1 + width :].reshape(width, FACTORS)[place]
         total = np.stack([np.bincount(row, v[:, f], n) for f in range(FACTORS)], 1)
         square = np.bincount(row, np.square(v).sum(1), n)
         raw = found[0] + np.bincount(row, weights[place], n) + 0.5 * (np.square(total).sum(1) - square)
-        error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label) / n
+        error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label) * weight / mass
         pull = error[row][:, None] * (total[row] - v)
         by_factor = np.stack([np.bincount(place, pull[:, f], width) for f in range(FACTORS)], 1)
-        slope = np.concatenate([[error.sum()], np.bincount(place, error[row], width), by_factor.ravel()]) + penalty * found
+        slope = np.concatenate([[error.sum()], np.bincount(place, error[row], width), by_factor.ravel()]) + penalty * (found - home)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         found = found - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return float(found[0]), found[1 : 1 + width], found[1 + width :].reshape(width, FACTORS)
@@ -112,13 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 42
     buckets = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     row, buckets = row[buckets >= 0], buckets[buckets >= 0]
-    used = telling(np.bincount(buckets, minlength=1 << BITS), np.bincount(buckets, label[row], 1 << BITS), len(label), int(label.sum()))
+    weight = lone(row, buckets, len(label))
+    used = telling(np.bincount(buckets, weight[row], 1 << BITS), np.bincount(buckets, (weight * label)[row], 1 << BITS), weight.sum(), weight @ label)
     if not len(used):
         return nothing
     at = np.full(1 << BITS, -1, np.int32)
     at[used] = np.arange(len(used))
     known = at[buckets] >= 0
-    constant, weights, factors = train(row[known], at[buckets[known]], label, len(used), seed)
+    constant, weights, factors = train(row[known], at[buckets[known]], label, weight, len(used), seed)
     return Model(constant, at, weights, factors)
 
 
