@@ -17,9 +17,9 @@ Scores are computed in double precision on the original vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do rows without vec_id; shorter vectors are filled up with zeros;
-equal scores rank by the smaller vec_id; of rows with one id a candidate counts
-once, with its best score; of query rows with one id the least vector is the query;
-an empty table gives an empty result; other columns are ignored.
+equal scores rank by the smaller vec_id; rows that repeat a candidate's id each take
+a place; of query rows with one id the least vector is the query; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,9 +154,10 @@ def fit(vectors: DataFrame, seed: int = 42, k: int = 5) -> Index | None:
     n = vectors.count()
     some = sampled(vectors.select("vec_id", "embedding"), F.col("vec_id"), SAMPLE, seed).toArrow()
     _, x = matrix(some.column("embedding"))
-    x = _unit(x[(x != 0).any(1)])
+    x = x[(x != 0).any(1)]
     if not len(x):
         return None
+    x = _unit(x)
     x = x[np.lexsort(x.T)]
     rng = np.random.default_rng(seed)
     centroids = balanced(x, int(np.clip(n // LIST, 1, min(CENTROIDS, max(1, len(x) // 8)))), rng)
@@ -195,10 +197,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             width = own.centroids.shape[1]
+            at_row = TaskContext.get().partitionId() << 36
             for batch in batches:
                 place, x = matrix(batch.column(1))
+                place, x = place[(x != 0).any(1)], x[(x != 0).any(1)]
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[place].astype(np.int64)
-                ids, x = ids[(x != 0).any(1)], x[(x != 0).any(1)]
+                numbers = at_row + place
+                at_row += batch.num_rows
                 for i in range(0, len(x), 1024):
                     part = x[i : i + 1024]
                     unit = padded(_unit(part), width)[:, :width]
@@ -209,11 +214,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
                     else:
                         at, lists = lists_of(unit, own)
                     data = [part[j].tobytes() for j in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids[i : i + 1024][at]), pa.array(data, pa.binary())], ["list", "id", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids[i : i + 1024][at]), pa.array(numbers[i : i + 1024][at]), pa.array(data, pa.binary())], ["list", "id", "row", "x"])
 
         return run
 
-    kind = "list int, id long, x binary"
+    kind = "list int, id long, row long, x binary"
     posted = cut(rows.mapInArrow(tidy(dealt(False)), kind))
     sought = cut(asked.mapInArrow(tidy(dealt(True)), kind))
     # the number of lists is bounded by CENTROIDS, and so are these counts
@@ -222,8 +227,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
     counts = F.broadcast(size.join(wants, "list"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     of = lambda n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    left = posted.join(counts, "list").select("list", of("parts").alias("part"), F.explode(every("askers")).alias("asker"), F.lit(1).alias("kind"), "id", "x")
-    right = sought.join(counts, "list").select("list", F.explode(every("parts")).alias("part"), of("askers").alias("asker"), F.lit(0).alias("kind"), "id", "x")
+    left = posted.join(counts, "list").select("list", of("parts").alias("part"), F.explode(every("askers")).alias("asker"), F.lit(1).alias("kind"), "id", "row", "x")
+    right = sought.join(counts, "list").select("list", F.explode(every("parts")).alias("part"), of("askers").alias("asker"), F.lit(0).alias("kind"), "id", "row", "x")
     together = left.unionByName(right).repartition("list", "part", "asker").sortWithinPartitions("list", "part", "asker", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,19 +241,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
                     if best is not None:
                         yield told(best)
                     key, ids, asks, best = tuple(keys[lo, :3]), [], [], None
-                own = batch.column(4).to_numpy()[lo:hi]
-                xs = [np.frombuffer(v.as_buffer(), float) for v in batch.column(5).slice(lo, hi - lo)]
+                own, number = batch.column(4).to_numpy()[lo:hi], batch.column(5).to_numpy()[lo:hi]
+                xs = [np.frombuffer(v.as_buffer(), float) for v in batch.column(6).slice(lo, hi - lo)]
                 if keys[lo, 3] == 0:
                     ids.extend(own.tolist())
                     asks.extend(xs)
                 elif ids:
                     if best is None:
                         q, qid = stacked(asks), np.array(ids)
-                        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
                     x = stacked(xs)
                     step = max(16, SCORES // len(qid))
                     for i in range(0, len(x), step):
-                        best = better(best, q, qid, x[i : i + step], own[i : i + step])
+                        best = better(best, q, qid, x[i : i + step], own[i : i + step], number[i : i + step])
         if best is not None:
             yield told(best)
 
@@ -256,7 +261,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
         width = max(map(len, xs))
         return np.array([np.pad(x, (0, width - len(x))) if len(x) < width else x for x in xs])
 
-    def better(best: tuple, q: np.ndarray, qid: np.ndarray, x: np.ndarray, own: np.ndarray) -> tuple:
+    def better(best: tuple, q: np.ndarray, qid: np.ndarray, x: np.ndarray, own: np.ndarray, number: np.ndarray) -> tuple:
         width = max(q.shape[1], x.shape[1])
         q, x = padded(q, width), padded(x, width)
         a, b = _unit(q), _unit(x)
@@ -264,16 +269,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
         floor = np.partition(rough, -min(k, len(own)), axis=1)[:, -min(k, len(own))][:, None] - 1e-9
         i, j = np.nonzero((rough >= floor) & np.isfinite(rough))
         score = np.einsum("nd,nd->n", a[i], b[j])
-        query, vec, score = np.r_[best[0], qid[i]], np.r_[best[1], own[j]], np.r_[best[2], score]
+        query, vec, row, score = (np.r_[a, b] for a, b in zip(best, (qid[i], own[j], number[j], score), strict=True))
         order = np.lexsort((vec, -score, query))
-        query, vec, score = query[order], vec[order], score[order]
+        query, vec, row, score = query[order], vec[order], row[order], score[order]
         keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return query[keep], vec[keep], score[keep]
+        return query[keep], vec[keep], row[keep], score[keep]
 
     def told(best: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "vec_id", "row", "score"])
 
-    found = together.mapInArrow(tidy(compare), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = together.mapInArrow(tidy(compare), "query_id long, vec_id long, row long, score double")
+    found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
