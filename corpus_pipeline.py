@@ -60,12 +60,20 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared checkpoint folder."""
+    """All stages over ``documents``.
+
+    What a stage keeps is written to the shared checkpoint folder, and goes as soon as
+    the next stage is written; what the last one reads stays as long as that folder.
+    """
+    jvm = spark.sparkContext._jvm
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/corpus-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    folder = f"{checkpoint_dir(spark)}/corpus-{jvm.java.util.UUID.randomUUID()}"
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                old = jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return docs

@@ -23,12 +23,12 @@ learnt all is ``und``; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +36,19 @@ from halyard.llm.terms import EDGES, Memo, held_out, sampled
 from halyard.llm.workers import tidy
 
 BITS = 18
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Words of one document in a row, and of a whole sequence, in training.
 RUN, SEQUENCE = 12, 60
 #: Words labelled at once, block length, words whose emissions a task remembers.
 WORDS, BLOCK, KNOWN = 200_000, 64, 200_000
+#: A word of more characters makes a task forget the words it knows, so that they never take much memory.
+LONG = 1000
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features of some words, and where each word's begin; words without letters have none."""
-    bare = ["\x02" + w.strip(EDGES)[:40] + "\x03" if LETTER.search(w) else "" for w in words]
+    bare = ["\x02" + w.strip(EDGES) + "\x03" if LETTER.search(w) else "" for w in words]
     size = np.fromiter(map(len, bare), np.int64, len(bare))
     code = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(bare)), size)
@@ -198,14 +200,22 @@ def train(texts: list[tuple[int, list[str]]], languages: list[str], seed: int, e
     return Model(languages, weights.astype(np.float32), transitions, start)
 
 
-def fit(docs: DataFrame, sample: int = 4000, words: int = 240, seed: int = 42) -> Model:
-    """Fits on the first ``words`` words of about ``sample`` documents that are not held out and have a lang."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    chosen = sampled(known, F.col("doc_id"), sample, seed).select("doc_id", "lang", "text")
+def spread_runs(words: list[str], runs: int) -> list[str]:
+    """At most ``runs`` runs of RUN words, spread evenly from a text's first word to its last."""
+    starts = range(0, len(words), RUN)
+    step = max(1.0, len(starts) / runs)
+    chosen = [starts[int(i * step)] for i in range(min(runs, len(starts)))]
+    return [w for s in chosen for w in words[s : s + RUN]]
+
+
+def fit(docs: DataFrame, sample: int = 4000, runs: int = 20, seed: int = 42) -> Model:
+    """Fits on ``runs`` runs of words, spread over the whole text, of about ``sample`` documents that are not held out and have a lang."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = sampled(known, F.col("doc_id"), sample, seed).where(F.col("text").isNotNull()).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [" ".join([w for w in t.lower().split() if LETTER.search(w)][:words]) for t in batch.column(2).to_pylist()]
+            short = [" ".join(spread_runs([w for w in t.lower().split() if LETTER.search(w)], runs)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.string())], ["doc_id", "lang", "text"])
 
     rows = chosen.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text string").collect()
@@ -223,7 +233,7 @@ def _labelled(texts: list[str], model: Model, memo: dict[str, int], table: list[
     def finish() -> Iterator[tuple[int, list[str], np.ndarray]]:
         fresh = {w for _, words in held for w in words if w not in memo}
         if fresh:
-            if len(memo) + len(fresh) > KNOWN:
+            if len(memo) + len(fresh) > KNOWN or any(len(w) > LONG for w in fresh):
                 memo.clear()
                 fresh = {w for _, words in held for w in words}
                 table[0] = np.empty((0, len(model.languages)))

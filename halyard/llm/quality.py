@@ -40,12 +40,12 @@ GOOD, JUNK, NONE = 1, 0, 2
 
 def _shape(word: str) -> str:
     """Runs of letters, digits and each other character, collapsed: ``en%%%`` -> ``a%``."""
-    out = ""
-    for c in word[:64]:
+    out: list[str] = []
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out.endswith(kind):
-            out += kind
-    return out
+        if not out or out[-1] != kind:
+            out.append(kind)
+    return "".join(out)
 
 
 def votes(text: str | None) -> list[int]:

@@ -14,16 +14,18 @@ EDGES = ".,;:!?()[]{}\"'|-_*#%&$@~^<>/\\=+"
 
 
 class Memo(dict):
-    """A function of a word, remembered for up to ``limit`` words; only speed depends on it."""
+    """A function of a word, remembered for up to ``limit`` words that aren't long; only speed depends on it."""
 
     def __init__(self, function: Callable[[str], Any], limit: int = 150_000) -> None:
         super().__init__()
         self.function, self.limit = function, limit
 
     def __missing__(self, word: str) -> Any:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = self.function(word)
+        value = self.function(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
 
