@@ -31,11 +31,11 @@ from halyard.llm.tokens import encoder
 from halyard.llm.workers import tidy
 from halyard.session import cut
 
-GROUP = 8192
+GROUP = 32768
 ISLANDS = 3
 ROUNDS = 3
 POPULATION = 4
-CHILDREN = 24
+CHILDREN = 60
 #: Bytes of ids that one Arrow batch holds at most, but for a single piece.
 BATCH = 1 << 22
 
@@ -151,13 +151,53 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, rng:
     return [p for _, p in scored[:size]]
 
 
+def near_fit(sizes: np.ndarray, capacity: int, slack: int) -> np.ndarray:
+    """Bins begun with the largest item left and filled by one or two that leave ``slack`` at most, else by the largest that fits.
+
+    Sizes present are the bits of a number, read from below and from above, so the pairs
+    that fill a gap are the bits of one conjunction.
+    """
+    of: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for item, size in enumerate(sizes.tolist()):
+        of[size].append(item)
+    up = sum(1 << size for size in range(1, capacity + 1) if of[size])
+    down = sum(1 << (capacity - size) for size in range(1, capacity + 1) if of[size])
+    bins, n = np.full(len(sizes), -1), 0
+    while up:
+        gap, wanted = capacity, [up.bit_length() - 1]
+        while wanted:
+            for size in wanted:
+                bins[of[size].pop()] = n
+                gap -= size
+                if not of[size]:
+                    up ^= 1 << size
+                    down ^= 1 << (capacity - size)
+            wanted = []
+            fits = up & ((1 << (gap + 1)) - 1)
+            if not fits:
+                break
+            largest = fits.bit_length() - 1
+            for left in range(slack + 1 if largest < gap - slack else 0):
+                whole = gap - left
+                pairs = up & (down >> (capacity - whole)) & ((1 << (whole // 2 + 1)) - 2)
+                half = pairs.bit_length() - 1
+                if pairs and 2 * half == whole and len(of[half]) < 2:
+                    pairs ^= 1 << half
+                    half = pairs.bit_length() - 1
+                if pairs:
+                    wanted = [half, whole - half]
+                    break
+            wanted = wanted or [largest]
+        n += 1
+    return bins
+
+
 def first_population(sizes: np.ndarray, capacity: int, rng: np.random.Generator, size: int) -> list[np.ndarray]:
-    """Best fit by falling length, and by falling length with noise."""
+    """Near fits of different slack, and best fit by falling length."""
     none = np.full(len(sizes), -1)
-    found = []
-    for i in range(size):
-        noise = rng.random(len(sizes)) * (0.15 * i * capacity / size)
-        found.append(best_fit(sizes, np.argsort(-(sizes + noise), kind="stable"), none, capacity))
+    found = [near_fit(sizes, capacity, 1 + int(slack)) for slack in rng.permutation(4)[: size - 1]]
+    while len(found) < size:
+        found.append(best_fit(sizes, np.lexsort((rng.random(len(sizes)), -sizes)), none, capacity))
     return found
 
 
