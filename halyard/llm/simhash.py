@@ -171,22 +171,27 @@ def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
                 anchor, row = anchors(own[i : i + (1 << 13)], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own[i + row].view(np.int64))], ["anchor", "fp"])
 
+    def group(rows: pa.RecordBatch) -> np.ndarray:
+        """Numbers that rise from one anchor or part to the next."""
+        anchor, part = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+        return np.cumsum(np.r_[0, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
         for batch in batches:
-            table = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks()
-            key = table.column("anchor").to_numpy() * (1 << 20) + table.column("part").to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            whole, rest = table.slice(0, last), table.slice(last).combine_chunks().to_batches()
-            left = rest[0] if rest else None
+            now = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            if not now.num_rows:
+                continue
+            at = group(now)
+            last = int(np.searchsorted(at, at[-1]))
+            left = now.slice(last)
             if last:
-                yield from answer(whole)
-        if left is not None:
-            yield from answer(pa.Table.from_batches([left]))
+                yield from answer(now.slice(0, last), at[:last])
+        if left is not None and left.num_rows:
+            yield from answer(left, group(left))
 
-    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor = table.column("anchor").to_numpy()
-        u, v = _compare(anchor * (1 << 20) + table.column("part").to_numpy(), anchor, table.column("fp").to_numpy().view(np.uint64), threshold)
+    def answer(rows: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, v = _compare(at, rows.column(0).to_numpy(), rows.column(1).to_numpy().view(np.uint64), threshold)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
@@ -196,8 +201,8 @@ def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
         parted = spreaded.withColumn("part", F.lit(0).cast("long"))
     else:
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(other, own) * 1024 + F.greatest(other, own))
-        parted = spreaded.join(crowded, "anchor", "left").withColumn("part", F.explode(F.coalesce(pairs, F.array(F.lit(0))))).select("anchor", "fp", F.col("part").cast("long").alias("part"))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(other, own).cast("long") * (1 << 31) + F.greatest(other, own))
+        parted = spreaded.join(crowded, "anchor", "left").withColumn("part", F.explode(F.coalesce(pairs, F.array(F.lit(0).cast("long"))))).select("anchor", "fp", "part")
     dealt = parted.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return dealt.mapInArrow(tidy(compare), "u long, v long")
 
