@@ -4,7 +4,8 @@ A pass deals the rows to batches by a seeded hash of their id, so batches do not
 depend on partitions and their sizes vary a little around the schedule's. Each batch
 is one Spark job: centers are broadcast, partial sums come back, and the state (k
 centers, masses, closing sums) is updated on the driver. A table of checked small
-size is fetched once and its batches are taken from memory; results are the same.
+size is fetched for each pass and its batches are taken from memory; results are the
+same. Numbers are doubles; a lower ``precision`` rounds the operands of searches.
 """
 
 from __future__ import annotations
@@ -35,6 +36,16 @@ def normalized(x: np.ndarray) -> np.ndarray:
     return x / np.where(peak > 0, np.linalg.norm(x, axis=1, keepdims=True), 1)
 
 
+def rounded(x: np.ndarray, precision: str) -> np.ndarray:
+    """Values as a half or bfloat16 number holds them, to the nearest even; else as they are."""
+    if precision == "float16":
+        return x.astype(np.float16).astype(float)
+    if precision == "bfloat16":
+        bits = x.astype(np.float32).view(np.uint32).astype(np.uint64)
+        return ((bits + 0x7FFF + (bits >> np.uint64(16) & np.uint64(1))) & np.uint64(0xFFFF0000)).astype(np.uint32).view(np.float32).astype(float)
+    return x
+
+
 def ema(centers: np.ndarray, mass: np.ndarray, sums: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Means and masses decay by 1 - alpha and take a batch in by alpha; a center without hits stays."""
     old = (1 - alpha) * mass
@@ -163,13 +174,14 @@ class EMeans(Centers):
         self.unused_threshold, self.assignment, self.precision, self.assignment_batch_size, self.compute_labels, self.verbose = unused_threshold, assignment, precision, assignment_batch_size, compute_labels, verbose
 
     def _check(self) -> None:
-        require_params(type(self).__name__, finalization=(self.finalization, ("last_epoch", "ema", "slow_ema")), precision=(self.precision, ("float32", "float64")), assignment=(self.assignment, self._assignments))
+        require_params(type(self).__name__, finalization=(self.finalization, ("last_epoch", "ema", "slow_ema")), precision=(self.precision, self._precisions), assignment=(self.assignment, self._assignments))
         if callable(self.init):
             raise UnsupportedParameter("a callable init is not supported")
         if self.slow_ema_half_life is not None:
             require_positive("slow_ema_half_life", self.slow_ema_half_life)
 
     _assignments = ("auto", "dense")
+    _precisions = ("float32", "float64", "float16", "bfloat16")
 
     def _schedule(self, n: int, d: int) -> Schedule:
         return resolve(n, self.n_clusters, d, self.max_iter, self.batch_size, self.alpha0, self.batch_law, self.recipe, self.unused_threshold)
@@ -177,6 +189,11 @@ class EMeans(Centers):
     def _readout(self, x: np.ndarray) -> np.ndarray:
         return normalized(x) if self.spherical else x
 
+    def _low(self, assign: Assign) -> Assign:
+        """A search of operands in the precision asked for; sums are of the rows as they are."""
+        precision = self.precision
+        return assign if precision in ("float32", "float64") else lambda x: assign(rounded(x, precision))
+
     def prepare(self, df: DataFrame, features: str | list[str] = "features", id_col: str = "id") -> Prepared:
         """Checks a table, draws the first centers, resolves the schedule."""
         self._check()
@@ -218,7 +235,7 @@ class EMeans(Centers):
             for batch in batches.of(epoch, wanted, plan.batch_size):
                 spent = [0.0]
                 readout = self._readout(state.centers)
-                assign = search.assign(readout, done < n, spent)
+                assign = self._low(search.assign(rounded(readout, self.precision), done < n, spent))
                 found, size = _totals(batch, assign, k, d, spent)
                 done, seen = done + size, seen + size
                 objective += found.inertia
@@ -318,6 +335,7 @@ class OMeans(EMeans):
     """
 
     _assignments = ("auto", "dense", "two_level")
+    _precisions = ("float32", "float64", "bfloat16")
 
     def __init__(
         self, n_clusters: int = 8, max_iter: float = 3, batch_size: int | None = None, alpha0: float | None = None, batch_law: str = "auto", random_state: int | None = 1234, init="random", unused_threshold: float | None = None,

@@ -22,6 +22,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.config import get_config
+from halyard.diagnostics import BackendEvent, record_event
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.functions.vectors import dot, vector
 from halyard.operators.base import Estimator, sorted_labels
@@ -65,7 +67,13 @@ class LogisticRegression(Estimator):
         self.class_weight, self.random_state, self.solver, self.max_iter, self.multi_class = class_weight, random_state, solver, max_iter, multi_class
         self.verbose, self.warm_start, self.n_jobs, self.l1_ratio = verbose, warm_start, n_jobs, l1_ratio
 
+    def _falls_back(self) -> bool:
+        """Whether settings let Spark ML serve an L1 or elastic-net penalty, which is refused else."""
+        return self.penalty in ("l1", "elasticnet") and get_config().fallback_policy != "error"
+
     def _check(self) -> None:
+        if self._falls_back():
+            return
         require_params("LogisticRegression", penalty=(self.penalty, ("l2", None)), dual=(self.dual, (False,)), solver=(self.solver, ("lbfgs",)), warm_start=(self.warm_start, (False,)), intercept_scaling=(self.intercept_scaling, (1,)), multi_class=(self.multi_class, ("auto", "multinomial")), l1_ratio=(self.l1_ratio, (None, 0, 0.0)))
         require_positive("C", self.C, infinite=True)
         require_positive("tol", self.tol)
@@ -98,7 +106,16 @@ class LogisticRegression(Estimator):
             if total <= 0:
                 raise ValueError("the sum of weights must be positive")
             self.sum_weights_ = total
-            self._solve(coded, len(self.classes_), total)
+            if self._falls_back():
+                share = 1.0 if self.penalty == "l1" else float(self.l1_ratio or 0.0)
+                self._keep(_spark_fit(coded, len(self.classes_), 1 / (self.C * total), share, self.tol, self.max_iter, self.fit_intercept))
+                self.execution_backend_ = "spark_ml"
+                record_event(BackendEvent("LogisticRegression", "fit", "spark_ml", f"penalty={self.penalty!r}", fallback=True))
+            else:
+                self._solve(coded, len(self.classes_), total)
+            self.center_ = _partials(coded, lambda x, y, w: x.sum(0), shape.dimensions) / shape.rows
+            #: the intercept in coordinates centred on the mean row
+            self.centered_intercept_ = self.intercept_ + self.coef_ @ self.center_
         finally:
             rows.unpersist()
         return self
@@ -150,23 +167,22 @@ class LogisticRegression(Estimator):
             warnings.warn(f"the largest gradient component is {gradient:.3g}, above tol={self.tol:g}, after {self.n_iter_} iterations", ConvergenceWarning, stacklevel=4)
 
     def _solve_distributed(self, coded: DataFrame, k: int, total: float, penalty: float) -> tuple[float, np.ndarray, float, str]:
-        vectors = coded.withColumn("vector", array_to_vector("features")).select("vector", "code", "weight")
         # Spark ML stops by relative improvement; that is tightened until the gradient itself is small
         for closeness in (self.tol * 1e-2, self.tol * 1e-4, 1e-10):
-            spark_fit = _SparkLogistic(
-                featuresCol="vector", labelCol="code", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False,
-                family="binomial" if k == 2 else "multinomial", tol=min(closeness, 1e-6), maxIter=self.max_iter, fitIntercept=self.fit_intercept,
-            ).fit(vectors)
-            if k == 2:
-                self.coef_, self.intercept_ = np.array([spark_fit.coefficients.toArray()]), np.array([spark_fit.intercept])
-            else:
-                self.coef_, self.intercept_ = spark_fit.coefficientMatrix.toArray(), spark_fit.interceptVector.toArray()
-            self.n_iter_ = spark_fit.summary.totalIterations
+            self._keep(_spark_fit(coded, k, penalty, 0.0, min(closeness, 1e-6), self.max_iter, self.fit_intercept))
             value, slope, gradient = _evaluate(coded, self.coef_, self.intercept_, total, penalty, self.fit_intercept)
             if gradient <= self.tol or self.n_iter_ >= self.max_iter or (k == 2 and self.n_features_in_ <= NEWTON):
                 break
         return value, slope, gradient, "spark_ml"
 
+    def _keep(self, found) -> None:
+        """Coefficients of a Spark ML model."""
+        if len(self.classes_) == 2:
+            self.coef_, self.intercept_ = np.array([found.coefficients.toArray()]), np.array([found.intercept])
+        else:
+            self.coef_, self.intercept_ = found.coefficientMatrix.toArray(), found.interceptVector.toArray()
+        self.n_iter_ = found.summary.totalIterations
+
     def objective(self, df: DataFrame, label: str = "label", weight: str | None = None) -> float:
         """The objective at the fitted coefficients on labelled rows."""
         rows = self._coded(df, label, weight)
@@ -301,6 +317,12 @@ def _in_memory(coded: DataFrame, d: int, k: int, total: float, penalty: float, f
     return fun
 
 
+def _spark_fit(coded: DataFrame, k: int, penalty: float, l1_share: float, tol: float, max_iter: int, free: bool):
+    family = "binomial" if k == 2 else "multinomial"
+    estimator = _SparkLogistic(featuresCol="vector", labelCol="code", weightCol="weight", regParam=penalty, elasticNetParam=l1_share, standardization=False, family=family, tol=tol, maxIter=max_iter, fitIntercept=free)
+    return estimator.fit(coded.withColumn("vector", array_to_vector("features")).select("vector", "code", "weight"))
+
+
 def _partials(coded: DataFrame, compute, width: int) -> np.ndarray:
     """The sum over all rows of what ``compute`` (x, y, w) returns for a batch."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from halyard.config import tuning_context
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.operators import schedules
-from halyard.operators.emeans import EMeans, OMeans, build_cells, ema, normalized, split, split_plan
+from halyard.operators.emeans import EMeans, OMeans, build_cells, ema, normalized, rounded, split, split_plan
 from halyard.operators.kmeans import KMeans, first_centers, plus_plus
 from halyard.plans.nearest import closest
 from halyard.streaming.clustering import StreamingCenters
@@ -176,11 +176,22 @@ def test_spherical_centers_have_length_one(spark):
     model = EMeans(3, spherical=True, batch_size=40).fit(rows)
     assert np.linalg.norm(model.cluster_centers_, axis=1) == pytest.approx(1)
     assert model.transform(rows).count() == 141
-    for bad in ({"precision": "bfloat16"}, {"finalization": "x"}, {"assignment": "two_level"}):
+    for bad in ({"precision": "int8"}, {"finalization": "x"}, {"assignment": "two_level"}):
         with pytest.raises(UnsupportedParameter):
             EMeans(3, **bad).fit(rows)
 
 
+def test_low_precision_rounds_operands(spark):
+    x = np.array([1.0, 1.00390625, 1.01171875, -3.14159, 0.0, 65280.0])
+    assert rounded(x, "bfloat16").tolist() == [1.0, 1.0, 1.015625, -3.140625, 0.0, 65280.0]
+    assert rounded(x, "float16")[3] == np.float16(-3.14159) and rounded(x, "float32") is x
+    rows = frame(spark, BLOBS)
+    full = EMeans(3, batch_size=30, init=BLOBS[[0, 47, 94]]).fit(rows)
+    for precision in ("float16", "bfloat16"):
+        low = EMeans(3, batch_size=30, init=BLOBS[[0, 47, 94]], precision=precision).fit(rows)
+        assert low.cluster_centers_ == pytest.approx(full.cluster_centers_, abs=0.05)
+
+
 def test_all_cells_are_a_full_search():
     rng = np.random.default_rng(0)
     centers, x = rng.normal(size=(40, 4)), rng.normal(size=(300, 4))

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halyard.config import tuning_context
+from halyard.config import config_context, tuning_context
+from halyard.diagnostics import get_last_backend_event
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.operators.decomposition import PCA, choose_svd_solver, mle_dimension
 from halyard.operators.linear import LogisticRegression, minimize
@@ -82,6 +83,15 @@ def test_logistic_refusals(spark):
         LogisticRegression().fit(rows.withColumn("w", F.lit(-1.0)), weight="w")
 
 
+def test_fallback_serves_other_penalties(spark):
+    x, y = data(200)
+    rows = frame(spark, x, y)
+    with config_context(fallback_policy="allow"):
+        model = LogisticRegression(penalty="l1", C=0.01).fit(rows)
+        assert get_last_backend_event().fallback and (model.coef_ == 0).any()
+    assert model.centered_intercept_ == pytest.approx(model.intercept_ + model.coef_ @ x.mean(0))
+
+
 def test_minimize_finds_the_valley():
     def rosenbrock(p):
         a, b = p
@@ -160,6 +170,10 @@ def test_svc_rules(spark):
         assert not SVC(max_iter=0).fit(rows).support_
     zero = SVC().fit(rows.withColumn("w", (F.col("id") % 2).cast("double")), weight="w")
     assert all(i % 2 for i in zero.support_)
+    linear = SVC(kernel="linear").fit(rows)
+    values = linear.decision_function(rows).orderBy("id").toPandas()["decision"].to_numpy()
+    assert values == pytest.approx((x @ linear.coef_.T - linear.intercept_).ravel())
+    assert linear.dual_coef_ @ linear.support_vectors_ == pytest.approx(linear.coef_)
     strings = SVC(class_weight="balanced").fit(rows.withColumn("label", F.when(F.col("label") == 0, "no").otherwise("yes")))
     assert strings.classes_ == ["no", "yes"]
     found = strings.predict(strings.decision_function(rows)).toPandas()
