@@ -245,13 +245,12 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [np.repeat(rows.column(c).to_numpy(), size) for c in (0, 2)]
         for i in range(0, len(values), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(values[part] & ~np.int64(1)), pa.array(values[part] & 1), pa.array(own[0][part]), pa.array(own[1][part])], ["key", "probe", "h1", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (values, *own)], ["key", "h1", "sketch"])
 
 
 def _meet(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sketch: np.ndarray, flips: int, crowd: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of an indexed and a probing line at one key, and the keys that hold too many. Sorted by key."""
-    order = np.lexsort((probe, key))
-    key, probe, h1, sketch = key[order], probe[order], h1[order], sketch[order].view(np.uint64)
+    """Pairs of an indexed and a probing line at one key, and the keys that hold too many. Sorted by key, then by probe."""
+    sketch = sketch.view(np.uint64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     indexed = np.add.reduceat(1 - probe, first)
@@ -276,7 +275,17 @@ def _meet(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sketch: np.ndarray
 
 
 def _meeting(dealt: DataFrame, flips: int, crowd: float) -> DataFrame:
-    """Rows sorted by key and part -> u, v; or crowded, where a key holds too many pairs."""
+    """Rows (key, h1, sketch, and part if split), sorted by part and key -> u, v; or crowded, where a key holds too many pairs."""
+    split = "part" in dealt.columns
+
+    def group(rows: pa.RecordBatch) -> np.ndarray:
+        """Numbers that rise from one key (without its lowest bit) or part to the next."""
+        key = rows.column(0).to_numpy() >> 1
+        new = key[1:] != key[:-1]
+        if split:
+            part = rows.column(3).to_numpy()
+            new |= part[1:] != part[:-1]
+        return np.cumsum(np.r_[0, new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -284,19 +293,18 @@ def _meeting(dealt: DataFrame, flips: int, crowd: float) -> DataFrame:
             now = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
             if not now.num_rows:
                 continue
-            key, part = now.column(0).to_numpy(), now.column(4).to_numpy()
-            last = len(key) - int(((key == key[-1]) & (part == part[-1]))[::-1].argmin()) if (key[0], part[0]) != (key[-1], part[-1]) else 0
+            at = group(now)
+            last = int(np.searchsorted(at, at[-1]))
             left = now.slice(last)
             if last:
-                yield from answer(now.slice(0, last))
+                yield from answer(now.slice(0, last), at[:last])
         if left is not None and left.num_rows:
-            yield from answer(left)
+            yield from answer(left, group(left))
 
-    def answer(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, probe, h1, sketch, part = (rows.column(i).to_numpy() for i in range(5))
-        group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        u, v, many = _meet(group, probe, h1, sketch, flips, crowd)
-        many = key[np.searchsorted(group, many)]
+    def answer(rows: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = rows.column(0).to_numpy()
+        u, v, many = _meet(at, key & 1, rows.column(1).to_numpy(), rows.column(2).to_numpy(), flips, crowd)
+        many = key[np.searchsorted(at, many)] >> 1
         none = lambda n: pa.nulls(n, pa.int64())
         if len(u) or len(many):
             columns = [[pa.array(u), none(len(many))], [pa.array(v), none(len(many))], [none(len(u)), pa.array(many)]]
@@ -308,20 +316,20 @@ def _meeting(dealt: DataFrame, flips: int, crowd: float) -> DataFrame:
 def candidates(docs: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
     """Pairs (u, v) of lines, by the first half of their identity, that may link."""
     distinct = _distinct_lines(docs, max_edits, per_edit, texts=False).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    spread = distinct.mapInArrow(tidy(_spread), "key long, probe long, h1 long, sketch long")
-    dealt = spread.withColumn("part", F.lit(0)).repartition("key").sortWithinPartitions("key")
-    found = cut(_meeting(dealt, 4 * max_edits, CROWD).distinct())
-    crowded = found.where(F.col("crowded").isNotNull()).select(F.col("crowded").alias("key"))
+    spread = distinct.mapInArrow(tidy(_spread), "key long, h1 long, sketch long")
+    bare = F.shiftright("key", 1)  # the lowest bit tells probing keys, which follow the others
+    found = cut(_meeting(spread.repartition(bare).sortWithinPartitions("key"), 4 * max_edits, CROWD).distinct())
+    crowded = found.where(F.col("crowded").isNotNull()).select("crowded")
     pairs = found.where(F.col("u").isNotNull()).select("u", "v")
     if crowded.isEmpty():
         return pairs
-    hot = spread.join(crowded, "key")
-    counted = cut(hot.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    hot = spread.join(crowded, bare == F.col("crowded"))
+    counted = cut(hot.groupBy("crowded").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     # every index row goes to one part, every probing row to all parts
     own = F.array(F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
-    split = hot.join(counted, "key").withColumn("part", F.explode(F.when(F.col("probe") == 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    more = _meeting(split.select(*spread.columns, "part").repartition("key", "part").sortWithinPartitions("key", "part"), 4 * max_edits, float("inf"))
-    return cut(pairs.unionByName(more.select("u", "v")).distinct())
+    split = hot.join(counted, "crowded").withColumn("part", F.explode(F.when(F.col("key") % 2 != 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    dealt = split.select(*spread.columns, "part").repartition(bare, "part").sortWithinPartitions("part", "key")
+    return cut(pairs.unionByName(_meeting(dealt, 4 * max_edits, float("inf")).select("u", "v")).distinct())
 
 
 def links(docs: DataFrame, max_edits: int = 2, per_edit: int = 16) -> DataFrame:
