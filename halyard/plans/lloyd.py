@@ -1,8 +1,10 @@
 """One pass of centers over a table: the plan that all clusterings share.
 
-Centers (k x d, bounded by the driver's state) are broadcast; every task returns one
-row of partial sums, so nothing but k x d numbers for each task moves, and no row of
-the table is shuffled.
+Centers (k x d, bounded by the driver's state) are broadcast; every task returns its
+partial sums, so nothing but k x d numbers for each task moves, and no row of the table
+is shuffled. Small partial sums go to the driver as they are; larger ones are first
+merged by cluster in a shuffle, so that the driver gets one row for each cluster however
+many tasks there were.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import DataFrame
 from halyard.functions.vectors import dense
 from halyard.plans.nearest import closest
 
+#: Bytes of a task's partial sums up to which they go straight to the driver.
+DIRECT = 1 << 18
+
 #: Chooses a center for each row: labels and squared distances.
 Assign = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -49,17 +54,37 @@ def total(rows: DataFrame, assign: Assign, k: int, dimensions: int, before: Assi
             inertia += float(d2.sum())
             if before is not None:
                 changed += int((before(x)[0] != label).sum())
-        spent = cost() if cost else 0.0
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([inertia]), pa.array([changed], pa.int64()), pa.array([spent])], ["sums", "counts", "inertia", "changed", "evaluated"])
+        told = np.array([inertia, changed, cost() if cost else 0.0])
+        hit = np.flatnonzero(counts)
+        cid = pa.array(np.r_[-1, hit], pa.int64())
+        yield pa.RecordBatch.from_arrays([cid, pa.array(np.r_[0, counts[hit]]), pa.array([told.tobytes(), *(s.tobytes() for s in sums[hit])], pa.binary())], ["cid", "n", "sums"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for c, n, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c in held:
+                    held[c][0] += n
+                    held[c][1] += np.frombuffer(v)
+                else:
+                    held[c] = [n, np.frombuffer(v).copy()]
+        for c, (n, v) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([n], pa.float64()), pa.array([v.tobytes()], pa.binary())], ["cid", "n", "sums"])
+
+    kind = "cid long, n double, sums binary"
+    parts = rows.select("features").mapInArrow(run, kind)
+    if k * dimensions * 8 > DIRECT:
+        parts = parts.repartition("cid").mapInArrow(merge, kind)
     out = Totals(np.zeros((k, dimensions)), np.zeros(k), 0.0, 0, 0.0)
-    # one row of k x d numbers for each task
-    for r in rows.select("features").mapInArrow(run, "sums binary, counts binary, inertia double, changed long, evaluated double").collect():
-        out.sums += np.frombuffer(r["sums"]).reshape(k, dimensions)
-        out.counts += np.frombuffer(r["counts"])
-        out.inertia += r["inertia"]
-        out.changed += r["changed"]
-        out.evaluated += r["evaluated"]
+    for r in parts.collect():
+        values = np.frombuffer(r["sums"])
+        if r["cid"] < 0:
+            out.inertia += float(values[0])
+            out.changed += int(values[1])
+            out.evaluated += float(values[2])
+        else:
+            out.sums[r["cid"]] += values
+            out.counts[r["cid"]] += r["n"]
     return out
 
 

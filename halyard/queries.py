@@ -300,6 +300,15 @@ def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logistic_row(spark, LogisticRegression(tol=1e-8).fit(_parts(spark, sf_dir), "big", ["x"]))
 
 
+@_query("WITH fit AS (" + _newton("1.0").replace("round(b, 6) AS coef, round(a, 6) AS intercept", "b, a") + "), z AS (SELECT p_partkey AS id, b * (p_retailprice - 1000) / 500 + a AS z FROM part, fit) SELECT id, (z > 0)::INT AS prediction, round(z, 5) AS decision, round(1 / (1 + exp(-z)), 5) AS probability FROM z")
+def logistic_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, score and probability of every part by that fit."""
+    parts = _parts(spark, sf_dir)
+    model = LogisticRegression(tol=1e-12).fit(parts, "big", ["x"])
+    found = model.predict_proba(model.decision_function(model.predict(parts)))
+    return found.select("id", "prediction", F.round("decision", 5).alias("decision"), F.round(F.col("probability")[1], 5).alias("probability"))
+
+
 @_query(_newton("CASE WHEN y = 1 THEN (SELECT count(*) / (2.0 * sum(y)) FROM src) ELSE (SELECT count(*) / (2.0 * sum(1 - y)) FROM src) END"))
 def logistic_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with classes of equal weight."""
