@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.terms import EDGES, Memo, held_out, sampled
+from halyard.llm.terms import EDGES, held_out, sampled
 from halyard.llm.workers import tidy
 
 BITS = 18
@@ -83,14 +84,13 @@ class Model:
     start: np.ndarray
 
 
-def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Sums of the words' feature weights [word, language]."""
+def emissions(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the words' feature weights [word, language], and which words have letters."""
     ids, first = word_features(words)
-    out = np.zeros((len(words), weights.shape[1]))
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        out[some] = np.add.reduceat(weights[ids], first[some], axis=0)
-    return out
+    out, lettered = np.zeros((len(words), weights.shape[1])), np.diff(first) > 0
+    if len(ids):
+        out[lettered] = np.add.reduceat(weights[ids], first[:-1][lettered], axis=0)
+    return out, lettered
 
 
 def marginals(emitted: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
@@ -226,37 +226,52 @@ def fit(docs: DataFrame, sample: int = 4000, runs: int = 20, seed: int = 42) ->
     return train([(languages.index(r["lang"]), r["text"].split()) for r in rows], languages, seed)
 
 
-def _labelled(texts: list[str], model: Model, memo: dict[str, int], table: list[np.ndarray]) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """Texts with letters, some at a time: place, words, and the words' distributions."""
-    held, held_words = [], 0
+class _Known:
+    """Emissions of the words that a task has met lately, and whether they have letters."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.emitted, self.lettered = np.empty((0, len(self.model.languages))), np.empty(0, bool)
 
-    def finish() -> Iterator[tuple[int, list[str], np.ndarray]]:
-        fresh = {w for _, words in held for w in words if w not in memo}
+    def ids(self, texts: list[list[str]]) -> np.ndarray:
+        """Places of all words, one text after the other."""
+        fresh = set().union(*texts).difference(self.place)
         if fresh:
-            if len(memo) + len(fresh) > KNOWN or any(len(w) > LONG for w in fresh):
-                memo.clear()
-                fresh = {w for _, words in held for w in words}
-                table[0] = np.empty((0, len(model.languages)))
-            fresh = list(fresh)
-            memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh)), strict=True))
-            table[0] = np.concatenate([table[0], emissions(fresh, model.weights)])
-        count = np.array([len(words) for _, words in held])
-        ids = np.fromiter((memo[w] for _, words in held for w in words), np.int64, count.sum())
+            if len(self.place) + len(fresh) > KNOWN or any(len(w) > LONG for w in fresh):
+                self.forget()
+                fresh = set().union(*texts)
+            words = list(fresh)
+            self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+            emitted, lettered = emissions(words, self.model.weights)
+            self.emitted, self.lettered = np.concatenate([self.emitted, emitted]), np.concatenate([self.lettered, lettered])
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+
+
+def _labelled(texts: list[str | None], known: _Known) -> Iterator[tuple[list[int], list[list[str]], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts with letters, some at a time: places, words, first word of each text, the words' distributions, which have letters."""
+
+    def finish(places: list[int], words: list[list[str]]) -> tuple:
+        count = np.array([len(w) for w in words])
+        ids, start = known.ids(words), np.cumsum(count) - count
         first = np.zeros(len(ids), bool)
-        first[np.cumsum(count) - count] = True
-        found = marginals(table[0][ids], first, model)
-        for (i, words), part in zip(held, np.split(found, np.cumsum(count)[:-1]), strict=True):
-            yield i, words, part
+        first[start] = True
+        return places, words, start, marginals(known.emitted[ids], first, known.model), known.lettered[ids]
 
+    places, words, held = [], [], 0
     for i, text in enumerate(texts):
-        if text and LETTER.search(text) and model.languages:
-            held.append((i, text.lower().split()))
-            held_words += len(held[-1][1])
-            if held_words >= WORDS:
-                yield from finish()
-                held, held_words = [], 0
-    if held:
-        yield from finish()
+        if text and LETTER.search(text) and known.model.languages:
+            places.append(i)
+            words.append(text.lower().split())
+            held += len(words[-1])
+            if held >= WORDS:
+                yield finish(places, words)
+                places, words, held = [], [], 0
+    if places:
+        yield finish(places, words)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -265,14 +280,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        memo, table = {}, [np.empty((0, len(own.languages)))]
-        lettered = Memo(lambda w: LETTER.search(w) is not None)
+        known = _Known(own)
         for batch in batches:
             lang, share = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for i, words, found in _labelled(batch.column(1).to_pylist(), own, memo, table):
-                total = found[np.fromiter(map(lettered.__getitem__, words), bool, len(words))].sum(0)
-                lang[i] = own.languages[int(total.argmax())]
-                share[i] = total.max() / total.sum()
+            for places, _, start, found, lettered in _labelled(batch.column(1).to_pylist(), known):
+                total = np.add.reduceat(found * lettered[:, None], start, axis=0)
+                share[places] = total.max(1) / total.sum(1)
+                for i, best in zip(places, total.argmax(1).tolist(), strict=True):
+                    lang[i] = own.languages[best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
@@ -284,10 +299,11 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        memo, table = {}, [np.empty((0, len(own.languages)))]
+        known = _Known(own)
         for batch in batches:
-            for i, words, found in _labelled(batch.column(1).to_pylist(), own, memo, table):
-                best = [own.languages[j] for j in found.argmax(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([words]), pa.array([best])], ["doc_id", "words", "langs"])
+            for places, words, start, found, _ in _labelled(batch.column(1).to_pylist(), known):
+                best = np.array(own.languages, object)[found.argmax(1)]
+                langs = [part.tolist() for part in np.split(best, start[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(words), pa.array(langs)], ["doc_id", "words", "langs"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>")
