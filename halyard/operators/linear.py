@@ -138,7 +138,7 @@ class LogisticRegression(Estimator):
         outputs, d = 1 if k == 2 else k, self.n_features_in_
         if fits(self._rows, d + 1):
             fun = _in_memory(coded, d, outputs, total, penalty, self.fit_intercept)
-            found, self.n_iter_ = minimize(fun, np.zeros(outputs * d + outputs * self.fit_intercept), min(self.tol, 1e-6), self.max_iter)
+            found, self.n_iter_ = minimize(fun, np.zeros(outputs * d + outputs * self.fit_intercept), self.tol / 10, self.max_iter)
             self.coef_ = found[: outputs * d].reshape(outputs, d)
             self.intercept_ = found[outputs * d :] if self.fit_intercept else np.zeros(outputs)
             value, slope, gradient = _evaluate(coded, self.coef_, self.intercept_, total, penalty, self.fit_intercept)
