@@ -40,6 +40,10 @@ GOOD, JUNK, NONE = 1, 0, 2
 
 def _shape(word: str) -> str:
     """Runs of letters, digits and each other character, collapsed: ``en%%%`` -> ``a%``."""
+    if word.isalpha() and (kind := "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else ""):
+        return kind
+    if word[-1] in ".," and word[:-1].isalpha():
+        return _shape(word[:-1]) + word[-1]
     out: list[str] = []
     for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
@@ -180,8 +184,13 @@ def rating(docs: DataFrame, model: Model) -> Column:
         yield from tidy(run)(batches)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = weights.value
-        memo = Memo(lambda word: float(own[list(_two(word))].sum()))
+        own = weights.value.tolist()
+
+        def weight(word: str) -> float:
+            one, two = _two(word)
+            return own[one] + own[two]
+
+        memo = Memo(weight)
         for batch in batches:
             found = []
             for text in batch:
