@@ -1,6 +1,7 @@
 """Full-batch k-means (Lloyd) with k-means++ or random starts.
 
-Each iteration is one pass: centers are broadcast, partial sums come back. A fit ends
+Each iteration is one pass: centers are broadcast, partial sums come back. A table of
+checked small size is fetched once and passes are made in memory. A fit ends
 when no label changes, else when the centers' squared shift is at most ``tol`` times
 the mean variance of the features, else after ``max_iter`` passes. Empty clusters take
 the farthest rows. Labels and inertia are from a fresh assignment to the final centers.
@@ -23,7 +24,7 @@ from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.functions.vectors import dense, lists, vector
 from halyard.operators.base import Estimator
 from halyard.plans.lloyd import dense_assign, inertia_of, total
-from halyard.plans.nearest import closest, mapped
+from halyard.plans.nearest import closest, fits, mapped
 from halyard.seeds import derive_seed, resolve_seed, uniform
 from halyard.validation import Shape, checked, prepared, require_int, require_params
 
@@ -55,54 +56,91 @@ def plus_plus(rows: DataFrame, k: int, dimensions: int, seed: int) -> np.ndarray
     for each trial, and the choice does not depend on partitions.
     """
     trials = 2 + int(math.log(k))
+    seeds = [derive_seed(seed, "plus", step) >> 1 for step in range(k)]
+    held = Held.of(rows, dimensions, seeds)
     centers = np.empty((0, dimensions))
     for step in range(k):
-        own = derive_seed(seed, "plus", step) >> 1
-        held = centers
-
-        def draw(batches: Iterator[pa.RecordBatch], held=held, tries=1 if step == 0 else trials) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[float, int, bytes]] = [(math.inf, 0, b"")] * tries
-            for batch in batches:
-                x = dense(batch.column(0), dimensions)
-                if not len(x):
-                    continue
-                weight = closest(x, held)[1] if len(held) else np.ones(len(x))
-                key = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-                for t in range(tries):
-                    mixed = (key ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                    u = ((mixed >> np.uint64(11)).astype(float) + 0.5) / 2**53
-                    with np.errstate(divide="ignore"):
-                        rank = np.where(weight > 0, -np.log(u) / weight, np.inf)
-                    i = int(np.lexsort((key, rank))[0])
-                    best[t] = min(best[t], (float(rank[i]), int(key[i]), x[i].tobytes()))
-            rows_out = [(t, *b) for t, b in enumerate(best) if b[0] < math.inf]
-            if rows_out:
-                t, rank, key, x = zip(*rows_out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(rank), pa.array([k - (1 << 64) if k >> 63 else k for k in key], pa.int64()), pa.array(x, pa.binary())], ["t", "rank", "key", "x"])
-
-        keyed = rows.select("features", F.xxhash64("id", F.lit(own)).alias("key"))
-        drawn = keyed.mapInArrow(draw, "t int, rank double, key long, x binary").groupBy("t").agg(F.min(F.struct("rank", "key", "x")).alias("b")).select("t", "b.x").collect()
-        if not drawn:  # every row lies on a center
+        tries = 1 if step == 0 else trials
+        if held is not None:
+            found = drawn(held.x, held.keys[:, step], centers, tries)
+        else:
+            found = _drawn_by_spark(rows, centers, tries, seeds[step], dimensions)
+        options = np.array([x for rank, _, x in found if rank < math.inf])
+        if not len(options):  # every row lies on a center
             return np.concatenate([centers, np.repeat(centers[:1], k - step, axis=0)])
-        options = np.array([np.frombuffer(r["x"]) for r in sorted(drawn, key=lambda r: r["t"])])
         if len(options) > 1:
-            options = options[int(np.argmin(_potentials(rows, centers, options, dimensions)))][None, :]
+            sums = potentials(held.x, centers, options) if held is not None else _potentials(rows, centers, options, dimensions)
+            options = options[int(np.argmin(sums))][None, :]
         centers = np.concatenate([centers, options])
     return centers
 
 
+@dataclass
+class Held:
+    """A small table in memory: vectors in the order of id, and hashes of the ids for some seeds."""
+
+    x: np.ndarray
+    keys: np.ndarray
+
+    @classmethod
+    def of(cls, rows: DataFrame, dimensions: int, seeds: list[int]) -> Held | None:
+        """The table, if it is small enough."""
+        if not fits(rows.count(), dimensions + len(seeds)):
+            return None
+        keys = F.array(*[F.xxhash64("id", F.lit(s)) for s in seeds]) if seeds else F.array(F.lit(0).cast("long"))
+        table = rows.select("id", "features", keys.alias("keys")).toArrow().sort_by("id").combine_chunks()
+        flat = table.column("keys").combine_chunks().flatten().to_numpy()
+        return cls(dense(table.column("features"), dimensions), flat.reshape(table.num_rows, -1))
+
+
+def drawn(x: np.ndarray, key: np.ndarray, centers: np.ndarray, tries: int) -> list[tuple[float, int, np.ndarray]]:
+    """For each trial the least rank among some rows, with its key and vector."""
+    if not len(x):
+        return [(math.inf, 0, np.empty(0))] * tries
+    weight = closest(x, centers)[1] if len(centers) else np.ones(len(x))
+    key = key.view(np.uint64)
+    best = []
+    for t in range(tries):
+        mixed = (key ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        u = ((mixed >> np.uint64(11)).astype(float) + 0.5) / 2**53
+        with np.errstate(divide="ignore"):
+            rank = np.where(weight > 0, -np.log(u) / weight, np.inf)
+        i = int(np.lexsort((key, rank))[0])
+        best.append((float(rank[i]), int(key[i]), x[i]))
+    return best
+
+
+def _drawn_by_spark(rows: DataFrame, centers: np.ndarray, tries: int, seed: int, dimensions: int) -> list[tuple[float, int, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[float, int, np.ndarray]] = [(math.inf, 0, np.empty(0))] * tries
+        for batch in batches:
+            found = drawn(dense(batch.column(0), dimensions), batch.column(1).to_numpy(zero_copy_only=False), centers, tries)
+            best = [min(a, b, key=lambda r: r[:2]) for a, b in zip(best, found, strict=True)]
+        out = [(t, rank, str(key).zfill(20), x.tobytes()) for t, (rank, key, x) in enumerate(best) if rank < math.inf]
+        if out:
+            t, rank, key, x = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(rank), pa.array(key), pa.array(x, pa.binary())], ["t", "rank", "key", "x"])
+
+    keyed = rows.select("features", F.xxhash64("id", F.lit(seed)).alias("key"))
+    parts = keyed.mapInArrow(run, "t int, rank double, key string, x binary").groupBy("t").agg(F.min(F.struct("rank", "key", "x")).alias("b")).select("t", "b.*").collect()
+    return [(r["rank"], int(r["key"]), np.frombuffer(r["x"])) for r in sorted(parts, key=lambda r: r["t"])]
+
+
+def potentials(x: np.ndarray, centers: np.ndarray, options: np.ndarray) -> np.ndarray:
+    """The potential of some rows with each of the options added."""
+    now = closest(x, centers)[1]
+    return np.array([np.minimum(now, np.square(x - option).sum(1)).sum() for option in options])
+
+
 def _potentials(rows: DataFrame, centers: np.ndarray, options: np.ndarray, dimensions: int) -> np.ndarray:
-    """The potential with each of the options added."""
+    """The potential of a whole table with each of the options added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(options))
         for batch in batches:
-            x = dense(batch.column(0), dimensions)
-            if len(x):
-                now = closest(x, centers)[1]
-                for t, option in enumerate(options):
-                    sums[t] += np.minimum(now, np.square(x - option).sum(1)).sum()
+            if batch.num_rows:
+                sums += potentials(dense(batch.column(0), dimensions), centers, options)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     return np.sum([np.frombuffer(r["sums"]) for r in rows.select("features").mapInArrow(run, "sums binary").collect()], axis=0)
@@ -227,9 +265,11 @@ class KMeans(Centers):
 
     def _run(self, ready: Prepared, centers: np.ndarray) -> tuple:
         rows, d, k = ready.rows, ready.shape.dimensions, self.n_clusters
+        held = Held.of(rows, d, [])
+        data = rows if held is None else held.x
         before, stats, reason = None, [], "max_iter"
         for iteration in range(self.max_iter):
-            found = total(rows, dense_assign(centers), k, d, dense_assign(before) if before is not None else None)
+            found = total(data, dense_assign(centers), k, d, dense_assign(before) if before is not None else None)
             new, empty = relocated(rows, centers, found.sums, found.counts, d)
             shift = float(np.square(new - centers).sum())
             stats.append({"iteration": iteration + 1, "inertia_before_update": found.inertia, "center_shift_squared": shift, "empty_clusters": empty})
@@ -238,7 +278,7 @@ class KMeans(Centers):
             if unchanged or shift <= ready.tolerance:
                 reason = "labels" if unchanged else "tolerance"
                 break
-        final = total(rows, dense_assign(centers), k, d)
+        final = total(data, dense_assign(centers), k, d)
         return final.inertia, centers, iteration + 1, reason, stats, int((final.counts > 0).sum())
 
     def fit(self, df: DataFrame, features: str | list[str] = "features", id_col: str = "id", weight: str | None = None) -> Self:

@@ -37,23 +37,29 @@ class Totals:
     evaluated: float
 
 
-def total(rows: DataFrame, assign: Assign, k: int, dimensions: int, before: Assign | None = None, cost: Callable[[], float] | None = None) -> Totals:
-    """Sums and counts by label, the sum of squared distances, and how many labels differ from ``before``'s."""
+def sums_of(x: np.ndarray, assign: Assign, k: int, before: Assign | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Sums and counts by label, the sum of squared distances, and how many labels differ from ``before``'s, of some rows."""
+    sums = np.zeros((k, x.shape[1]))
+    if not len(x):
+        return sums, np.zeros(k), 0.0, 0
+    label, d2 = assign(x)
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
+    sums[label[order][first]] = np.add.reduceat(x[order], first, axis=0)
+    changed = int((before(x)[0] != label).sum()) if before is not None else 0
+    return sums, np.bincount(label, minlength=k).astype(float), float(d2.sum()), changed
+
+
+def total(rows: DataFrame | np.ndarray, assign: Assign, k: int, dimensions: int, before: Assign | None = None, cost: Callable[[], float] | None = None) -> Totals:
+    """``sums_of`` all rows of a table, or of a table that is held in memory."""
+    if isinstance(rows, np.ndarray):
+        return Totals(*sums_of(rows, assign, k, before), cost() if cost else 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, inertia, changed = np.zeros((k, dimensions)), np.zeros(k), 0.0, 0
         for batch in batches:
-            x = dense(batch.column(0), dimensions)
-            if not len(x):
-                continue
-            label, d2 = assign(x)
-            order = np.argsort(label, kind="stable")
-            first = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
-            sums[label[order][first]] += np.add.reduceat(x[order], first, axis=0)
-            counts += np.bincount(label, minlength=k)
-            inertia += float(d2.sum())
-            if before is not None:
-                changed += int((before(x)[0] != label).sum())
+            found = sums_of(dense(batch.column(0), dimensions), assign, k, before)
+            sums, counts, inertia, changed = sums + found[0], counts + found[1], inertia + found[2], changed + found[3]
         told = np.array([inertia, changed, cost() if cost else 0.0])
         hit = np.flatnonzero(counts)
         cid = pa.array(np.r_[-1, hit], pa.int64())

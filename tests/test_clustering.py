@@ -46,11 +46,21 @@ def test_labels_are_fresh(spark):
     assert model.score(rows) == pytest.approx(-model.inertia_)
 
 
+def test_memory_and_spark_draw_the_same_centers(spark):
+    rows = frame(spark, BLOBS)
+    with tuning_context(broadcast_bytes=1):
+        far = plus_plus(rows, 5, 3, 9)
+        fit = KMeans(4, random_state=2).fit(rows)
+    assert np.array_equal(plus_plus(rows, 5, 3, 9), far)
+    assert KMeans(4, random_state=2).fit(rows).cluster_centers_ == pytest.approx(fit.cluster_centers_)
+
+
 def test_sums_merged_by_cluster_are_the_same(spark, monkeypatch):
     start = BLOBS[[0, 47, 94]] + 0.1
     one = KMeans(3, init=start, max_iter=3, tol=0).fit(frame(spark, BLOBS, parts=5))
     monkeypatch.setattr(lloyd_plan, "DIRECT", 0)
-    two = KMeans(3, init=start, max_iter=3, tol=0).fit(frame(spark, BLOBS, parts=5))
+    with tuning_context(broadcast_bytes=1):
+        two = KMeans(3, init=start, max_iter=3, tol=0).fit(frame(spark, BLOBS, parts=5))
     assert one.cluster_centers_ == pytest.approx(two.cluster_centers_) and one.inertia_ == pytest.approx(two.inertia_) and one.n_iter_ == two.n_iter_
 
 
