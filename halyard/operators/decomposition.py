@@ -9,7 +9,7 @@ min(n, d) squared is ever formed. Each component's largest loading is positive.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Self
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from halyard.errors import UnsupportedInput
 from halyard.functions.vectors import dense, lists, vector
 from halyard.operators.base import Estimator
+from halyard.plans import partials
 from halyard.plans.nearest import mapped
 from halyard.validation import checked, prepared, require_params
 
@@ -27,8 +28,8 @@ from halyard.validation import checked, prepared, require_params
 SIDE = 8192
 
 
-def _summed(rows: DataFrame, dimensions: int, compute, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over tasks, merged in a tree by parts of the matrix so that no row is large."""
+def _summed(rows: DataFrame, dimensions: int, compute: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of ``compute`` over all rows; large matrices are merged line by line before they reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -36,14 +37,13 @@ def _summed(rows: DataFrame, dimensions: int, compute, shape: tuple[int, ...]) -
             if batch.num_rows:
                 total += compute(dense(batch.column(0), dimensions))
         flat = np.atleast_2d(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), lists(flat)], ["line", "v"])
-
-    parts = rows.select("features").mapInArrow(run, "line long, v array<double>")
-    width = shape[-1]
-    summed = parts.select("line", F.posexplode("v").alias("column", "x")).groupBy("line", "column").agg(F.sum("x").alias("x")).toPandas()
-    out = np.zeros((shape[0] if len(shape) > 1 else 1, width))
-    out[summed["line"], summed["column"]] = summed["x"]
-    return out.reshape(shape)
+        yield partials.batch(np.arange(len(flat)), np.zeros(len(flat)), list(flat))
+
+    out = np.zeros(shape)
+    lines = np.atleast_2d(out)
+    for r in partials.gathered(rows.select("features").mapInArrow(run, partials.KIND), out.nbytes):
+        lines[r["cid"]] += np.frombuffer(r["sums"])
+    return out
 
 
 def choose_svd_solver(n: int, d: int, n_components, svd_solver: str) -> str:

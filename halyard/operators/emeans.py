@@ -143,12 +143,21 @@ class _Batches:
     def of(self, epoch: int, wanted: int, size: int) -> Iterator[DataFrame | np.ndarray]:
         """Each batch holds the rows whose draw falls into its part of [0, 1)."""
         place = uniform(F.col("id"), self.seed, "epoch", epoch)
+        drawn = self.rows.select("features", "id", place.alias("u"))
+        parts = [(start / self.n, min(start + size, wanted) / self.n) for start in range(0, wanted, size)]
         if self.small:
-            table = self.rows.select("features", place.alias("u"), "id").toArrow().sort_by([("u", "ascending"), ("id", "ascending")])
+            table = drawn.toArrow().sort_by([("u", "ascending"), ("id", "ascending")])
             x, u = dense(table.column("features"), self.d), table.column("u").to_numpy()
-        for start in range(0, wanted, size):
-            low, high = start / self.n, min(start + size, wanted) / self.n
-            yield x[(u >= low) & (u < high)] if self.small else self.rows.where((place >= low) & (place < high))
+            for low, high in parts:
+                yield x[(u >= low) & (u < high)]
+            return
+        # one shuffle a pass: kept in the order of the draw, so that a batch reads its own part of the cache only
+        held = (drawn.repartitionByRange("u").sortWithinPartitions("u") if len(parts) > 1 else drawn).persist()
+        try:
+            for low, high in parts:
+                yield held.where((F.col("u") >= low) & (F.col("u") < high))
+        finally:
+            held.unpersist()
 
 
 def _totals(batch: DataFrame | np.ndarray, assign: Assign, k: int, d: int, spent: list[float]) -> tuple[Totals, int]:

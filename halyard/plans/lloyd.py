@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from halyard.functions.vectors import dense
+from halyard.plans import partials
 from halyard.plans.nearest import closest
 
-#: Bytes of a task's partial sums up to which they go straight to the driver.
-DIRECT = 1 << 18
-
 #: Chooses a center for each row: labels and squared distances.
 Assign = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -62,27 +60,11 @@ def total(rows: DataFrame | np.ndarray, assign: Assign, k: int, dimensions: int,
             sums, counts, inertia, changed = sums + found[0], counts + found[1], inertia + found[2], changed + found[3]
         told = np.array([inertia, changed, cost() if cost else 0.0])
         hit = np.flatnonzero(counts)
-        cid = pa.array(np.r_[-1, hit], pa.int64())
-        yield pa.RecordBatch.from_arrays([cid, pa.array(np.r_[0, counts[hit]]), pa.array([told.tobytes(), *(s.tobytes() for s in sums[hit])], pa.binary())], ["cid", "n", "sums"])
+        yield partials.batch(np.r_[-1, hit], np.r_[0, counts[hit]], [told, *sums[hit]])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for c, n, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if c in held:
-                    held[c][0] += n
-                    held[c][1] += np.frombuffer(v)
-                else:
-                    held[c] = [n, np.frombuffer(v).copy()]
-        for c, (n, v) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([n], pa.float64()), pa.array([v.tobytes()], pa.binary())], ["cid", "n", "sums"])
-
-    kind = "cid long, n double, sums binary"
-    parts = rows.select("features").mapInArrow(run, kind)
-    if k * dimensions * 8 > DIRECT:
-        parts = parts.repartition("cid").mapInArrow(merge, kind)
+    parts = rows.select("features").mapInArrow(run, partials.KIND)
     out = Totals(np.zeros((k, dimensions)), np.zeros(k), 0.0, 0, 0.0)
-    for r in parts.collect():
+    for r in partials.gathered(parts, k * dimensions * 8):
         values = np.frombuffer(r["sums"])
         if r["cid"] < 0:
             out.inertia += float(values[0])

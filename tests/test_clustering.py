@@ -9,7 +9,7 @@ from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.operators import schedules
 from halyard.operators.emeans import EMeans, OMeans, build_cells, ema, normalized, rounded, split, split_plan
 from halyard.operators.kmeans import KMeans, first_centers, plus_plus
-from halyard.plans import lloyd as lloyd_plan
+from halyard.plans import partials
 from halyard.plans.nearest import closest
 from halyard.streaming.clustering import StreamingCenters
 from tests.test_neighbors import frame
@@ -58,7 +58,7 @@ def test_memory_and_spark_draw_the_same_centers(spark):
 def test_sums_merged_by_cluster_are_the_same(spark, monkeypatch):
     start = BLOBS[[0, 47, 94]] + 0.1
     one = KMeans(3, init=start, max_iter=3, tol=0).fit(frame(spark, BLOBS, parts=5))
-    monkeypatch.setattr(lloyd_plan, "DIRECT", 0)
+    monkeypatch.setattr(partials, "DIRECT", 0)
     with tuning_context(broadcast_bytes=1):
         two = KMeans(3, init=start, max_iter=3, tol=0).fit(frame(spark, BLOBS, parts=5))
     assert one.cluster_centers_ == pytest.approx(two.cluster_centers_) and one.inertia_ == pytest.approx(two.inertia_) and one.n_iter_ == two.n_iter_

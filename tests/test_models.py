@@ -11,6 +11,7 @@ from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.operators.decomposition import PCA, choose_svd_solver, mle_dimension
 from halyard.operators.linear import LogisticRegression, minimize
 from halyard.operators.svm import SVC, kernel_diagonal, kernel_matrix, kkt_violations, ovo_votes, ovr_decision, solve
+from halyard.plans import partials
 from tests.test_neighbors import frame
 
 
@@ -203,6 +204,14 @@ def test_components_match_svd(spark, n, d):
     assert np.cov(np.stack(white).T) == pytest.approx(np.eye(2), abs=1e-6)
 
 
+def test_gram_merged_by_line_is_the_same(spark, monkeypatch):
+    x = np.random.default_rng(0).normal(size=(90, 5))
+    one = PCA(3).fit(frame(spark, x))
+    monkeypatch.setattr(partials, "DIRECT", 0)
+    two = PCA(3).fit(frame(spark, x))
+    assert one.components_ == pytest.approx(two.components_) and one.mean_ == pytest.approx(two.mean_)
+
+
 def test_likelihood_is_that_of_the_covariance(spark):
     x = np.random.default_rng(0).normal(size=(100, 4)) * [3, 2, 1, 1]
     rows = frame(spark, x)
