@@ -215,7 +215,8 @@ def groups(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
     joined = cut(each.join(reach, each["fp"] == reach["node"]).select("fp", "root", "first_id"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = joined.join(ids, "root").select("fp", "least_id")
-    known = each.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # cut, so that both sides of the last join are shuffled for it alone and a crowded fingerprint can be split
+    known = cut(each.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
