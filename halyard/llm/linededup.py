@@ -376,6 +376,7 @@ def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16) -> DataFram
     placed_member = cut(member.join(first, ["h1", "h2"]))
     of_class = placed_member.join(placed_member.groupBy("root").agg(F.min("first_place").alias("class_place")), "root").select("h1", "h2", "links", "class_place")
     known = first.join(of_class, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("class_place", "first_place").alias("class_place"))
+    known = cut(known)  # so that both sides of the last join are shuffled for it alone and a common line can be split
     every = placed.join(known, ["h1", "h2"])
     return every.select(
         "doc_id",
