@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from halyard.config import get_config
 from halyard.diagnostics import BackendEvent, record_event
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
-from halyard.functions.vectors import dot, vector
+from halyard.functions.vectors import dot, lists, vector
 from halyard.operators.base import Estimator, sorted_labels
-from halyard.plans.nearest import fits
+from halyard.plans.nearest import fits, mapped
 from halyard.validation import checked, prepared, require_int, require_params, require_positive
 
-#: Features up to which Newton steps are taken.
-NEWTON = 256
+#: Features up to which Newton steps are taken; coefficients up to which scores are unrolled into generated code.
+NEWTON, UNROLLED = 256, 128
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -213,37 +213,35 @@ class LogisticRegression(Estimator):
         code = F.array_position(F.array(*[F.lit(c) for c in self.classes_]), F.col("label")).cast("int") - 1
         return rows.select("features", code.alias("code"), F.col("weight") if weight else F.lit(1.0).alias("weight"))
 
-    def _raw(self, x: Column) -> list[Column]:
-        return [dot(x, w) + F.lit(float(b)) for w, b in zip(self.coef_, self.intercept_, strict=True)]
-
-    def _with(self, df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.withColumn(name, value)
-
-    def _x(self, df: DataFrame) -> Column:
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_raw``, the scores: in generated code while there are few terms, else in Arrow batches."""
         self._need("coef_")
-        return vector(df, self._features)
+        x = vector(df, self._features)
+        if self.coef_.size <= UNROLLED:
+            return df.withColumn("_raw", F.array(*[dot(x, w) + F.lit(float(b)) for w, b in zip(self.coef_, self.intercept_, strict=True)]))
+        coef, intercept = self.coef_, self.intercept_
+        named = df.withColumn("_x", x)
+        return mapped(named, self.n_features_in_, {"_raw": "array<double>"}, lambda x: [lists(x @ coef.T + intercept)], source="_x").drop("_x")
+
+    def _classes(self) -> Column:
+        return F.array(*[F.lit(c) for c in self.classes_])
 
     def decision_function(self, df: DataFrame) -> DataFrame:
         """``df`` with ``decision``: a number for two classes, else an array."""
-        raw = self._raw(self._x(df))
-        return self._with(df, "decision", raw[0] if len(raw) == 1 else F.array(*raw))
+        return self._scored(df).withColumn("decision", F.col("_raw")[0] if len(self.classes_) == 2 else F.col("_raw")).drop("_raw")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``prediction``; a score of zero is the smaller label, equal scores the smallest."""
-        raw = self._raw(self._x(df))
-        if len(raw) == 1:
-            return self._with(df, "prediction", F.when(raw[0] > 0, F.lit(self.classes_[1])).otherwise(F.lit(self.classes_[0])))
-        classes = F.array(*[F.lit(c) for c in self.classes_])
-        with_raw = df.withColumn("_raw", F.array(*raw))
-        return with_raw.withColumn("prediction", classes[(F.array_position(F.col("_raw"), F.array_max("_raw")) - 1).cast("int")]).drop("_raw")
+        code = F.when(F.col("_raw")[0] > 0, 1).otherwise(0) if len(self.classes_) == 2 else F.array_position(F.col("_raw"), F.array_max("_raw")) - 1
+        return self._scored(df).withColumn("prediction", self._classes()[code.cast("int")]).drop("_raw")
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probability``: an array in the order of ``classes_``."""
-        raw = self._raw(self._x(df))
-        if len(raw) == 1:
-            return df.withColumn("_p", 1 / (1 + F.exp(-raw[0]))).withColumn("probability", F.array(1 - F.col("_p"), F.col("_p"))).drop("_p")
+        scored = self._scored(df)
+        if len(self.classes_) == 2:
+            return scored.withColumn("_p", 1 / (1 + F.exp(-F.col("_raw")[0]))).withColumn("probability", F.array(1 - F.col("_p"), F.col("_p"))).drop("_p", "_raw")
         # step by step, so that scores are not computed again for every class
-        e = df.withColumn("_raw", F.array(*raw)).withColumn("_top", F.array_max("_raw"))
+        e = scored.withColumn("_top", F.array_max("_raw"))
         e = e.withColumn("_e", F.transform("_raw", lambda r: F.exp(r - F.col("_top"))))
         e = e.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda s, v: s + v))
         return e.withColumn("probability", F.transform("_e", lambda v: v / F.col("_sum"))).drop("_raw", "_top", "_e", "_sum")

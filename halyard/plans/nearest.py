@@ -26,6 +26,10 @@ from halyard.config import get_tuning
 from halyard.functions.vectors import dense
 
 
+#: Training rows from which queries in few partitions are dealt to all cores first.
+SPREAD = 4096
+
+
 def collected(df: DataFrame, dimensions: int) -> tuple[pa.Array, np.ndarray]:
     """A table of checked size on the driver, in the order of id."""
     table = df.select("id", "features").toArrow().sort_by("id").combine_chunks()
@@ -83,6 +87,9 @@ def neighbors(queries: DataFrame, train: DataFrame, shape: tuple[int, int], k: i
     rows, dimensions = shape
     radius2 = None if radius is None else float(radius) ** 2
     if fits(rows, dimensions):
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        if rows >= SPREAD and queries.rdd.getNumPartitions() < cores:
+            queries = queries.select("id", "features").repartition(cores)
         return _streamed_queries(queries, train, dimensions, k, radius2, exclude_self), "broadcast_train"
     return _streamed_train(queries, train, dimensions, k, radius2, exclude_self), "broadcast_query_blocks"
 
@@ -166,15 +173,15 @@ def closest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return label, least
 
 
-def mapped(df: DataFrame, dimensions: int, columns: dict[str, str], compute: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
-    """``df`` with columns computed from its checked ``features``, batch by batch."""
+def mapped(df: DataFrame, dimensions: int, columns: dict[str, str], compute: Callable[[np.ndarray], list[pa.Array]], source: str = "features") -> DataFrame:
+    """``df`` with columns computed from a column of checked vectors, batch by batch."""
     # field names are quoted, for the schema is read back from text
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                more = compute(dense(batch.column(batch.schema.get_field_index("features")), dimensions))
+                more = compute(dense(batch.column(batch.schema.get_field_index(source)), dimensions))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *columns])
 
     return df.mapInArrow(run, ", ".join([schema, *(f"`{c}` {kind}" for c, kind in columns.items())]))
