@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from halyard.llm import ann, chat, langid, linededup, mixing, packing, quality, simhash, topk, toxicity
 from halyard.llm.terms import held_out
 from halyard.llm.tokens import public
-from halyard.llm.workers import small_batches
+from halyard.llm.workers import small_batches, spread
 from halyard.session import table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, to be sent to Python in small batches."""
     small_batches(spark)
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

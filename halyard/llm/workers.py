@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch where rows hold whole texts.
 TEXTS = 1000
@@ -21,6 +21,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXTS))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt to all cores if it comes in fewer partitions (a small table in one file)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
