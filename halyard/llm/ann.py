@@ -7,9 +7,11 @@ are linked to their nearest ones and a few random ones, and that graph, held in
 memory, is searched best first. Every vector goes to the list of its nearest
 centroid; a vector at a boundary is replicated to further lists whose centroid is
 about as near, unless a chosen centroid is nearer to that centroid than the vector
-is. A query visits the lists whose centroid is at most ``ratio`` times as far as
-the nearest one; the ratio is found on the sample, where neighbours are sparser
-than in the whole and so harder to find (Chen et al., 2021).
+is. A query visits all lists whose centroid is at most ``ratio`` times as far as
+the nearest one: where the search front is full before that bound is met, the query
+is compared with every centroid. The ratio is found on the sample, from distances to
+all centroids, where neighbours are sparser than in the whole and so harder to find
+(Chen et al., 2021).
 
 Lists and queries are split by hash into parts of bounded size, each pair of parts
 being compared in a task of its own, so a list of any length is searched in full.
@@ -149,6 +151,23 @@ def lists_of(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def visited(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that unit queries visit, all within the ratio: row, list."""
+    near, far = walk(x, index)
+    ok = np.isfinite(far) & (far <= index.ratio * far[:, :1] + 1e-12)
+    # a front that ends within the bound may have left lists out
+    full = np.flatnonzero(ok.all(1) & (near.shape[1] < len(index.centroids)))
+    ok[full] = False
+    at, column = np.nonzero(ok)
+    rows, lists = [at], [near[at, column]]
+    for i in range(0, len(full), 256):
+        far = _far(x[full[i : i + 256]], index.centroids)
+        at, column = np.nonzero(far <= index.ratio * far.min(1, keepdims=True) + 1e-12)
+        rows.append(full[i + at])
+        lists.append(column)
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def fit(vectors: DataFrame, seed: int = 42, k: int = 5) -> Index | None:
     """An index fitted on about SAMPLE vectors; None if there are none."""
     n = vectors.count()
@@ -165,7 +184,7 @@ def fit(vectors: DataFrame, seed: int = 42, k: int = 5) -> Index | None:
     # the smallest ratio that finds enough of the true neighbours
     asked = rng.choice(len(x), min(PROBES, len(x)), replace=False)
     true = np.concatenate([np.argsort(-(x[asked[i : i + 32]] @ x.T), axis=1, kind="stable")[:, 1 : k + 1] for i in range(0, len(asked), 32)])
-    ids, far = walk(x[asked], index)
+    far = _far(x[asked], centroids)
     member: dict[int, set[int]] = {t: set() for t in np.unique(true).tolist()}
     some = np.array(sorted(member))
     for i in range(0, len(some), 1024):
@@ -174,8 +193,8 @@ def fit(vectors: DataFrame, seed: int = 42, k: int = 5) -> Index | None:
             member[r].add(c)
     needed = []
     for q, neighbours in enumerate(true.tolist()):
-        place = {c: far[q, i] / max(far[q, 0], 1e-12) for i, c in enumerate(ids[q].tolist())}
-        needed += [min((place.get(c, np.inf) for c in member[t]), default=np.inf) for t in neighbours]
+        ratios = far[q] / max(far[q].min(), 1e-12)
+        needed += [min(ratios[c] for c in member[t]) for t in neighbours]
     if needed:
         index.ratio = float(np.sort(needed)[min(len(needed) - 1, int(RECALL * len(needed)))])
     index.ratio = min(max(index.ratio, 1.05) * 1.02, 1e9)
@@ -208,9 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
                     part = x[i : i + 1024]
                     unit = padded(_unit(part), width)[:, :width]
                     if query:
-                        near, far = walk(unit, own)
-                        at, column = np.nonzero(np.isfinite(far) & (far <= own.ratio * far[:, :1] + 1e-12))
-                        lists = near[at, column]
+                        at, lists = visited(unit, own)
                     else:
                         at, lists = lists_of(unit, own)
                     data = [part[j].tobytes() for j in at]

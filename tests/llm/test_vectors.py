@@ -93,6 +93,23 @@ def test_ann_recall(spark, monkeypatch):
     assert (found.groupby("query_id")["rank"].max() == 5).all()
 
 
+def test_ann_recall_over_a_thousand_lists(spark, monkeypatch):
+    """Random directions, whose neighbours are spread over far more lists than a search front holds."""
+    monkeypatch.setattr(ann, "LIST", 8)
+    x = ann._unit(np.random.default_rng(5).normal(size=(10_400, 64)))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    assert len(ann.fit(vectors).centroids) > 1000
+    found = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 100 = 0"), 5).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 10_400, 100):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & found.get(q, set()))
+    assert hits / (5 * 104) >= 0.9
+
+
 def test_lists_are_balanced_and_the_graph_finds_them():
     rng = np.random.default_rng(2)
     x = ann._unit(np.concatenate([rng.normal(size=(2000, 16)), np.tile(rng.normal(size=(1, 16)), (1000, 1))]))
