@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import linededup, mixing, quality, queries, simhash
+from halyard.llm import jaccard, linededup, mixing, quality, queries, simhash
 from halyard.llm.workers import small_batches
 from halyard.session import checkpoint_dir, table
 
@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group of near duplicates: 4 bits of SimHash, or 0.8 of all five-word shingles."""
     small_batches(spark)
-    return simhash.deduplicate(docs, width=4, threshold=4)
+    return simhash.deduplicate(docs, width=4, threshold=4, more=jaccard.links(docs, words=5, similarity=0.8, width=4))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

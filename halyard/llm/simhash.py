@@ -207,11 +207,12 @@ def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
     return dealt.mapInArrow(tidy(compare), "u long, v long")
 
 
-def groups(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
+def groups(docs: DataFrame, width: int = 4, threshold: int = 4, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row. ``more`` are further links (u, v) of fingerprints."""
     prints = cut(fingerprints(docs, width))
     each = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    reach = components(links(each, threshold))
+    linked = links(each, threshold)
+    reach = components(linked if more is None else linked.unionByName(more))
     joined = cut(each.join(reach, each["fp"] == reach["node"]).select("fp", "root", "first_id"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = joined.join(ids, "root").select("fp", "least_id")
@@ -220,12 +221,12 @@ def groups(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 4, threshold: int = 4, more: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, one row a document.
 
     Rows without a doc_id cannot be told apart and stay.
     """
-    kept = groups(docs, width, threshold).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    kept = groups(docs, width, threshold, more).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
     kept = cut(kept)
     found = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     if kept.where(F.col("_rows") > 1).isEmpty():
