@@ -13,8 +13,8 @@ so a conversation of any length takes bounded memory.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null
 first), then role, then text, so repeated rows are turns of their own; rows without
-conv_id are one conversation; a turn longer than the budget is a window by itself
-with what is repeated left out; an empty table gives an empty result; other columns
+conv_id are one conversation; a turn that the budget has no room for, beside the
+system turn, makes a window over budget with the system turn alone; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -80,12 +80,9 @@ class _Windows:
         self.total = 0  # running sum of this window's tokens
 
     def begin(self, size: int) -> None:
-        """What the next window repeats, as far as the budget leaves room for a new turn of this size."""
-        room = self.budget - size
-        head = []
-        if self.system and self.system[2] <= room:
-            head, room = [self.system], room - self.system[2]
-        kept = []
+        """What the next window repeats: the system turn, and history as far as the budget leaves room beside a new turn of this size."""
+        head = [self.system] if self.system else []
+        room, kept = self.budget - size - sum(t[2] for t in head), []
         for t in self.recent[::-1][: self.history]:
             if t is self.system or t[2] > room:
                 break
@@ -121,17 +118,17 @@ class _Windows:
         return row
 
 
-def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, history: int = 2) -> DataFrame:
+def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, history: int = 2, ranks: str | None = None) -> DataFrame:
     """conv_id, window, first_turn, repeated, tokens, text, loss (spans of code points) of every window.
 
-    Windows of a conversation lie in one partition, in order.
+    Windows of a conversation lie in one partition, in order. For ``tokenizer`` and ``ranks`` see ``tokens.encoder``.
     """
     kind = conversations.schema["conv_id"].dataType
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, out, held, begun = _Windows(encoder(tokenizer), budget, history), [], 0, False
+        state, out, held, begun = _Windows(encoder(tokenizer, ranks), budget, history), [], 0, False
         schema = None
         for batch in batches:
             if schema is None:

@@ -40,11 +40,11 @@ CHILDREN = 60
 BATCH = 1 << 22
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length and ids (binary: little-endian unsigned 32-bit) of every piece."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, ranks: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length and ids (binary: little-endian unsigned 32-bit) of every piece. For ``tokenizer`` and ``ranks`` see ``tokens.encoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, ranks)
         for batch in batches:
             ids, rows, held = [], [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):

@@ -46,7 +46,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.windows(rows, public("byte_bpe_50k.tiktoken"), budget=1024, history=2))
+    return chat.digests(chat.windows(rows, public("byte_bpe_50k.json"), budget=1024, history=2, ranks=public("byte_bpe_50k.tiktoken")))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """All documents in sequences of 1024 tokens: a row a piece, its ids as a digest."""
-    found = packing.pieces(docs, public("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
+    found = packing.pieces(docs, public("byte_bpe_50k.json"), capacity=1024, end_id=2, ranks=public("byte_bpe_50k.tiktoken"))
     digest = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digest, capacity=1024)
 

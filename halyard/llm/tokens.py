@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
 #: Splits text before the merges of the rank file (a fixed value that belongs to the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern means it (a fixed value), and the longest run of it, or of anything else, that the rank file is trusted with.
+SPACE, LONGEST = r"\t-\r \x85\xa0  -     　", 1000
 
 
 def public(name: str) -> str:
@@ -19,22 +22,30 @@ def public(name: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text -> ids, without special tokens; their strings in a text are ordinary text.
-
-    ``.json`` files are read by ``tokenizers``, ``.tiktoken`` rank files by
-    ``tiktoken``, which gives the same ids for the same vocabulary several times
-    faster.
+def encoder(path: str, ranks: str | None = None) -> Callable[[str], list[int]]:
+    """Text -> ids, as ``tokenizers`` gives them for the JSON file ``path`` with ``add_special_tokens=False``.
+
+    The strings of added tokens in a text are those tokens. ``ranks`` is a ``.tiktoken``
+    file of the same vocabulary: ``tiktoken`` encodes by it several times faster, but
+    knows no added tokens and fails on very long runs of white space, so a text goes
+    there only if it holds neither an added token nor a run of over ``LONGEST``
+    characters that the pattern might not split.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path.endswith(".tiktoken"):
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def exact(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    if ranks is None:
+        return exact
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+    added = [re.escape(token.content) for token in tokenizer.get_added_tokens_decoder().values()]
+    odd = re.compile("|".join([*added, f"(?<![{SPACE}])[{SPACE}]{{{LONGEST}}}", f"(?<![^{SPACE}])[^{SPACE}]{{{LONGEST}}}"]))
+    return lambda text: exact(text) if odd.search(text) else quick(text)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from halyard.llm import chat, tokens
 
-RANKS = tokens.public("byte_bpe_50k.tiktoken")
+JSON, RANKS = tokens.public("byte_bpe_50k.json"), tokens.public("byte_bpe_50k.tiktoken")
 parts = st.sampled_from([*chat.CONTROLS, "<", "[", "\\", "|im_end|>", "/INST]", "s>", "<SYS>>", "a", "\n", "é"])
 
 
@@ -44,24 +44,30 @@ ODD = [
 @pytest.mark.parametrize(("budget", "history"), [(30, 0), (64, 2), (512, 3), (100_000, 2)])
 def test_digests_of_odd_rows(spark, budget, history):
     rows = talk(spark, ODD)
-    found = chat.digests(chat.windows(rows, RANKS, budget, history)).collect()
+    found = chat.digests(chat.windows(rows, JSON, budget, history, RANKS)).collect()
     assert {r["conv_id"]: tuple(r)[1:5] for r in found} == expected(ODD)
 
 
 def test_windows_keep_to_the_budget_and_repeat_history(spark):
-    found = chat.windows(talk(spark, [r for r in ODD if r[0] == 4] + [(5, 0, "system", "s"), *[(5, i, "assistant", f"a{i} " * 20) for i in range(1, 9)]]), RANKS, 200, 2).collect()
-    count = tokens.encoder(RANKS)
+    found = chat.windows(talk(spark, [r for r in ODD if r[0] == 4] + [(5, 0, "system", "s"), *[(5, i, "assistant", f"a{i} " * 20) for i in range(1, 9)], (6, 0, "system", "s " * 30), (6, 1, "user", "u"), (6, 2, "assistant", "long " * 300), (6, 3, "user", "u")]), JSON, 200, 2).collect()
+    count = tokens.encoder(JSON)
     for r in found:
         turns = chat.read(r["text"])
         assert len(turns) > r["repeated"]
-        assert r["tokens"] >= len(count(r["text"])) - len(turns) and (r["tokens"] <= 200 or len(turns) == 1)
+        assert r["tokens"] >= len(count(r["text"])) - len(turns) and (r["tokens"] <= 200 or len(turns) == 1 + (turns[0][0] == "system"))
         masked = [r["text"][s["start"] : s["end"]] for s in r["loss"]]
         assert masked == [r["text"][a:b] for role, _, a, b in turns[r["repeated"] :] if role == "assistant"]
-        if r["conv_id"] == 5:
-            assert turns[0][:2] == ("system", "s")
+        if r["conv_id"] in (5, 6):
+            assert turns[0][:2] == ("system", "s" if r["conv_id"] == 5 else "s " * 30)
     later = [r for r in found if r["window"] > 0]
     assert later and any(r["repeated"] for r in later)
 
 
+def test_very_long_turns(spark):
+    rows = [(1, 0, "user", " " * 1_000_000), (1, 1, "assistant", "\t" * 1_000_000 + "x" * 1_000_000)]
+    found = chat.digests(chat.windows(talk(spark, rows), JSON, 1024, 2, RANKS)).collect()
+    assert {r["conv_id"]: tuple(r)[1:5] for r in found} == expected(rows)
+
+
 def test_empty_table(spark):
-    assert chat.digests(chat.windows(talk(spark, []), RANKS)).count() == 0
+    assert chat.digests(chat.windows(talk(spark, []), JSON)).count() == 0

@@ -12,11 +12,35 @@ from halyard.llm.queries import packed
 JSON, RANKS = tokens.public("byte_bpe_50k.json"), tokens.public("byte_bpe_50k.tiktoken")
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b\n\n c", "É漢字 \U0001f600 don't I'LL 12345 ...", "<|endoftext|>", "x" * 3000, "\t\x0b\x1c  ", "</s>[INST]"])
-def test_both_libraries_give_the_same_ids(text):
+@pytest.fixture(scope="module")
+def plain():
+    """Ids as the library gives them."""
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    assert list(tokens.encoder(RANKS)(text)) == tokenizer.encode(text, add_special_tokens=False).ids == list(tokens.encoder(JSON)(text))
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+ODD = ["", " ", "a  b\n\n c", "É漢字 \U0001f600 don't I'LL 12345 ...", "<|endoftext|>", "<|endoftext|> a", "a<|endoftext|><|endoftext|", "x" * 3000, "\t\x0b\x1c  ", "</s>[INST]"]
+
+
+@pytest.mark.parametrize("text", [*ODD, "\x1c!" * 4000, " \u3000" * 999 + "x", "ab " * 999 + "\n" * 999], ids=lambda t: f"{t[:12]!r}-{len(t)}")
+def test_ids_are_the_library_s(plain, text):
+    assert list(tokens.encoder(JSON, RANKS)(text)) == plain(text) == list(tokens.encoder(JSON)(text))
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "x", "ab c!"])
+def test_ids_of_very_long_texts(plain, unit):
+    text = unit * (5_000_000 // len(unit))
+    assert list(tokens.encoder(JSON, RANKS)(text)) == plain(text)
+
+
+def test_very_long_and_control_texts_are_packed(docs, plain):
+    texts = {1: " " * 1_000_000, 2: "<|endoftext|> a", 3: "\t" * 300_000 + "a", 4: "x" * 1_000_000}
+    found = packed(docs([(i, t, "en", "s") for i, t in texts.items()])).toPandas()
+    checked(found)
+    ids = {i: np.array([*plain(t), 2], "<u4") for i, t in texts.items()}
+    assert found.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
+    for r in found.itertuples():
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
 def checked(found, capacity=1024):
@@ -28,10 +52,9 @@ def checked(found, capacity=1024):
     return found.sequence_id.nunique()
 
 
-def test_pieces_and_sequences(spark):
+def test_pieces_and_sequences(spark, plain):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    tokenizer = Tokenizer.from_file(JSON)
-    ids = {r["doc_id"]: np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    ids = {r["doc_id"]: np.array([*plain(r["text"]), 2], "<u4") for r in docs.collect()}
     found = packed(docs).toPandas()
     for r in found.itertuples():
         part = ids[r.doc_id][r.start : r.start + r.length]
