@@ -1,24 +1,34 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two different lines link if their edit distance (code points) is at most
-``allowed`` of the shorter one: an edit for every ``per_edit`` characters, at
-most ``max_edits``. The shorter line is partitioned into one segment more than
-it has edits, so at least one segment survives in the longer line; the longer
-line probes the index of segments with the substrings that its length leaves
-possible (multi-match-aware selection). What meets at a key is filtered by the
-parity of its character pairs, of which an edit flips four at most, and then
-verified exactly by a banded bit-parallel edit distance.
+Two different lines link if one turns into the other by few edits. Lines of
+``per_word`` words or more are sequences of words: an edit inserts, removes or
+replaces a word, and the shorter line may have one for every ``per_word`` words,
+however long it is. If the shorter line (by words) has fewer words, both are
+sequences of characters: one edit for every ``per_edit`` characters of the shorter
+one, ``max_edits`` at most.
+
+The shorter line is partitioned into one segment more than it may have edits, so at
+least one segment survives in the longer line. Of few characters, a segment is filed
+whole, and the longer line probes with the substrings that its length leaves possible
+(multi-match-aware selection). Of words, a segment is filed under its substring of
+``GRAM`` words with the least hash, and the longer line probes with its substrings
+that are least in any stretch as long as a segment of a line that it may link to, so
+their number grows with the line, not with the edits. What meets at a key is filtered
+by length and place (words), or by the parity of characters, of which an edit flips
+two at most, and is then verified exactly by a banded bit-parallel edit distance.
 
 Equal lines are one line, which takes part once, so a line that a third of all
 documents hold costs no more than another. Keys that hold more than ``CROWD``
-pairs are split into pairs of parts, each compared in a task of its own. A class
-of lines is a component over the links; its first member, by doc_id and line
-number, is the one that ``deduplicate`` keeps.
+pairs are split into pairs of parts, each compared in a task of its own. What a task
+verifies goes on as counts and a forest. A class of lines is a component over the
+links; its first member, by doc_id and line number, is the one that ``deduplicate``
+keeps.
 
 Defined results: lines end at \\n; lines of white space alone are no lines here
 and always stay; a null text has no lines and stays null; lines too short for an
-edit link only to equal lines; repeated rows (one doc_id) are one document, whose
-lines at one place are told apart by their text; lines of rows without doc_id come
+edit link only to equal lines; ids of any type that can be ordered; repeated rows
+(one doc_id) are one document, whose lines at one place are told apart by their text
+and are all kept if their class begins there; lines of rows without doc_id come
 after all others and stay if no other line of their class has an id; an empty
 table gives an empty result; other columns are ignored by ``classes`` and kept by
 ``deduplicate``.
@@ -27,41 +37,79 @@ table gives an empty result; other columns are ignored by ``classes`` and kept b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
-from halyard.llm.graph import components
+from halyard.llm.graph import components, local_roots
 from halyard.llm.workers import tidy
 from halyard.session import cut
 
 #: Pairs at one key beyond which the key is split.
 CROWD = 1 << 26
-#: Rows of a part of a split key.
-PART = 1 << 12
+#: Rows of a part of a split key; rows beyond which a key is split without counting its pairs.
+PART, MOST = 1 << 12, 1 << 22
 #: Pairs compared at once, characters hashed at once, lines that a task remembers having sent.
 PAIRS, CHARS, SEEN = 1 << 19, 1 << 19, 1 << 17
 #: Ids of lines to verify that are broadcast at most; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1 << 19
+#: Words of a substring under which a segment of words is filed.
+GRAM = 4
+#: A key is a hash, and from its end: payload, whether it is of words, whether it probes.
+WORDS, PROBES, HASH = 1 << 20, 1 << 21, 22
+#: Length and place of a key of words are counted up to here.
+FAR = 1023
 
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
+SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 
 
-def allowed(length: np.ndarray | int, max_edits: int, per_edit: int) -> np.ndarray | int:
-    """Edits that a line of this length may have."""
-    return np.minimum(max_edits, np.asarray(length) // per_edit)
+@dataclass(frozen=True)
+class Rule:
+    """How many edits lines may have."""
 
+    max_edits: int = 2
+    per_edit: int = 16
+    per_word: int = 12
 
-def edit_distance(one: str, two: str, limit: int) -> int:
-    """Edit distance, or ``limit + 1`` if it is more: banded and bit-parallel, after removing common ends."""
-    a, b = (one, two) if len(one) <= len(two) else (two, one)
-    if len(b) - len(a) > limit:
+    def __post_init__(self) -> None:
+        if not 0 <= self.max_edits < 64 or self.per_edit < 8 or self.per_word < 2 * GRAM:
+            raise ValueError(f"max_edits must be from 0 to 63, per_edit 8 or more, per_word {2 * GRAM} or more")
+
+    def chars(self, length: np.ndarray | int) -> np.ndarray | int:
+        """Edits of characters that a line of so many may have."""
+        return np.minimum(self.max_edits, np.asarray(length) // self.per_edit)
+
+    def stretch(self, words: int) -> int:
+        """Substrings of GRAM words that every segment has, of lines that one of so many words may probe for."""
+        least = range(max(self.per_word, words - words // self.per_word), words + 1)
+        return min(n // (n // self.per_word + 1) for n in least) - GRAM + 1
+
+    def linked(self, one: str, two: str) -> bool:
+        a, b = one.split(), two.split()
+        n = min(len(a), len(b))
+        if n < self.per_word:
+            x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (one, two))
+            limit = int(self.chars(min(len(x), len(y))))
+        else:
+            number: dict[str, int] = {}
+            x, y = (np.array([number.setdefault(w, len(number)) for w in s]) for s in (a, b))
+            limit = n // self.per_word
+        return edit_distance(x, y, limit) <= limit
+
+
+def edit_distance(one: np.ndarray, two: np.ndarray, limit: int) -> int:
+    """Edit distance of two sequences, or ``limit + 1`` if it is more; narrow bands are tried first."""
+    x, y = (one, two) if len(one) <= len(two) else (two, one)
+    if len(y) - len(x) > limit:
         return limit + 1
-    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
     same = x == y[: len(x)]
     head = len(x) if same.all() else int(same.argmin())
     x, y = x[head:], y[head:]
@@ -71,6 +119,17 @@ def edit_distance(one: str, two: str, limit: int) -> int:
         x, y = x[: len(x) - tail], y[: len(y) - tail]
     if not len(x) or not limit:
         return min(len(y), limit + 1)
+    band = max(4, len(y) - len(x))
+    while band < limit:
+        found = _banded(x, y, band)
+        if found <= band:
+            return found
+        band *= 8
+    return _banded(x, y, limit)
+
+
+def _banded(x: np.ndarray, y: np.ndarray, limit: int) -> int:
+    """Bit-parallel edit distance within a band; ``limit + 1`` if it is more."""
     m, width = len(x), 2 * limit + 1
     full = (1 << width) - 1
     places: dict[int, int] = {}
@@ -113,31 +172,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keys(lines: list[str], max_edits: int, per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines that may have an edit: line, key and whether it probes, sorted by line; and each line's parity sketch."""
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of lines laid end to end, with an end of line between; length and start of each line; sums and powers that hash any part."""
     code = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(length + 1) - length - 1
     power, inverse = _powers(len(code) + 1)
     total = np.r_[np.uint64(0), np.cumsum((code + np.uint64(7)) * power[: len(code)])]
+    return code, length, np.cumsum(length + 1) - length - 1, total, inverse
+
 
-    pair = np.uint64(1) << (_mixed(code[:-1] * np.uint64(0x1F123BB5) + code[1:]) >> np.uint64(58))
-    ends = start[1:] - 1
-    pair[ends] = 0
-    pair[ends - 1] = 0
-    parity = np.bitwise_xor.reduceat(pair, start)
+def _key(value: np.ndarray, probe: bool, payload: np.ndarray) -> np.ndarray:
+    return (_mixed(value) >> np.uint64(HASH) << np.uint64(HASH)) | np.uint64(PROBES * probe) | payload.astype(np.uint64)
 
-    found = []
+
+def keys_of_characters(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of the segments of lines, and of the substrings that they probe with."""
+    code, length, start, total, inverse = _codes(lines)
+    own = np.uint64(1) << (_mixed(code) % np.uint64(20))
+    own[start[1:] - 1] = 0
+    parity = np.bitwise_xor.reduceat(own, start)
+    found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
 
     def add(line: np.ndarray, at: np.ndarray, size: np.ndarray, of: np.ndarray, segment: int, probe: bool) -> None:
         a = start[line] + at
         value = (total[a + size] - total[a]) * inverse[a]
-        found.append((line, _mixed(value + _mixed((of * 8 + segment).astype(np.uint64))), np.full(len(line), probe)))
+        found.append((line, _key(value + _mixed((of * 64 + segment).astype(np.uint64)), probe, parity[line])))
 
-    for longer in range(max_edits + 1):
+    for longer in range(rule.max_edits + 1):
         of = length - longer
-        edits = allowed(of, max_edits, per_edit)
-        for t in range(max(1, longer), max_edits + 1):
+        edits = rule.chars(of)
+        for t in range(max(1, longer), rule.max_edits + 1):
             line = np.flatnonzero(edits == t)
             base = of[line] // (t + 1)
             wide = of[line] - base * (t + 1)
@@ -153,9 +217,77 @@ def keys(lines: list[str], max_edits: int, per_edit: int) -> tuple[np.ndarray, n
                     ok = (at >= low) & (at <= high)
                     if ok.any():
                         add(line[ok], at[ok], size[ok], of[line][ok], i, True)
-    line, key, probe = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(line, kind="stable")
-    return line[order], key[order], probe[order], parity
+    line, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    return line, key
+
+
+def keys_of_words(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of the segments of lines of ``per_word`` words or more, and of the substrings that they probe with."""
+    code, _, start, total, inverse = _codes(lines)
+    blank = SPACE[np.minimum(code, 0x3000)] & (code <= 0x3000)
+    begin = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+    first = np.searchsorted(begin, start)
+    count = np.diff(np.r_[first, len(begin)])
+    word = _mixed((total[end] - total[begin]) * inverse[begin])
+    gram = np.zeros(len(word) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[i : len(gram) + i]
+    place = np.arange(len(word)) - np.repeat(first, count)
+    # a substring's hash and place, compared by hash; those that run into the next line come last
+    gram = _mixed(gram) & ~np.uint64(FAR) | np.minimum(place[: len(gram)], FAR).astype(np.uint64)
+    inside = (place + GRAM <= np.repeat(count, count))[: len(gram)]
+    gram = np.where(inside, gram, ~np.uint64(0))
+    payload = np.uint64(WORDS) | (np.minimum(count, FAR).astype(np.uint64) << np.uint64(10))
+
+    parts = count // rule.per_word + 1
+    line = np.repeat(np.arange(len(lines)), parts)
+    i = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
+    base, of = count[line] // parts[line], parts[line]
+    wide = count[line] - base * of
+    at = first[line] + i * base + np.maximum(0, i - (of - wide))
+    bounds = np.stack([at, at + base + (i >= of - wide) - GRAM + 1], 1).ravel()
+    least = np.minimum.reduceat(np.r_[gram, ~np.uint64(0)], bounds)[::2]
+    found = [(line, least, False)]
+
+    stretch = np.array([_stretch(rule, n) for n in count.tolist()])
+    for wide in np.unique(stretch).tolist():
+        low, have = gram, 1
+        while have < wide:
+            step = min(have, wide - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        # a stretch that begins here and ends in the line
+        line = np.repeat(np.arange(len(lines)), count)[: len(low)]
+        ok = (stretch[line] == wide) & (place[: len(low)] + GRAM + wide - 1 <= count[line])
+        line, low = line[ok], low[ok]
+        new = np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])] if len(low) else np.zeros(0, bool)
+        found.append((line[new], low[new], True))
+    out = [(line, _key(low >> np.uint64(10), probe, payload[line] | (low & np.uint64(FAR)))) for line, low, probe in found]
+    line, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    return line, key
+
+
+@lru_cache(maxsize=1 << 14)
+def _stretch(rule: Rule, words: int) -> int:
+    return rule.stretch(words)
+
+
+def keys(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of all that lines file and probe with, sorted by line."""
+    words = np.array([len(line.split()) for line in lines])
+    found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    # a line may be short of the words of another one by as many as there are edits
+    for of, made in (np.flatnonzero(words < rule.per_word + rule.max_edits), keys_of_characters), (np.flatnonzero(words >= rule.per_word), keys_of_words):
+        if len(of):
+            line, key = made([lines[i] for i in of.tolist()], rule)
+            found.append((of[line], key))
+    line, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    return line[new], key[new]
 
 
 def identity(line: str) -> bytes:
@@ -170,24 +302,26 @@ def _halves(ids: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, h1, h2 of every line that is not white space alone."""
+    """doc_id, text_hash, line_no, h1, h2 of every line that is not white space alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, number, ids = [], [], []
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
                     if line and not line.isspace():
                         doc.append(i)
                         number.append(k)
                         ids.append(identity(line))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), *_halves(ids)], ["doc_id", "line_no", "h1", "h2"])
+            at = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), *_halves(ids)], ["doc_id", "text_hash", "line_no", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, h1 long, h2 long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, line_no int, h1 long, h2 long")
 
 
-def _distinct_lines(docs: DataFrame, max_edits: int, per_edit: int, texts: bool) -> DataFrame:
-    """Lines long enough for an edit, hardly repeated within a task: h1, h2, and the text, or keys and sketch."""
+def _distinct_lines(docs: DataFrame, rule: Rule, texts: bool) -> DataFrame:
+    """Lines long enough for an edit, hardly repeated within a task: h1, h2, and the text or the keys."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
         seen: set[bytes] = set()
@@ -195,7 +329,7 @@ def _distinct_lines(docs: DataFrame, max_edits: int, per_edit: int, texts: bool)
         for batch in batches:
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= per_edit and not line.isspace():
+                    if len(line) >= min(rule.per_edit, 2 * rule.per_word - 1) and not line.isspace():
                         h = identity(line)
                         if h in seen:
                             continue
@@ -217,14 +351,11 @@ def _distinct_lines(docs: DataFrame, max_edits: int, per_edit: int, texts: bool)
             if texts:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(some, pa.string())], ["h1", "h2", "line"])
                 continue
-            line, key, probe, parity = keys(some, max_edits, per_edit)
-            first = np.r_[np.searchsorted(line, np.arange(len(some))), len(line)].astype(np.int32)
-            # probing keys have their lowest bit set, the others not
-            signed = ((key & ~np.uint64(1)) | probe.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(parity.view(np.int64)), pa.ListArray.from_arrays(pa.array(first), pa.array(signed))], ["h1", "h2", "sketch", "keys"])
+            line, key = keys(some, rule)
+            first = np.searchsorted(line, np.arange(len(some) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(first), pa.array(key.view(np.int64)))], ["h1", "h2", "keys"])
 
-    kind = "h1 long, h2 long, line string" if texts else "h1 long, h2 long, sketch long, keys array<long>"
-    return docs.select("text").mapInArrow(tidy(run), kind)
+    return docs.select("text").mapInArrow(tidy(run), "h1 long, h2 long, line string" if texts else "h1 long, h2 long, keys array<long>")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,167 +370,214 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[0] = last != (h1[0], h2[0])
         last = (h1[-1], h2[-1])
         rows = batch.filter(pa.array(new))
-        column = rows.column(3)
-        size = np.diff(column.offsets.to_numpy())
-        values = column.flatten().to_numpy()
-        own = [np.repeat(rows.column(c).to_numpy(), size) for c in (0, 2)]
+        column = rows.column(2)
+        values, own = column.flatten().to_numpy(), np.repeat(rows.column(0).to_numpy(), np.diff(column.offsets.to_numpy()))
         for i in range(0, len(values), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (values, *own)], ["key", "h1", "sketch"])
-
-
-def _meet(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sketch: np.ndarray, flips: int, crowd: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of an indexed and a probing line at one key, and the keys that hold too many. Sorted by key, then by probe."""
-    sketch = sketch.view(np.uint64)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    indexed = np.add.reduceat(1 - probe, first)
-    crowded = indexed.astype(float) * (size - indexed) > crowd
-    of = np.repeat(np.where(crowded, 0, indexed), size)
-    start = np.repeat(first, size)
-    probing = np.flatnonzero((probe == 1) & (of > 0))
-    done = np.cumsum(of[probing])
-    pairs = []
+            yield pa.RecordBatch.from_arrays([pa.array(values[part]), pa.array(own[part])], ["key", "h1"])
+
+
+def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a filed and a probing line of one group that may link, and the groups that hold too many. Sorted by group, then by key."""
+    probe, of_words = (key & PROBES) > 0, (key & WORDS) > 0
+    words, place = np.where(of_words, key >> 10 & FAR, 0), key & FAR
+    far = words // rule.per_word
+    number = group * 4096 + of_words * 2048
+    filed, probing = np.flatnonzero(~probe), np.flatnonzero(probe)
+    known = (number + words)[filed]
+    low = np.where(words[probing] < FAR, words[probing] - far[probing], 0)
+    begin = np.searchsorted(known, number[probing] + low)
+    count = np.searchsorted(known, number[probing] + words[probing], "right") - begin
+    total = np.bincount(group[probing], count, int(group[-1]) + 1)
+    crowded = np.flatnonzero(total > crowd)
+    count[np.isin(group[probing], crowded)] = 0
+    done, pairs = np.cumsum(count), []
     for lo in range(0, int(done[-1]) if len(done) else 0, PAIRS):
-        some = probing[np.searchsorted(done, lo, "right") : np.searchsorted(done, lo + PAIRS, "right")]
+        some = np.arange(np.searchsorted(done, lo, "right"), np.searchsorted(done, lo + PAIRS, "right"))
         if not len(some):
             continue
-        n = of[some]
-        right = np.repeat(some, n)
-        left = np.repeat(start[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        hit = (np.bitwise_count(sketch[left] ^ sketch[right]) <= flips) & (h1[left] != h1[right])
+        n = count[some]
+        right = np.repeat(probing[some], n)
+        left = filed[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        close = (np.abs(place[left] - place[right]) <= far[left]) | (words[right] == FAR)
+        even = np.bitwise_count((key[left] ^ key[right]) & (WORDS - 1)) <= 2 * rule.max_edits
+        hit = np.where(of_words[right], close, even) & (h1[left] != h1[right])
         one, two = h1[left[hit]], h1[right[hit]]
         pairs.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    return found[:, 0], found[:, 1], key[first[crowded]]
+    return found[:, 0], found[:, 1], crowded
 
 
-def _meeting(dealt: DataFrame, flips: int, crowd: float) -> DataFrame:
-    """Rows (key, h1, sketch, and part if split), sorted by part and key -> u, v; or crowded, where a key holds too many pairs."""
+def _meeting(dealt: DataFrame, rule: Rule, crowd: float) -> DataFrame:
+    """Rows (key, h1, and part if split), sorted by part and key -> u, v; or crowded, where a key holds too many pairs."""
     split = "part" in dealt.columns
 
     def group(rows: pa.RecordBatch) -> np.ndarray:
-        """Numbers that rise from one key (without its lowest bit) or part to the next."""
-        key = rows.column(0).to_numpy() >> 1
-        new = key[1:] != key[:-1]
+        """Numbers that rise from one hash or part to the next."""
+        own = rows.column(0).to_numpy() >> HASH
+        new = own[1:] != own[:-1]
         if split:
-            part = rows.column(3).to_numpy()
+            part = rows.column(2).to_numpy()
             new |= part[1:] != part[:-1]
         return np.cumsum(np.r_[0, new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        held, rows, over = [], 0, None
         for batch in batches:
-            now = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
-            if not now.num_rows:
+            if not batch.num_rows:
                 continue
-            at = group(now)
+            at = group(batch)
+            if over is not None:  # the rest of a key that is known to be crowded
+                own = batch.column(0).to_numpy() >> HASH
+                skip = int((own == over).argmin()) if (own != over).any() else len(own)
+                batch, at = batch.slice(skip), at[skip:]
+                if not batch.num_rows:
+                    continue
+                over = None
             last = int(np.searchsorted(at, at[-1]))
-            left = now.slice(last)
-            if last:
-                yield from answer(now.slice(0, last), at[:last])
-        if left is not None and left.num_rows:
-            yield from answer(left, group(left))
+            if held and (last or group(joined([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))[-1]):
+                now = joined([*held, batch.slice(0, last)])
+                held, rows = [], 0
+                yield from answer(now, group(now))
+            elif last:
+                yield from answer(batch.slice(0, last), at[:last])
+            held.append(batch.slice(last))
+            rows += batch.num_rows - last
+            if rows > MOST and split:  # filed rows come first, and a part has few of them
+                now = joined(held)
+                filed = int(((now.column(0).to_numpy() & PROBES) == 0).sum())
+                yield from answer(now, group(now))
+                held, rows = [now.slice(0, filed)], filed
+            elif rows > MOST:
+                over = held[0].column(0)[0].as_py() >> HASH
+                held, rows = [], 0
+                yield told(np.empty((0, 2), np.int64), np.array([over]))
+        if held:
+            now = joined(held)
+            yield from answer(now, group(now))
+
+    def joined(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
     def answer(rows: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = rows.column(0).to_numpy()
-        u, v, many = _meet(at, key & 1, rows.column(1).to_numpy(), rows.column(2).to_numpy(), flips, crowd)
-        many = key[np.searchsorted(at, many)] >> 1
-        none = lambda n: pa.nulls(n, pa.int64())
+        at = at - at[0]
+        u, v, many = _meet(at, key, rows.column(1).to_numpy(), rule, crowd)
         if len(u) or len(many):
-            columns = [[pa.array(u), none(len(many))], [pa.array(v), none(len(many))], [none(len(u)), pa.array(many)]]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "crowded"])
+            yield told(np.stack([u, v], 1), key[np.searchsorted(at, many)] >> HASH)
+
+    def told(pairs: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        none = lambda n: pa.nulls(n, pa.int64())
+        columns = [[pa.array(pairs[:, 0]), none(len(many))], [pa.array(pairs[:, 1]), none(len(many))], [none(len(pairs)), pa.array(many)]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "crowded"])
 
     return dealt.mapInArrow(tidy(run), "u long, v long, crowded long")
 
 
-def candidates(docs: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
+def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (u, v) of lines, by the first half of their identity, that may link."""
-    distinct = _distinct_lines(docs, max_edits, per_edit, texts=False).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    spread = distinct.mapInArrow(tidy(_spread), "key long, h1 long, sketch long")
-    bare = F.shiftright("key", 1)  # the lowest bit tells probing keys, which follow the others
-    found = cut(_meeting(spread.repartition(bare).sortWithinPartitions("key"), 4 * max_edits, CROWD).distinct())
+    distinct = _distinct_lines(docs, rule, texts=False).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+    spread = distinct.mapInArrow(tidy(_spread), "key long, h1 long")
+    bare = F.shiftright("key", HASH)
+    found = cut(_meeting(spread.repartition(bare).sortWithinPartitions("key"), rule, CROWD).distinct())
     crowded = found.where(F.col("crowded").isNotNull()).select("crowded")
     pairs = found.where(F.col("u").isNotNull()).select("u", "v")
     if crowded.isEmpty():
         return pairs
     hot = spread.join(crowded, bare == F.col("crowded"))
     counted = cut(hot.groupBy("crowded").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
-    # every index row goes to one part, every probing row to all parts
+    # every filed row goes to one part, every probing row to all parts
     own = F.array(F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
-    split = hot.join(counted, "crowded").withColumn("part", F.explode(F.when(F.col("key") % 2 != 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    probes = F.col("key").bitwiseAND(F.lit(PROBES)) != 0
+    split = hot.join(counted, "crowded").withColumn("part", F.explode(F.when(probes, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     dealt = split.select(*spread.columns, "part").repartition(bare, "part").sortWithinPartitions("part", "key")
-    return cut(pairs.unionByName(_meeting(dealt, 4 * max_edits, float("inf")).select("u", "v")).distinct())
+    return cut(pairs.unionByName(_meeting(dealt, rule, float("inf")).select("u", "v")).distinct())
 
 
-def links(docs: DataFrame, max_edits: int = 2, per_edit: int = 16) -> DataFrame:
-    """All links between different lines: u, v (hexadecimal identities)."""
+def verified(docs: DataFrame, rule: Rule) -> DataFrame:
+    """What the links between different lines say: (u, v) joins two lines of a class, (u, null, links) counts links of a line. Lines are named by hexadecimal identities."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            ok = [r for r in rows if edit_distance(r["a"], r["b"], t := int(allowed(min(len(r["a"]), len(r["b"])), max_edits, per_edit))) <= t]
-            yield pa.RecordBatch.from_arrays([pa.array([r["u"] for r in ok], pa.string()), pa.array([r["v"] for r in ok], pa.string())], ["u", "v"])
+            a, b = batch.column(2), batch.column(3)
+            ok = pa.array([rule.linked(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
+            u, v = (batch.column(c).filter(ok).to_numpy(zero_copy_only=False).astype("U32") for c in (0, 1))
+            if not len(u):
+                continue
+            names, links = np.unique(np.concatenate([u, v]), return_counts=True)
+            nodes, roots = local_roots(u, v)
+            u, v = nodes[nodes != roots], roots[nodes != roots]
+            columns = [np.r_[u, names], np.r_[v, np.full(len(names), None)]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.tolist(), pa.string()) for c in columns), pa.array([None] * len(u) + links.tolist(), pa.int64())], ["u", "v", "links"])
 
-    pairs = candidates(docs, max_edits, per_edit)
+    pairs = candidates(docs, rule)
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    lines = _distinct_lines(docs, max_edits, per_edit, texts=True).join(ids, "h1", "left_semi")
+    lines = _distinct_lines(docs, rule, texts=True).join(ids, "h1", "left_semi")
     lines = cut(lines.groupBy("h1", "h2").agg(F.first("line").alias("line")))
     named = lines.select("h1", _name(F.col("h1"), F.col("h2")).alias("name"), "line")
     left = named.select(F.col("h1").alias("u"), F.col("name").alias("a_name"), F.col("line").alias("a"))
     right = named.select(F.col("h1").alias("v"), F.col("name").alias("b_name"), F.col("line").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").select(F.least("a_name", "b_name").alias("u"), F.greatest("a_name", "b_name").alias("v"), "a", "b")
-    return both.mapInArrow(tidy(verify), "u string, v string")
+    both = pairs.join(left, "u").join(right, "v").select("a_name", "b_name", "a", "b")
+    return cut(both.mapInArrow(tidy(verify), "u string, v string, links long"))
 
 
 def _name(h1, h2):
     return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
 
 
-#: A place in the corpus as one number that aggregates without sorting: doc_id, then line.
-PLACE = "cast(doc_id as decimal(38,0)) * 4294967296 + line_no"
+def _place(kind: DataType) -> Column:
+    """A place in the corpus, first by doc_id, then by line; null without an id. Whole numbers make one number, which aggregates without sorting."""
+    if isinstance(kind, IntegralType):
+        return F.expr("cast(cast(doc_id as decimal(38,0)) * 4294967296 + line_no as decimal(38,0))")
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))
 
 
-def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16) -> DataFrame:
-    """Every line of every document: doc_id, line_no, class_doc_id, class_line_no, links, kept.
-
-    The class is named by the place of its first line; ``links`` counts the
-    other different lines within the allowed distance.
-    """
-    placed = cut(occurrences(docs).withColumn("place", F.expr(PLACE).cast("decimal(38,0)")))
+def _known(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Every line of every document: doc_id, text_hash, line_no, place, h1, h2, links, class_place."""
+    found = occurrences(docs)
+    placed = cut(found.withColumn("place", _place(found.schema["doc_id"].dataType)))
     first = placed.groupBy("h1", "h2").agg(F.min("place").alias("first_place"))
-    linked = cut(links(docs, max_edits, per_edit))
-    counted = linked.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
-    reach = components(linked).withColumnRenamed("node", "name")
+    told = verified(docs, rule)
+    counted = told.where(F.col("v").isNull()).groupBy(F.col("u").alias("name")).agg(F.sum("links").alias("links"))
+    reach = components(told.where(F.col("v").isNotNull()).select("u", "v")).withColumnRenamed("node", "name")
     member = cut(reach.join(counted, "name").select(F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("h1"), F.conv(F.substring("name", 17, 16), 16, -10).cast("long").alias("h2"), "root", "links"))
     placed_member = cut(member.join(first, ["h1", "h2"]))
     of_class = placed_member.join(placed_member.groupBy("root").agg(F.min("first_place").alias("class_place")), "root").select("h1", "h2", "links", "class_place")
     known = first.join(of_class, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("class_place", "first_place").alias("class_place"))
     known = cut(known)  # so that both sides of the last join are shuffled for it alone and a common line can be split
-    every = placed.join(known, ["h1", "h2"])
-    return every.select(
-        "doc_id",
-        "line_no",
-        F.expr("cast(floor(class_place / 4294967296) as bigint)").alias("class_doc_id"),
-        F.expr("cast(pmod(class_place, 4294967296) as int)").alias("class_line_no"),
-        "links",
-        F.col("place").eqNullSafe(F.col("class_place")).alias("kept"),
-    )
-
-
-def deduplicate(docs: DataFrame, max_edits: int = 2, per_edit: int = 16) -> DataFrame:
+    return placed.join(known, ["h1", "h2"])
+
+
+def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int = 12) -> DataFrame:
+    """Every line of every document: doc_id, line_no, class_doc_id, class_line_no, links, kept.
+
+    The class is named by the place of its first line; ``links`` counts the
+    other different lines within the allowed distance.
+    """
+    every = _known(docs, Rule(max_edits, per_edit, per_word))
+    if isinstance(every.schema["doc_id"].dataType, IntegralType):
+        own = (F.expr("cast(floor(class_place / 4294967296) as bigint)"), F.expr("cast(pmod(class_place, 4294967296) as int)"))
+    else:
+        own = (F.col("class_place.doc_id"), F.col("class_place.line_no"))
+    kept = F.col("place").eqNullSafe(F.col("class_place")).alias("kept")
+    return every.select("doc_id", "line_no", own[0].alias("class_doc_id"), own[1].alias("class_line_no"), "links", kept)
+
+
+def deduplicate(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int = 12) -> DataFrame:
     """``docs`` without the lines that are not the first of their class; no document is dropped.
 
     If there is a column ``n_chars``, it holds the length of the new text where that changed.
     """
-    gone = classes(docs, max_edits, per_edit).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = gone.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line_no").alias("_gone"))
-    row = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = row.join(gone, F.col("_id") == F.col("_of"), "left")
+    every = _known(docs, Rule(max_edits, per_edit, per_word))
+    gone = every.where(~F.col("place").eqNullSafe(F.col("class_place")) & F.col("doc_id").isNotNull())
+    # rows of one id and one text lose the same lines; those of other texts are told apart
+    gone = gone.groupBy(F.col("doc_id").alias("_of"), "text_hash").agg(F.collect_set("line_no").alias("_gone"))
+    row = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = row.join(gone, (F.col("_id") == F.col("_of")) & (F.col("_hash") == F.col("text_hash")), "left")
     lines = F.split(F.col("_row.text"), "\n", -1)
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: ~F.array_contains(F.col("_gone"), z["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(numbered, lambda z: z["x"]), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_row.n_chars")).otherwise(F.length(text).cast("long"))

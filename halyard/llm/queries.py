@@ -81,7 +81,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every line of every document: see ``linededup.classes``."""
-    return linededup.classes(_documents(spark, sf_dir), max_edits=2, per_edit=16)
+    return linededup.classes(_documents(spark, sf_dir), max_edits=2, per_edit=16, per_word=12)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -29,14 +30,20 @@ def plain_lines(rows):
             x = root[x]
         return x
 
-    by_length = sorted(lines, key=len)
-    letters = {x: np.bincount([ord(c) % 64 for c in x], minlength=64) for x in lines}
-    for n, a in enumerate(by_length):
-        limit = min(2, len(a) // 16)
-        for b in by_length[n + 1 :]:
-            if len(b) - len(a) > limit or not limit:
+    def few(one, two, limit):
+        """Whether so few edits make one of the other: first by what they hold, then exactly."""
+        both = Counter(one)
+        both.subtract(two)
+        return abs(len(one) - len(two)) <= limit and sum(map(abs, both.values())) <= 2 * limit and distance(one, two) <= limit
+
+    split = {x: x.split() for x in lines}
+    by_words = sorted(lines, key=lambda x: len(split[x]))
+    for n, a in enumerate(by_words):
+        for b in by_words[n + 1 :]:
+            words = len(split[a])
+            if len(split[b]) - words > max(2, words // 12):
                 break
-            if np.abs(letters[a] - letters[b]).sum() <= 2 * limit and distance(a, b) <= limit:
+            if words >= 12 and few(split[a], split[b], words // 12) or words < 12 and min(len(a), len(b)) >= 16 and few(a, b, min(2, min(len(a), len(b)) // 16)):
                 root[find(b)] = find(a)
     seen, out = set(), []
     for i, t in sorted(rows):
