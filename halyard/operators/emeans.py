@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Self
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from halyard.errors import UnsupportedParameter
 from halyard.functions.vectors import dense, lists
 from halyard.operators.kmeans import Centers, Prepared, first_centers, given
-from halyard.operators.schedules import FIRST_BUILD, FIRST_PASS_REBUILD, LEAST_CLOSING, REBUILD, Schedule, closing_weight, resolve, resolve_two_level, scheduled_alpha
+from halyard.operators.schedules import FILING, Schedule, TwoLevelSchedule, plan, plan_two_level
 from halyard.plans.lloyd import Assign, Totals, dense_assign, total
 from halyard.plans.nearest import closest, fits, mapped
 from halyard.seeds import numpy_generator, resolve_seed, uniform
@@ -61,24 +61,41 @@ def half_life_alpha(steps: float) -> float:
 
 
 def split_plan(mass: np.ndarray, draw: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Dead clusters, the first ones, and their donors, drawn by mass without replacement (Gumbel top-k)."""
-    dead = mass < threshold * mass.mean()
-    able = ~dead & (mass > 0)
-    n = int(min(dead.sum(), able.sum()))
-    with np.errstate(divide="ignore"):
-        rank = np.where(able, np.log(np.maximum(mass, 1e-30)) - np.log(-np.log(np.clip(draw, 1e-30, 1 - 1e-16))), -np.inf)
-    return np.flatnonzero(dead)[:n], np.argsort(-rank, kind="stable")[:n]
+    """Clusters to be replaced, by number, and as many donors: the first to arrive in a race in which each one's rate is its mass."""
+    unused = mass < threshold * mass.mean()
+    arrival = np.full(len(mass), np.inf)
+    racing = (mass > 0) & ~unused
+    arrival[racing] = -np.log1p(-draw[racing]) / mass[racing]
+    children = np.flatnonzero(unused)[: racing.sum()]
+    return children, np.argsort(arrival, kind="stable")[: len(children)]
 
 
-def split(centers: np.ndarray, mass: np.ndarray, children: np.ndarray, donors: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """A child beside its donor, each with half of its mass."""
+def split(centers: np.ndarray, mass: np.ndarray, children: np.ndarray, donors: np.ndarray, epsilon: float, precision: str = "float32") -> tuple[np.ndarray, np.ndarray]:
+    """A child beside its donor, each with half of its mass.
+
+    Where bfloat16 numbers hold both alike, the child's first coordinate moves on to the next such number.
+    """
     sign = np.where(np.arange(centers.shape[1]) % 2 == 0, epsilon, -epsilon)
     new, weight = centers.copy(), mass.copy()
-    new[children], new[donors] = centers[donors] * (1 + sign), centers[donors] * (1 - sign)
+    child, donor = centers[donors] * (1 + sign), centers[donors] * (1 - sign)
+    if precision == "bfloat16" and len(donors):
+        shown = rounded(child, precision)
+        alike = (shown == rounded(donor, precision)).all(1)
+        first = shown[alike, 0]
+        gap = np.spacing(np.abs(first).astype(np.float32)).astype(float) * 65536  # a bfloat16 number has 16 bits less
+        largest = float(np.finfo(np.float32).max) * (1 - 2.0**-9)
+        # of a power of two the numbers nearer to zero lie half as far apart
+        up = np.where((first < -(2.0**-126)) & (np.frexp(first)[0] == -0.5), gap / 2, gap)
+        child[alike, 0] = np.where(first + up > largest, first - gap, first + up)
+    new[children], new[donors] = child, donor
     weight[children] = weight[donors] = mass[donors] / 2
     return new, weight
 
 
+#: Share of all distances beyond which cells do not pay.
+MOST_SEARCHED = 0.5
+
+
 @dataclass
 class Cells:
     """Centers filed under cells; ``child`` links a donor to the child split off since the last filing."""
@@ -193,7 +210,7 @@ class EMeans(Centers):
     _precisions = ("float32", "float64", "float16", "bfloat16")
 
     def _schedule(self, n: int, d: int) -> Schedule:
-        return resolve(n, self.n_clusters, d, self.max_iter, self.batch_size, self.alpha0, self.batch_law, self.recipe, self.unused_threshold)
+        return plan(n, self.n_clusters, d, self.max_iter, batch_size=self.batch_size, alpha0=self.alpha0, batch_law=self.batch_law, recipe=self.recipe, unused_threshold=self.unused_threshold)
 
     def _readout(self, x: np.ndarray) -> np.ndarray:
         return normalized(x) if self.spherical else x
@@ -231,15 +248,15 @@ class EMeans(Centers):
         plan = self._schedule(n, d)
         seed = resolve_seed(self.random_state)
         batches, draws = _Batches(ready.rows, d, n, seed), numpy_generator(seed, "splits")
-        state = _State(ready.starts[0], np.full(k, plan.init_usage), np.zeros((k, d)), np.zeros(k))
+        state = _State(ready.starts[0], np.full(k, plan.first_mass), np.zeros((k, d)), np.zeros(k))
         slow_alpha = None
         if self.slow_ema_half_life is not None or self.finalization == "slow_ema":
             slow_alpha = half_life_alpha(self.slow_ema_half_life) if self.slow_ema_half_life is not None else min(1.0, self.slow_ema_multiplier * 0.1 * plan.alpha0)
             state.slow = (state.centers, state.mass)
         search = self._search(plan, numpy_generator(seed, "cells"))
         step = done = splits = 0
-        stats = []
-        for epoch, wanted in enumerate(plan.epoch_rows):
+        all_evaluated, stats = 0.0, []
+        for epoch, wanted in enumerate(plan.pass_rows):
             objective, evaluated, seen = 0.0, 0.0, 0
             for batch in batches.of(epoch, wanted, plan.batch_size):
                 spent = [0.0]
@@ -248,36 +265,38 @@ class EMeans(Centers):
                 found, size = _totals(batch, assign, k, d, spent)
                 done, seen = done + size, seen + size
                 objective += found.inertia
-                evaluated += found.evaluated if search.cells is not None else size * k
-                weight = closing_weight(plan, n, epoch, min(done, sum(plan.epoch_rows)))
+                of_batch = found.evaluated if search.cells is not None else size * k
+                evaluated, all_evaluated = evaluated + of_batch, all_evaluated + of_batch
+                weight = plan.closing(epoch, min(done, sum(plan.pass_rows)))
                 if weight is not None:
                     state.close_sums, state.close_counts = state.close_sums + weight * found.sums, state.close_counts + weight * found.counts
-                alpha, before = scheduled_alpha(plan.alpha0, step, plan.total_steps), state.mass
+                alpha, before = plan.alpha(step), state.mass
                 state.centers, state.mass = ema(state.centers, state.mass, found.sums, found.counts, alpha)
-                if plan.name == "faiss" and alpha == 1.0:
+                if plan.recipe == "faiss" and alpha == 1.0:
                     state.mass = np.where(found.counts > 0, state.mass, before)
                 if state.slow is not None:
                     state.slow = ema(*state.slow, found.sums, found.counts, slow_alpha)
                 step += 1
-                if step % plan.check_unused_every == 0 and plan.unused_threshold > 0:
+                if step % plan.look_every == 0 and plan.unused_threshold > 0:
                     children, donors = split_plan(state.mass, draws.random(k), plan.unused_threshold)
-                    state.centers, state.mass = split(state.centers, state.mass, children, donors, plan.split_epsilon)
+                    state.centers, state.mass = split(state.centers, state.mass, children, donors, plan.split_epsilon, self.precision)
                     if state.slow is not None:
-                        state.slow = split(*state.slow, children, donors, plan.split_epsilon)
+                        state.slow = split(*state.slow, children, donors, plan.split_epsilon, self.precision)
                     search.record(children, donors)
-                    if plan.extra.get("closing") == "recency_weighted":
+                    if getattr(plan, "recent", False):
                         for values in (state.close_sums, state.close_counts):
                             half = values[donors] / 2
                             values[children], values[donors] = half, half
                     splits += len(children)
-            stats.append({"epoch": epoch + 1, "rows": seen, "steps": step, "moving_objective": objective, "moving_mse": objective / max(seen, 1), "splits": splits, "evaluated_fraction": evaluated / max(1, seen * k)})
-        least = LEAST_CLOSING if plan.extra.get("closing") == "recency_weighted" else 0
-        closed = state.close_counts > least
+                search.weigh(step, False, all_evaluated / max(1, done * k))
+            search.weigh(step, True, all_evaluated / max(1, done * k))
+            stats.append({"epoch": epoch + 1, "rows": seen, "steps": step, "moving_objective": objective, "moving_mse": objective / max(seen, 1), "splits": splits, "evaluated_fraction": evaluated / max(1, seen * k), "cell_builds": search.builds, "search": search.name})
+        closed = state.close_counts > plan.least_closing
         closing = np.where(closed[:, None], state.close_sums / np.where(closed, state.close_counts, 1)[:, None], state.centers)
         chosen = {"last_epoch": closing, "ema": state.centers, "slow_ema": state.slow[0] if state.slow else None}[self.finalization]
         self.cluster_centers_, self.ema_centers_, self.closing_centers_ = self._readout(chosen), self._readout(state.centers), self._readout(closing)
-        self.mass_, self.n_splits_, self.n_steps_, self.n_iter_, self.epoch_stats_ = state.mass, splits, step, len(plan.epoch_rows), stats
-        self.recipe_, self.n_features_in_ = plan.as_dict() | {"search": search.name}, d
+        self.mass_, self.n_splits_, self.n_steps_, self.n_iter_, self.epoch_stats_ = state.mass, splits, step, len(plan.pass_rows), stats
+        self.recipe_, self.n_features_in_ = plan.as_dict() | {"search": search.name, "search_fallback_step": search.fell_back}, d
         if self.compute_labels:
             final = total(ready.rows, dense_assign(self.cluster_centers_), k, d)
             self.inertia_, self.counts_ = final.inertia, final.counts
@@ -308,27 +327,35 @@ class _State:
 class _Search:
     """Full search, or cells that are filed anew from time to time."""
 
-    plan: Schedule | None
+    plan: TwoLevelSchedule | None
     rng: np.random.Generator
+    guarded: bool = False
     cells: Cells | None = None
     since: int = 0
     builds: int = 0
-    name: str = field(init=False)
+    fell_back: int | None = None
+
+    @property
+    def name(self) -> str:
+        return "dense" if self.plan is None else "two_level"
+
+    def weigh(self, step: int, pass_ends: bool, share: float) -> None:
+        """Goes back to full search where cells turn out to spare less than half of the distances.
 
-    def __post_init__(self) -> None:
-        self.name = "dense" if self.plan is None else "two_level"
+        Weighed after the first step, the first look at unused clusters, and every pass.
+        """
+        if self.guarded and self.plan is not None and (pass_ends or step in (1, self.plan.look_every)) and share > MOST_SEARCHED:
+            self.plan, self.cells, self.fell_back = None, None, step
 
     def assign(self, centers: np.ndarray, first_pass: bool, spent: list[float]) -> Assign:
         if self.plan is None:
             return dense_assign(centers)
-        extra = self.plan.extra
-        every = self.plan.check_unused_every if first_pass else extra["rebuild_every"]
-        if self.cells is None or self.since >= every:
-            iterations = FIRST_BUILD if self.cells is None else FIRST_PASS_REBUILD if first_pass else REBUILD
-            self.cells = build_cells(centers, extra["n_cells"], iterations, self.cells, self.rng)
+        if self.cells is None or self.since >= self.plan.refile_after(first_pass):
+            iterations = FILING[0 if self.cells is None else 1 if first_pass else 2]
+            self.cells = build_cells(centers, self.plan.n_cells, iterations, self.cells, self.rng)
             self.since, self.builds = 0, self.builds + 1
         self.since += 1
-        return self.cells.assign(centers, extra["n_probe"], spent)
+        return self.cells.assign(centers, self.plan.n_probe, spent)
 
     def record(self, children: np.ndarray, donors: np.ndarray) -> None:
         """Children inherit their donor's link, and the donor then points at its child."""
@@ -354,10 +381,12 @@ class OMeans(EMeans):
         self.n_cells, self.n_probe = n_cells, n_probe
 
     def _schedule(self, n: int, d: int) -> Schedule:
-        return resolve_two_level(n, self.n_clusters, d, self.max_iter, self.batch_size, self.alpha0, self.batch_law, self.n_cells, self.n_probe, self.unused_threshold)
+        return plan_two_level(
+            n, self.n_clusters, d, self.max_iter, batch_size=self.batch_size, alpha0=self.alpha0, batch_law=self.batch_law, n_cells=self.n_cells, n_probe=self.n_probe, unused_threshold=self.unused_threshold
+        )
 
     def _search(self, plan: Schedule, rng: np.random.Generator) -> _Search:
         # cells pay where they spare half of the distances at least
-        two_level = self.assignment == "two_level" or (self.assignment == "auto" and plan.extra["expected_fraction"] <= 0.5)
-        return _Search(plan if two_level else None, rng)
+        two_level = self.assignment == "two_level" or (self.assignment == "auto" and plan.expected_fraction <= MOST_SEARCHED)
+        return _Search(plan if two_level else None, rng, guarded=self.assignment == "auto")
 

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.vectors import dot, squared_distance, squared_norm
+from halyard.operators import schedules
 from halyard.operators.decomposition import PCA
 from halyard.operators.emeans import EMeans, OMeans
 from halyard.operators.kmeans import KMeans
 from halyard.operators.linear import LogisticRegression, reference_objective
 from halyard.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor, NearestNeighbors
-from halyard.operators.schedules import resolve
 from halyard.operators.svm import SVC, kernel_matrix, kkt_violations, resolve_gamma
 from halyard.plans.nearest import collected, mapped
 from halyard.session import table
@@ -266,8 +266,8 @@ def schedule_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for n, k, t in _GRID:
         if k <= n:
-            s = resolve(n, k, 64, t)
-            rows.append((n, k, t, s.batch_size, round(s.alpha0, 6), s.total_steps))
+            s = schedules.plan(n, k, 64, t)
+            rows.append((n, k, t, s.batch_size, round(s.alpha0, 6), sum(s.pass_steps)))
     return spark.createDataFrame(rows, "n long, k long, t long, batch_size long, alpha0 double, steps long")
 
 

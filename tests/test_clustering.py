@@ -132,26 +132,47 @@ def test_restarts_and_prepared_input(spark):
 
 
 def test_powers_and_passes():
-    assert [schedules.round_power_of_two(v) for v in (0.3, 1, 1.4, 1.5, 2.82, 2.83, 3, 100)] == [1, 1, 1, 2, 2, 4, 4, 128]
-    assert [schedules.epoch_rows(10, e) for e in (0.5, 1, 2.5, 3)] == [[5], [10], [10, 5, 10], [10, 10, 10]]
-    assert schedules.scheduled_alpha(1, 0, 10) == 1 and schedules.scheduled_alpha(1, 10, 10) == pytest.approx(0.1)
+    assert [schedules.nearest_power(v) for v in (0.3, 1, 1.4, 1.5, 2.82, 2.83, 3, 100)] == [1, 1, 1, 2, 2, 4, 4, 128]
+    assert [schedules.lengths(10, e) for e in (0.5, 1, 2.5, 3)] == [[5], [10], [10, 5, 10], [10, 10, 10]]
+    s = schedules.plan(100, 5, 2, 3, batch_size=10, alpha0=1.0)
+    assert s.alpha(0) == 1 and s.alpha(30) == pytest.approx(0.1) and s.alpha(15) == pytest.approx(0.55)
+    assert s.closing(1, 200) is None and s.closing(2, 210) == 1
 
 
 def test_laws():
-    s = schedules.resolve(1_000_000, 16_384, 96, 3)
-    assert s.batch_size == schedules.round_power_of_two(0.035 * 16_384**0.13 * 1e6**0.88 * 3**0.81)
+    s = schedules.plan(1_000_000, 16_384, 96, 3)
+    assert s.batch_size == schedules.nearest_power(0.035 * 16_384**0.13 * 1e6**0.88 * 3**0.81)
     assert s.alpha0 == pytest.approx(min(1, 0.824 * 16_384**-0.46 * s.batch_size**0.9 * 1e6**-0.45 * 3**-0.11))
-    assert schedules.resolve(3_000_000, 100, 8, 1).batch_law == "quality"
-    assert schedules.resolve(1000, 10, 2, 1, recipe="faiss").unused_threshold == 0
-    assert schedules.resolve(1000, 10, 3, 1, batch_size=10**9).batch_size == 1000
-    assert (schedules.cells_of(8), schedules.cells_of(1000), schedules.cells_of(16_384)) == (8, 16, 128)
-    assert schedules.probes_of(16_385, 96, 128) == 24 and schedules.probes_of(1000, 512, 128) == 12
-    t = schedules.resolve_two_level(10_000, 64, 16, 1.5)
-    assert t.extra["closing"] == "recency_weighted"
-    assert schedules.closing_weight(t, 10_000, 0, 15_000) == 1 and schedules.closing_weight(t, 10_000, 0, 5_000) == pytest.approx(math.exp(-1))
-    for bad in ({"epochs": 0}, {"alpha0": 2}, {"recipe": "x"}, {"batch_law": "x"}, {"unused_threshold": 1}, {"batch_size": 0}):
-        with pytest.raises(ValueError, match="must|recipe|law"):
-            schedules.resolve(**({"n": 100, "k": 5, "d": 2, "epochs": 1} | bad))
+    assert schedules.plan(3_000_000, 100, 8, 1).batch_law == "quality"
+    assert schedules.plan(1000, 10, 2, 1, recipe="faiss").unused_threshold == 0
+    assert schedules.plan(1000, 10, 3, 1, batch_size=10**9).batch_size == 1000
+    assert [schedules.cells_for(k) for k in (8, 1000, 2048, 2176, 16_384)] == [8, 16, 16, 32, 128]
+    assert schedules.lists_for(16_385, 96, 128) == 24 and schedules.lists_for(1000, 512, 128) == 12
+    t = schedules.plan_two_level(10_000, 64, 16, 1.5)
+    assert t.recent and t.least_closing > 0 and not schedules.plan_two_level(10_000, 64, 16, 2).recent
+    assert t.closing(0, 15_000) == 1 and t.closing(0, 5_000) == pytest.approx(math.exp(-1))
+    half = schedules.plan_two_level(10_000, 64, 16, 0.5, batch_size=100)
+    assert half.pass_rows == [5000] and half.closing(0, 5000) == 1 and half.refile_after(True) == 5 and half.refile_after(False) == 50
+    for bad in ({"budget": 0}, {"alpha0": 2}, {"recipe": "x"}, {"batch_law": "x"}, {"unused_threshold": 1}, {"batch_size": 0}, {"budget": 1e-9}, {"k": 101}):
+        with pytest.raises(ValueError, match="max_iter|alpha0|recipe|batch_law|unused|batch_size|fewer"):
+            schedules.plan(**({"n": 100, "k": 5, "d": 2, "budget": 1} | bad))
+
+
+def test_cells_that_spare_nothing_are_given_up(spark):
+    rows = frame(spark, BLOBS)
+    model = OMeans(30, max_iter=3, batch_size=20, n_cells=4, n_probe=1, init=np.repeat(BLOBS[:1], 30, 0), unused_threshold=0.0)
+    found = model.fit(rows).recipe_  # all centers begin at one place, so one cell holds them all
+    assert found["search"] == "dense" and found["search_fallback_step"] == 1
+    forced = OMeans(30, max_iter=3, batch_size=20, n_cells=4, n_probe=1, init=np.repeat(BLOBS[:1], 30, 0), unused_threshold=0.0, assignment="two_level").fit(rows).recipe_
+    assert forced["search"] == "two_level" and forced["search_fallback_step"] is None
+
+
+@pytest.mark.parametrize("value", [1.0, -1.0, 0.0, -3.0, 3.3895e38])
+def test_split_that_bfloat16_cannot_hold_is_mended(value):
+    centers, mass = np.array([[value, value], [9.0, 9.0]]), np.array([4.0, 0.0])
+    child, donor = (rounded(c, "bfloat16") for c in split(centers, mass, np.array([1]), np.array([0]), 1e-4, "bfloat16")[0][::-1])
+    assert child[0] != donor[0] and child[1] == donor[1]
+    assert np.isfinite(child).all() and (child[0] > donor[0]) == (value < 1e38)
 
 
 # --- moving averages
@@ -164,6 +185,8 @@ def test_update_and_splits():
     assert kept.tolist() == [[1.0]]
     children, donors = split_plan(np.array([10.0, 0.0, 30.0, 0.1, 0.0]), np.full(5, 0.5), 0.1)
     assert children.tolist() == [1, 3] and donors.tolist() == [2, 0]
+    races = [split_plan(np.array([1.0, 3.0, 0.0]), u, 0.1)[1][0] for u in np.random.default_rng(0).random((4000, 3))]
+    assert np.mean(races) == pytest.approx(0.75, abs=0.03)
     centers, mass = split(np.arange(10.0).reshape(5, 2), np.array([10.0, 0.0, 30.0, 0.1, 0.0]), children, donors, 0.5)
     assert centers[1].tolist() == [6.0, 2.5] and centers[2].tolist() == [2.0, 7.5] and mass.tolist() == [5.0, 15.0, 15.0, 5.0, 0.0]
     assert normalized(np.array([[3.0, 4.0], [0.0, 0.0]])).tolist() == [[0.6, 0.8], [0.0, 0.0]]
