@@ -13,16 +13,19 @@ whole, and the longer line probes with the substrings that its length leaves pos
 (multi-match-aware selection). Of words, a segment is filed under its substring of
 ``GRAM`` words with the least hash, and the longer line probes with its substrings
 that are least in any stretch as long as a segment of a line that it may link to, so
-their number grows with the line, not with the edits. What meets at a key is filtered
-by length and place (words), or by the parity of characters, of which an edit flips
-two at most, and is then verified exactly by a banded bit-parallel edit distance.
+their number grows with the line, not with the edits. Substrings that are frequent in
+a bounded sample count as greater than others, which decides what is quick but never
+what is found. What meets at a key is filtered by length and place (words), or by the
+parity of characters, of which an edit flips two at most, and is then verified exactly
+by a banded bit-parallel edit distance.
 
 Equal lines are one line, which takes part once, so a line that a third of all
-documents hold costs no more than another. Keys that hold more than ``CROWD``
-pairs are split into pairs of parts, each compared in a task of its own. What a task
-verifies goes on as counts and a forest. A class of lines is a component over the
-links; its first member, by doc_id and line number, is the one that ``deduplicate``
-keeps.
+documents hold costs no more than another. Keys travel in buckets, packed by the task
+that makes them, and a bucket is sorted in memory where it arrives; a bucket of more
+than ``MOST`` keys is dealt again key by key, and a key with more than ``CROWD`` pairs
+is split into parts, each compared in a task of its own. What a task verifies goes on
+as counts and a forest. A class of lines is a component over the links; its first
+member, by doc_id and line number, is the one that ``deduplicate`` keeps.
 
 Defined results: lines end at \\n; lines of white space alone are no lines here
 and always stay; a null text has no lines and stays null; lines too short for an
@@ -48,13 +51,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType
 
 from halyard.llm.graph import components, local_roots
+from halyard.llm.terms import sampled
 from halyard.llm.workers import tidy
 from halyard.session import cut
 
 #: Pairs at one key beyond which the key is split.
 CROWD = 1 << 26
-#: Rows of a part of a split key; rows beyond which a key is split without counting its pairs.
+#: Rows of a part of a split key; rows of a bucket, or of a key, that are held in memory at most.
 PART, MOST = 1 << 12, 1 << 22
+#: Bytes of text for every bucket (some 250,000 keys), and buckets for every shuffle partition at least.
+BUCKET, BUCKETS = 1 << 22, 8
+#: Documents that tell which substrings are frequent, lines of them that hold a frequent one, and most substrings told.
+SAMPLE, FREQUENT, TOLD = 8000, 4, 1 << 16
 #: Pairs compared at once, characters hashed at once, lines that a task remembers having sent.
 PAIRS, CHARS, SEEN = 1 << 19, 1 << 19, 1 << 17
 #: Ids of lines to verify that are broadcast at most; beyond that they are joined by shuffle.
@@ -102,6 +110,10 @@ class Rule:
             number: dict[str, int] = {}
             x, y = (np.array([number.setdefault(w, len(number)) for w in s]) for s in (a, b))
             limit = n // self.per_word
+            # an edit takes one word away and adds one, at most
+            more = np.bincount(x, minlength=len(number)) - np.bincount(y, minlength=len(number))
+            if max(more[more > 0].sum(), -more[more < 0].sum()) > limit:
+                return False
         return edit_distance(x, y, limit) <= limit
 
 
@@ -221,23 +233,43 @@ def keys_of_characters(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.nda
     return line, key
 
 
-def keys_of_words(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Grams:
+    """Substrings of GRAM words of lines: hash of each, first word and number of words of each line, which end in their line."""
+
+    hash: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    inside: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, lines: list[str]) -> Grams:
+        code, _, start, total, inverse = _codes(lines)
+        blank = SPACE[np.minimum(code, 0x3000)] & (code <= 0x3000)
+        begin = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+        first = np.searchsorted(begin, start)
+        count = np.diff(np.r_[first, len(begin)])
+        word = _mixed((total[end] - total[begin]) * inverse[begin])
+        gram = np.zeros(max(0, len(word) - GRAM + 1), np.uint64)
+        for i in range(GRAM):
+            gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[i : len(gram) + i]
+        place = (np.arange(len(word)) - np.repeat(first, count))[: len(gram)]
+        return cls(_mixed(gram), first, count, place + GRAM <= np.repeat(count, count)[: len(gram)], place)
+
+
+def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Line and key of the segments of lines of ``per_word`` words or more, and of the substrings that they probe with."""
-    code, _, start, total, inverse = _codes(lines)
-    blank = SPACE[np.minimum(code, 0x3000)] & (code <= 0x3000)
-    begin = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
-    first = np.searchsorted(begin, start)
-    count = np.diff(np.r_[first, len(begin)])
-    word = _mixed((total[end] - total[begin]) * inverse[begin])
-    gram = np.zeros(len(word) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[i : len(gram) + i]
-    place = np.arange(len(word)) - np.repeat(first, count)
-    # a substring's hash and place, compared by hash; those that run into the next line come last
-    gram = _mixed(gram) & ~np.uint64(FAR) | np.minimum(place[: len(gram)], FAR).astype(np.uint64)
-    inside = (place + GRAM <= np.repeat(count, count))[: len(gram)]
-    gram = np.where(inside, gram, ~np.uint64(0))
+    found = Grams.of(lines)
+    first, count, place = found.first, found.count, found.place
+    # in the order that decides: level, hash, place; substrings that run into the next line come last
+    gram = found.hash >> np.uint64(4)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found.hash), len(frequent) - 1)
+        gram |= np.where(frequent[at] == found.hash, level[at], 0).astype(np.uint64) << np.uint64(60)
+    gram = gram & ~np.uint64(FAR) | np.minimum(place, FAR).astype(np.uint64)
+    gram = np.where(found.inside, gram, ~np.uint64(0))
     payload = np.uint64(WORDS) | (np.minimum(count, FAR).astype(np.uint64) << np.uint64(10))
 
     parts = count // rule.per_word + 1
@@ -248,9 +280,10 @@ def keys_of_words(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]
     at = first[line] + i * base + np.maximum(0, i - (of - wide))
     bounds = np.stack([at, at + base + (i >= of - wide) - GRAM + 1], 1).ravel()
     least = np.minimum.reduceat(np.r_[gram, ~np.uint64(0)], bounds)[::2]
-    found = [(line, least, False)]
+    chosen = [(line, least, False)]
 
     stretch = np.array([_stretch(rule, n) for n in count.tolist()])
+    of_line = np.repeat(np.arange(len(lines)), count)
     for wide in np.unique(stretch).tolist():
         low, have = gram, 1
         while have < wide:
@@ -258,12 +291,12 @@ def keys_of_words(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]
             low = np.minimum(low[:-step], low[step:])
             have += step
         # a stretch that begins here and ends in the line
-        line = np.repeat(np.arange(len(lines)), count)[: len(low)]
+        line = of_line[: len(low)]
         ok = (stretch[line] == wide) & (place[: len(low)] + GRAM + wide - 1 <= count[line])
         line, low = line[ok], low[ok]
         new = np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])] if len(low) else np.zeros(0, bool)
-        found.append((line[new], low[new], True))
-    out = [(line, _key(low >> np.uint64(10), probe, payload[line] | (low & np.uint64(FAR)))) for line, low, probe in found]
+        chosen.append((line[new], low[new], True))
+    out = [(line, _key(low >> np.uint64(10), probe, payload[line] | (low & np.uint64(FAR)))) for line, low, probe in chosen]
     line, key = (np.concatenate(x) for x in zip(*out, strict=True))
     return line, key
 
@@ -273,21 +306,23 @@ def _stretch(rule: Rule, words: int) -> int:
     return rule.stretch(words)
 
 
-def keys(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key of all that lines file and probe with, sorted by line."""
+NONE_FREQUENT = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def keys(lines: list[str], rule: Rule, frequent: tuple[np.ndarray, np.ndarray] = NONE_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of all that lines file and probe with."""
     words = np.array([len(line.split()) for line in lines])
     found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
     # a line may be short of the words of another one by as many as there are edits
-    for of, made in (np.flatnonzero(words < rule.per_word + rule.max_edits), keys_of_characters), (np.flatnonzero(words >= rule.per_word), keys_of_words):
-        if len(of):
-            line, key = made([lines[i] for i in of.tolist()], rule)
-            found.append((of[line], key))
+    short, long = np.flatnonzero(words < rule.per_word + rule.max_edits), np.flatnonzero(words >= rule.per_word)
+    if len(short):
+        line, key = keys_of_characters([lines[i] for i in short.tolist()], rule)
+        found.append((short[line], key))
+    if len(long):
+        line, key = keys_of_words([lines[i] for i in long.tolist()], rule, *frequent)
+        found.append((long[line], key))
     line, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((key, line))
-    line, key = line[order], key[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    return line[new], key[new]
+    return line, key
 
 
 def identity(line: str) -> bytes:
@@ -320,64 +355,92 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, line_no int, h1 long, h2 long")
 
 
-def _distinct_lines(docs: DataFrame, rule: Rule, texts: bool) -> DataFrame:
-    """Lines long enough for an edit, hardly repeated within a task: h1, h2, and the text or the keys."""
+def _lines(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Lines of texts that are long enough for an edit, some at a time, and their identities; hardly repeated within a task."""
+    seen: set[bytes] = set()
+    some, ids, held = [], [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            for line in (text.as_py() or "").split("\n"):
+                if len(line) >= min(rule.per_edit, 2 * rule.per_word - 1) and not line.isspace():
+                    h = identity(line)
+                    if h in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(h)
+                    some.append(line)
+                    ids.append(h)
+                    held += len(line) + 1
+                    if held >= CHARS:
+                        yield some, ids
+                        some, ids, held = [], [], 0
+    if some:
+        yield some, ids
+
+
+def _frequent(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of substrings that many lines of a bounded sample have, sorted, and how frequent they are on a scale from 1 to 15."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
-        seen: set[bytes] = set()
-        some, ids, held = [], [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= min(rule.per_edit, 2 * rule.per_word - 1) and not line.isspace():
-                        h = identity(line)
-                        if h in seen:
-                            continue
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(h)
-                        some.append(line)
-                        ids.append(h)
-                        held += len(line) + 1
-                        if held >= CHARS:
-                            yield some, ids
-                            some, ids, held = [], [], 0
-        if some:
-            yield some, ids
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, _ in _lines(batches, rule):
+            found = Grams.of(some)
+            line = np.repeat(np.arange(len(some)), found.count)[: len(found.hash)][found.inside]
+            pairs = np.unique(np.stack([line.astype(np.uint64), found.hash[found.inside]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64))], ["h"])
+
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    some = sampled(known, F.col("doc_id"), SAMPLE, 42).select("text").mapInArrow(tidy(run), "h long")
+    told = some.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(TOLD).toArrow()
+    h, count = told.column("h").to_numpy().view(np.uint64), told.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.minimum(15, 1 + np.log2(count[order] // FREQUENT)).astype(np.int64)
+
+
+def _packed(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+    """bucket and its pairs of key and h1, in rows of as many as a task meets at once."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, rule))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, ids in lines(batches):
-            own = _halves(ids)
-            if texts:
-                yield pa.RecordBatch.from_arrays([*own, pa.array(some, pa.string())], ["h1", "h2", "line"])
+        for some, ids in _lines(batches, rule):
+            line, key = keys(some, rule, frequent.value)
+            if not len(line):
                 continue
-            line, key = keys(some, rule)
-            first = np.searchsorted(line, np.arange(len(some) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(first), pa.array(key.view(np.int64)))], ["h1", "h2", "keys"])
+            h1 = np.frombuffer(b"".join(ids), "<i8")[::2]
+            pairs = np.stack([key.view(np.int64), h1[line]], 1)
+            bucket = _bucket(key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, data = bucket[order], pairs[order].tobytes()
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            offsets = np.r_[first, len(bucket)].astype(np.int32) * 16
+            rows = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), rows], ["bucket", "pairs"])
 
-    return docs.select("text").mapInArrow(tidy(run), "h1 long, h2 long, line string" if texts else "h1 long, h2 long, keys array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "bucket int, pairs binary")
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h1, h2 -> a row for every key of every different line."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        new[0] = last != (h1[0], h2[0])
-        last = (h1[-1], h2[-1])
-        rows = batch.filter(pa.array(new))
-        column = rows.column(2)
-        values, own = column.flatten().to_numpy(), np.repeat(rows.column(0).to_numpy(), np.diff(column.offsets.to_numpy()))
-        for i in range(0, len(values), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(values[part]), pa.array(own[part])], ["key", "h1"])
-
-
-def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> np.uint64(HASH)).astype(np.int64) % buckets
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Pairs of key and h1 of some rows."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.int64).reshape(-1, 2)
+
+
+def _by_row(packed: DataFrame) -> DataFrame:
+    """Every key of a packed table once: key, h1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = _unpacked(batch.column(1))
+            for i in range(0, len(pairs), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c].copy()) for c in (0, 1)], ["key", "h1"])
+
+    return packed.mapInArrow(tidy(run), "key long, h1 long").distinct()
+
+
+def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a filed and a probing line of one group that may link, and the groups that hold too many. Sorted by group, then by key."""
     probe, of_words = (key & PROBES) > 0, (key & WORDS) > 0
     words, place = np.where(of_words, key >> 10 & FAR, 0), key & FAR
@@ -405,92 +468,137 @@ def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd:
         one, two = h1[left[hit]], h1[right[hit]]
         pairs.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    return found[:, 0], found[:, 1], crowded
+    return found, crowded
+
+
+MET = "u long, v long, crowded long, over int"
+
+
+def _told(pairs: np.ndarray, crowded: np.ndarray, over: list[int]) -> Iterator[pa.RecordBatch]:
+    """Pairs, keys that hold too many, and buckets that do."""
+    n = [len(pairs), len(crowded), len(over)]
+    if sum(n):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        u = pa.concat_arrays([pa.array(pairs[:, 0], kinds[0]), pa.nulls(n[1] + n[2], kinds[0])])
+        v = pa.concat_arrays([pa.array(pairs[:, 1], kinds[1]), pa.nulls(n[1] + n[2], kinds[1])])
+        c = pa.concat_arrays([pa.nulls(n[0], kinds[2]), pa.array(crowded, kinds[2]), pa.nulls(n[2], kinds[2])])
+        o = pa.concat_arrays([pa.nulls(n[0] + n[1], kinds[3]), pa.array(over, kinds[3])])
+        yield pa.RecordBatch.from_arrays([u, v, c, o], ["u", "v", "crowded", "over"])
+
+
+def _groups(hashes: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Numbers that rise from one hash to the next, or where anything else changes."""
+    new = hashes[1:] != hashes[:-1]
+    for other in more:
+        new = new | (other[1:] != other[:-1])
+    return np.cumsum(np.r_[0, new])
+
+
+def _meeting_in_buckets(packed: DataFrame, rule: Rule, crowd: float) -> DataFrame:
+    """Rows of ``packed``, sorted by bucket -> pairs, crowded keys, and buckets that hold too many keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, n = None, [], 0
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if bucket != own[lo]:
+                    yield from answer(bucket, held, n)
+                    bucket, held, n = int(own[lo]), [], 0
+                pairs = _unpacked(batch.column(1).slice(lo, hi - lo))
+                n += len(pairs)
+                held = [*held, pairs] if n <= MOST else []
+        yield from answer(bucket, held, n)
+
+    def answer(bucket: int | None, held: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+        if n > MOST:
+            yield from _told(np.empty((0, 2), np.int64), np.empty(0, np.int64), [bucket])
+        elif n:
+            key, h1 = np.concatenate(held).T
+            order = np.lexsort((h1, key))
+            key, h1 = key[order], h1[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])]
+            key, h1 = key[new], h1[new]
+            at = _groups(key >> HASH)
+            pairs, many = _meet(at, key, h1, rule, crowd)
+            yield from _told(pairs, key[np.searchsorted(at, many)] >> HASH, [])
+
+    return packed.mapInArrow(tidy(run), MET)
 
 
 def _meeting(dealt: DataFrame, rule: Rule, crowd: float) -> DataFrame:
-    """Rows (key, h1, and part if split), sorted by part and key -> u, v; or crowded, where a key holds too many pairs."""
+    """Rows (key, h1, and part if split), sorted by part and key -> pairs and crowded keys."""
     split = "part" in dealt.columns
 
     def group(rows: pa.RecordBatch) -> np.ndarray:
-        """Numbers that rise from one hash or part to the next."""
-        own = rows.column(0).to_numpy() >> HASH
-        new = own[1:] != own[:-1]
-        if split:
-            part = rows.column(2).to_numpy()
-            new |= part[1:] != part[:-1]
-        return np.cumsum(np.r_[0, new])
+        return _groups(rows.column(0).to_numpy() >> HASH, *([rows.column(2).to_numpy()] if split else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, over = [], 0, None
         for batch in batches:
+            if over is not None:  # the rest of a key that is known to be crowded
+                batch = batch.slice(int(np.searchsorted(batch.column(0).to_numpy() >> HASH, over, "right")))
+                over = None if batch.num_rows else over
             if not batch.num_rows:
                 continue
             at = group(batch)
-            if over is not None:  # the rest of a key that is known to be crowded
-                own = batch.column(0).to_numpy() >> HASH
-                skip = int((own == over).argmin()) if (own != over).any() else len(own)
-                batch, at = batch.slice(skip), at[skip:]
-                if not batch.num_rows:
-                    continue
-                over = None
             last = int(np.searchsorted(at, at[-1]))
             if held and (last or group(joined([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))[-1]):
                 now = joined([*held, batch.slice(0, last)])
                 held, rows = [], 0
-                yield from answer(now, group(now))
+                yield from answer(now)
             elif last:
-                yield from answer(batch.slice(0, last), at[:last])
+                yield from answer(batch.slice(0, last))
             held.append(batch.slice(last))
             rows += batch.num_rows - last
             if rows > MOST and split:  # filed rows come first, and a part has few of them
                 now = joined(held)
                 filed = int(((now.column(0).to_numpy() & PROBES) == 0).sum())
-                yield from answer(now, group(now))
+                yield from answer(now)
                 held, rows = [now.slice(0, filed)], filed
             elif rows > MOST:
                 over = held[0].column(0)[0].as_py() >> HASH
                 held, rows = [], 0
-                yield told(np.empty((0, 2), np.int64), np.array([over]))
+                yield from _told(np.empty((0, 2), np.int64), np.array([over]), [])
         if held:
-            now = joined(held)
-            yield from answer(now, group(now))
+            yield from answer(joined(held))
 
     def joined(some: list[pa.RecordBatch]) -> pa.RecordBatch:
         return pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
-    def answer(rows: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key = rows.column(0).to_numpy()
-        at = at - at[0]
-        u, v, many = _meet(at, key, rows.column(1).to_numpy(), rule, crowd)
-        if len(u) or len(many):
-            yield told(np.stack([u, v], 1), key[np.searchsorted(at, many)] >> HASH)
+    def answer(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, at = rows.column(0).to_numpy(), group(rows)
+        pairs, many = _meet(at, key, rows.column(1).to_numpy(), rule, crowd)
+        yield from _told(pairs, key[np.searchsorted(at, many)] >> HASH, [])
 
-    def told(pairs: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        none = lambda n: pa.nulls(n, pa.int64())
-        columns = [[pa.array(pairs[:, 0]), none(len(many))], [pa.array(pairs[:, 1]), none(len(many))], [none(len(pairs)), pa.array(many)]]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "crowded"])
-
-    return dealt.mapInArrow(tidy(run), "u long, v long, crowded long")
+    return dealt.mapInArrow(tidy(run), MET)
 
 
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (u, v) of lines, by the first half of their identity, that may link."""
-    distinct = _distinct_lines(docs, rule, texts=False).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    spread = distinct.mapInArrow(tidy(_spread), "key long, h1 long")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    packed = _packed(docs, rule, buckets)
     bare = F.shiftright("key", HASH)
-    found = cut(_meeting(spread.repartition(bare).sortWithinPartitions("key"), rule, CROWD).distinct())
-    crowded = found.where(F.col("crowded").isNotNull()).select("crowded")
-    pairs = found.where(F.col("u").isNotNull()).select("u", "v")
+    found = cut(_meeting_in_buckets(packed.repartition("bucket").sortWithinPartitions("bucket"), rule, CROWD).distinct())
+    over = found.where(F.col("over").isNotNull()).select(F.col("over").alias("bucket"))
+    pairs, crowded = (found.where(F.col(c).isNotNull()) for c in ("u", "crowded"))
+    if not over.isEmpty():
+        again = cut(_meeting(_by_row(packed.join(over, "bucket", "left_semi")).repartition(bare).sortWithinPartitions("key"), rule, CROWD).distinct())
+        pairs, crowded = (one.unionByName(again.where(F.col(c).isNotNull())) for one, c in ((pairs, "u"), (crowded, "crowded")))
+    pairs, crowded = pairs.select("u", "v"), crowded.select("crowded")
     if crowded.isEmpty():
         return pairs
-    hot = spread.join(crowded, bare == F.col("crowded"))
+    crowded = cut(crowded)
+    of = F.pmod(F.col("crowded").bitwiseAND(F.lit((1 << (64 - HASH)) - 1)), F.lit(buckets)).cast("int")
+    hot = _by_row(packed.join(crowded.select(of.alias("bucket")).distinct(), "bucket", "left_semi")).join(crowded, bare == F.col("crowded"))
     counted = cut(hot.groupBy("crowded").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     # every filed row goes to one part, every probing row to all parts
     own = F.array(F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     probes = F.col("key").bitwiseAND(F.lit(PROBES)) != 0
     split = hot.join(counted, "crowded").withColumn("part", F.explode(F.when(probes, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    dealt = split.select(*spread.columns, "part").repartition(bare, "part").sortWithinPartitions("part", "key")
+    dealt = split.select("key", "h1", "part").repartition(bare, "part").sortWithinPartitions("part", "key")
     return cut(pairs.unionByName(_meeting(dealt, rule, float("inf")).select("u", "v")).distinct())
 
 
@@ -510,10 +618,14 @@ def verified(docs: DataFrame, rule: Rule) -> DataFrame:
             columns = [np.r_[u, names], np.r_[v, np.full(len(names), None)]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c.tolist(), pa.string()) for c in columns), pa.array([None] * len(u) + links.tolist(), pa.int64())], ["u", "v", "links"])
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, own in _lines(batches, rule):
+            yield pa.RecordBatch.from_arrays([*_halves(own), pa.array(some, pa.string())], ["h1", "h2", "line"])
+
     pairs = candidates(docs, rule)
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    lines = _distinct_lines(docs, rule, texts=True).join(ids, "h1", "left_semi")
+    lines = docs.select("text").mapInArrow(tidy(told), "h1 long, h2 long, line string").join(ids, "h1", "left_semi")
     lines = cut(lines.groupBy("h1", "h2").agg(F.first("line").alias("line")))
     named = lines.select("h1", _name(F.col("h1"), F.col("h2")).alias("name"), "line")
     left = named.select(F.col("h1").alias("u"), F.col("name").alias("a_name"), F.col("line").alias("a"))

@@ -53,16 +53,16 @@ RULE = linededup.Rule()
 VOCABULARY = [a + b for a in "abcdeé" for b in ("", "x", "yy", "漢")]
 
 
-def met(lines, one, other, rule=RULE):
+def met(lines, one, other, rule=RULE, frequent=linededup.NONE_FREQUENT):
     """Whether two lines meet at a key, one filed and the other probing, and may link there."""
-    line, key = linededup.keys(lines, rule)
+    line, key = linededup.keys(lines, rule, frequent)
     h1 = np.array([one, other])[(line == other).astype(int)]
     mine = (line == one) | (line == other)
     line, key, h1 = line[mine], key[mine].view(np.int64), h1[mine]
     order = np.argsort(key, kind="stable")
     own = key[order] >> linededup.HASH
-    u, v, _ = linededup._meet(np.cumsum(np.r_[0, own[1:] != own[:-1]]), key[order], h1[order], rule, float("inf"))
-    return len(u) > 0
+    found, _ = linededup._meet(np.cumsum(np.r_[0, own[1:] != own[:-1]]), key[order], h1[order], rule, float("inf"))
+    return len(found) > 0
 
 
 def test_linking_lines_of_characters_meet():
@@ -103,7 +103,10 @@ def test_linking_lines_of_words_meet():
         if a == b or n < 12 or linededup.edit_distance(x, y, n // 12) > n // 12:
             continue
         met_any += 1
-        assert met(["one two", " ".join(a), "x " * 30, "\u3000".join(b)], 1, 3), (len(a), len(b))
+        lines = ["one two", " ".join(a), "x " * 30, "\u3000".join(b)]
+        some = np.unique(rng.sample(linededup.Grams.of(lines).hash.tolist(), len(a) // 2)).astype(np.uint64)
+        assert met(lines, 1, 3), (len(a), len(b))
+        assert met(lines, 1, 3, frequent=(some, np.arange(len(some)) % 15 + 1)), (len(a), len(b))
     assert met_any > 800
 
 
@@ -216,6 +219,7 @@ def test_rows_of_one_key_beyond_memory_are_split(docs, monkeypatch):
     rows = fixture()
     monkeypatch.setattr(linededup, "MOST", 6)
     monkeypatch.setattr(linededup, "PART", 2)
+    monkeypatch.setattr(linededup, "SAMPLE", 30)
     assert sorted(map(tuple, linededup.classes(docs(rows)).collect()), key=str) == brute(rows)
 
 
