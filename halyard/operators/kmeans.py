@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Self
 
@@ -48,102 +47,110 @@ def first_centers(rows: DataFrame, k: int, dimensions: int, seed: int, init: str
     return plus_plus(rows, k, dimensions, seed)
 
 
+#: Rounds and rows for each center that draw candidates from a table beyond memory.
+ROUNDS, DRAWN = 5, 2
+
+
 def plus_plus(rows: DataFrame, k: int, dimensions: int, seed: int) -> np.ndarray:
     """Greedy k-means++: of 2 + log(k) rows drawn in proportion to their squared distance, the one that lowers the potential most.
 
-    A row is drawn as the least of -log(u) / weight over all rows, u being a number
-    that depends on its id, step and trial alone; so each task needs to return one row
-    for each trial, and the choice does not depend on partitions.
+    Squared distances to the nearest center so far are kept, so a step costs the
+    distances to the drawn rows alone. A table of checked small size is seeded in
+    memory. Of a larger one, a few rounds each draw some ``DRAWN * k`` candidates in
+    proportion to their distance from those before (Bahmani et al., 2012); candidates
+    count as often as rows are nearest to them, and are seeded in the same way. Draws
+    depend on ids, not on partitions.
     """
-    trials = 2 + int(math.log(k))
-    seeds = [derive_seed(seed, "plus", step) >> 1 for step in range(k)]
-    held = Held.of(rows, dimensions, seeds)
-    centers = np.empty((0, dimensions))
+    held = Held.of(rows, dimensions, derive_seed(seed, "plus") >> 1)
+    weight = None
+    if held is None:
+        held, weight = _candidates(rows, k, dimensions, seed)
+    return greedy(held.x, held.key, np.ones(len(held.x)) if weight is None else weight, k, seed)
+
+
+def greedy(x: np.ndarray, key: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Greedy k-means++ over weighted rows in memory; ``key`` holds a random number for each of them."""
+    trials, norms = 2 + int(math.log(k)), np.einsum("ij,ij->i", x, x)
+    least, chosen = None, []
     for step in range(k):
-        tries = 1 if step == 0 else trials
-        if held is not None:
-            found = drawn(held.x, held.keys[:, step], centers, tries)
-        else:
-            found = _drawn_by_spark(rows, centers, tries, seeds[step], dimensions)
-        options = np.array([x for rank, _, x in found if rank < math.inf])
-        if not len(options):  # every row lies on a center
-            return np.concatenate([centers, np.repeat(centers[:1], k - step, axis=0)])
-        if len(options) > 1:
-            sums = potentials(held.x, centers, options) if held is not None else _potentials(rows, centers, options, dimensions)
-            options = options[int(np.argmin(sums))][None, :]
-        centers = np.concatenate([centers, options])
-    return centers
+        mass = weight if least is None else weight * least
+        drawn = _drawn(key, mass, derive_seed(seed, "step", step), 1 if step == 0 else trials)
+        if not len(drawn):  # every row lies on a center
+            return np.concatenate([x[chosen], np.repeat(x[chosen[:1]], k - step, axis=0)])
+        now = _distances(x, norms, drawn)
+        now = now if least is None else np.minimum(least[:, None], now)
+        best = int(np.argmin(weight @ now)) if len(drawn) > 1 else 0
+        least = now[:, best].copy()
+        chosen.append(int(drawn[best]))
+    return x[chosen]
+
+
+def _drawn(key: np.ndarray, mass: np.ndarray, seed: int, tries: int) -> np.ndarray:
+    """For each trial the first row to arrive in a race in which each one's rate is its mass."""
+    able = np.flatnonzero(mass > 0)
+    if not len(able):
+        return able
+    found = []
+    for t in range(tries):
+        mixed = (key[able] ^ np.uint64((seed + 0x9E3779B97F4A7C15 * (t + 1)) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        u = (((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+        found.append(able[np.argmin(-np.log(u) / mass[able])])
+    return np.array(found)
+
+
+def _distances(x: np.ndarray, norms: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to some; those that rounding might blur are computed directly."""
+    both = norms[:, None] + norms[places][None, :]
+    found = both - 2 * (x @ x[places].T)
+    i, j = np.nonzero(found <= 1e-8 * both)
+    for lo in range(0, len(i), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        gap = x[i[part]] - x[places[j[part]]]
+        found[i[part], j[part]] = np.einsum("ij,ij->i", gap, gap)
+    return found
 
 
 @dataclass
 class Held:
-    """A small table in memory: vectors in the order of id, and hashes of the ids for some seeds."""
+    """Rows in memory, in the order of id, and a hash of each id."""
 
     x: np.ndarray
-    keys: np.ndarray
+    key: np.ndarray
 
     @classmethod
-    def of(cls, rows: DataFrame, dimensions: int, seeds: list[int]) -> Held | None:
+    def of(cls, rows: DataFrame, dimensions: int, seed: int = 0) -> Held | None:
         """The table, if it is small enough."""
-        if not fits(rows.count(), dimensions + len(seeds)):
+        if not fits(rows.count(), dimensions + 1):
             return None
-        keys = F.array(*[F.xxhash64("id", F.lit(s)) for s in seeds]) if seeds else F.array(F.lit(0).cast("long"))
-        table = rows.select("id", "features", keys.alias("keys")).toArrow().sort_by("id").combine_chunks()
-        flat = table.column("keys").combine_chunks().flatten().to_numpy()
-        return cls(dense(table.column("features"), dimensions), flat.reshape(table.num_rows, -1))
-
-
-def drawn(x: np.ndarray, key: np.ndarray, centers: np.ndarray, tries: int) -> list[tuple[float, int, np.ndarray]]:
-    """For each trial the least rank among some rows, with its key and vector."""
-    if not len(x):
-        return [(math.inf, 0, np.empty(0))] * tries
-    weight = closest(x, centers)[1] if len(centers) else np.ones(len(x))
-    key = key.view(np.uint64)
-    best = []
-    for t in range(tries):
-        mixed = (key ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        u = ((mixed >> np.uint64(11)).astype(float) + 0.5) / 2**53
-        with np.errstate(divide="ignore"):
-            rank = np.where(weight > 0, -np.log(u) / weight, np.inf)
-        i = int(np.lexsort((key, rank))[0])
-        best.append((float(rank[i]), int(key[i]), x[i]))
-    return best
-
-
-def _drawn_by_spark(rows: DataFrame, centers: np.ndarray, tries: int, seed: int, dimensions: int) -> list[tuple[float, int, np.ndarray]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[float, int, np.ndarray]] = [(math.inf, 0, np.empty(0))] * tries
-        for batch in batches:
-            found = drawn(dense(batch.column(0), dimensions), batch.column(1).to_numpy(zero_copy_only=False), centers, tries)
-            best = [min(a, b, key=lambda r: r[:2]) for a, b in zip(best, found, strict=True)]
-        out = [(t, rank, str(key).zfill(20), x.tobytes()) for t, (rank, key, x) in enumerate(best) if rank < math.inf]
-        if out:
-            t, rank, key, x = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(rank), pa.array(key), pa.array(x, pa.binary())], ["t", "rank", "key", "x"])
-
-    keyed = rows.select("features", F.xxhash64("id", F.lit(seed)).alias("key"))
-    parts = keyed.mapInArrow(run, "t int, rank double, key string, x binary").groupBy("t").agg(F.min(F.struct("rank", "key", "x")).alias("b")).select("t", "b.*").collect()
-    return [(r["rank"], int(r["key"]), np.frombuffer(r["x"])) for r in sorted(parts, key=lambda r: r["t"])]
-
+        return cls.read(rows, dimensions, seed)
 
-def potentials(x: np.ndarray, centers: np.ndarray, options: np.ndarray) -> np.ndarray:
-    """The potential of some rows with each of the options added."""
-    now = closest(x, centers)[1]
-    return np.array([np.minimum(now, np.square(x - option).sum(1)).sum() for option in options])
-
-
-def _potentials(rows: DataFrame, centers: np.ndarray, options: np.ndarray, dimensions: int) -> np.ndarray:
-    """The potential of a whole table with each of the options added."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(options))
-        for batch in batches:
-            if batch.num_rows:
-                sums += potentials(dense(batch.column(0), dimensions), centers, options)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-
-    return np.sum([np.frombuffer(r["sums"]) for r in rows.select("features").mapInArrow(run, "sums binary").collect()], axis=0)
+    @classmethod
+    def read(cls, rows: DataFrame, dimensions: int, seed: int) -> Held:
+        table = rows.select("id", "features", F.xxhash64("id", F.lit(seed)).alias("key")).toArrow().sort_by("id").combine_chunks()
+        return cls(dense(table.column("features"), dimensions), table.column("key").to_numpy().view(np.uint64))
+
+
+def _candidates(rows: DataFrame, k: int, dimensions: int, seed: int) -> tuple[Held, np.ndarray]:
+    """Rows that centers are chosen from, and for how many rows each stands. About ROUNDS * DRAWN * k of them reach the driver."""
+    name = derive_seed(seed, "plus") >> 1
+    first = rows.orderBy(uniform(F.col("id"), seed, "first"), "id").limit(1)
+    held, rounds = Held.read(first, dimensions, name), 0
+    while rounds < ROUNDS or len(held.x) < k:
+        known = held.x
+        far = mapped(rows.select("id", "features"), dimensions, {"least": "double"}, lambda x, known=known: [pa.array(closest(x, known)[1])])
+        potential = far.agg(F.sum("least")).first()[0]
+        if not potential:
+            break
+        rounds += 1
+        more = Held.read(far.where(uniform(F.col("id"), seed, "round", rounds) < DRAWN * k / potential * F.col("least")), dimensions, name)
+        held = Held(np.concatenate([known, more.x]), np.concatenate([held.key, more.key]))
+    known = held.x
+    label = mapped(rows.select("features"), dimensions, {"label": "int"}, lambda x: [pa.array(closest(x, known)[0].astype(np.int32))])
+    weight = np.zeros(len(known))
+    for r in label.groupBy("label").count().collect():  # a row a candidate
+        weight[r["label"]] = r["count"]
+    return held, weight
 
 
 def relocated(rows: DataFrame, centers: np.ndarray, sums: np.ndarray, counts: np.ndarray, dimensions: int) -> tuple[np.ndarray, int]:
@@ -265,16 +272,16 @@ class KMeans(Centers):
 
     def _run(self, ready: Prepared, centers: np.ndarray) -> tuple:
         rows, d, k = ready.rows, ready.shape.dimensions, self.n_clusters
-        held = Held.of(rows, d, [])
+        held = Held.of(rows, d)
         data = rows if held is None else held.x
-        before, stats, reason = None, [], "max_iter"
+        labels, stats, reason = None, [], "max_iter"
         for iteration in range(self.max_iter):
-            found = total(data, dense_assign(centers), k, d, dense_assign(before) if before is not None else None)
+            found = total(data, dense_assign(centers), k, d)
             new, empty = relocated(rows, centers, found.sums, found.counts, d)
             shift = float(np.square(new - centers).sum())
             stats.append({"iteration": iteration + 1, "inertia_before_update": found.inertia, "center_shift_squared": shift, "empty_clusters": empty})
-            unchanged = before is not None and not found.changed
-            before, centers = centers, new
+            unchanged = labels == found.labels
+            labels, centers = found.labels, new
             if unchanged or shift <= ready.tolerance:
                 reason = "labels" if unchanged else "tolerance"
                 break

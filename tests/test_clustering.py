@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from halyard.config import tuning_context
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
-from halyard.operators import schedules
+from halyard.operators import kmeans, schedules
 from halyard.operators.emeans import EMeans, OMeans, build_cells, ema, normalized, rounded, split, split_plan
 from halyard.operators.kmeans import KMeans, first_centers, plus_plus
 from halyard.plans import partials
+from halyard.plans.lloyd import stamped
 from halyard.plans.nearest import closest
 from halyard.streaming.clustering import StreamingCenters
 from tests.test_neighbors import frame
@@ -46,13 +47,42 @@ def test_labels_are_fresh(spark):
     assert model.score(rows) == pytest.approx(-model.inertia_)
 
 
-def test_memory_and_spark_draw_the_same_centers(spark):
+def test_candidates_beyond_memory(spark):
     rows = frame(spark, BLOBS)
     with tuning_context(broadcast_bytes=1):
         far = plus_plus(rows, 5, 3, 9)
-        fit = KMeans(4, random_state=2).fit(rows)
-    assert np.array_equal(plus_plus(rows, 5, 3, 9), far)
-    assert KMeans(4, random_state=2).fit(rows).cluster_centers_ == pytest.approx(fit.cluster_centers_)
+        assert np.array_equal(plus_plus(rows.repartition(7), 5, 3, 9), far)
+        every = plus_plus(frame(spark, np.repeat(np.arange(20.0), 3)[:, None]), 20, 1, 4)
+        same = plus_plus(frame(spark, np.ones((9, 2))), 3, 2, 1)
+        fit = KMeans(3, random_state=2).fit(rows)
+    assert len(np.unique(far, axis=0)) == 5 and closest(BLOBS, far)[1].sum() < 2 * closest(BLOBS, plus_plus(rows, 5, 3, 9))[1].sum()
+    assert sorted(every.ravel()) == list(range(20)) and same.shape == (3, 2) and (same == 1).all()
+    assert KMeans(3, random_state=2).fit(rows).inertia_ == pytest.approx(fit.inertia_)
+
+
+def test_greedy_draws_lower_the_potential_and_take_every_place():
+    rng = np.random.default_rng(0)
+    x, key = rng.normal(size=(2000, 8)) + rng.integers(0, 9, (2000, 1)) * 5, rng.integers(0, 2**63, 2000).astype(np.uint64)
+    found = kmeans.greedy(x, key, np.ones(2000), 40, 3)
+    plain = np.mean([closest(x, x[rng.choice(2000, 40, replace=False)])[1].sum() for _ in range(5)])
+    assert closest(x, found)[1].sum() < plain
+    places = np.repeat(rng.normal(size=(30, 8)) * 1e6 + 1e9, 4, axis=0)
+    assert len(np.unique(kmeans.greedy(places, key[:120], np.ones(120), 30, 1), axis=0)) == 30
+
+
+def test_weights_count_as_rows():
+    x = np.array([[0.0], [1.0], [10.0], [11.0]])
+    shares = np.mean([kmeans.greedy(x, np.arange(4, dtype=np.uint64), np.array([1.0, 1.0, 1.0, 97.0]), 1, s).ravel() for s in range(3000)] == np.array(11.0))
+    assert shares == pytest.approx(0.97, abs=0.02)
+
+
+def test_stamps_tell_labels_apart():
+    x = np.random.default_rng(1).normal(size=(500, 3))
+    label = np.arange(500) % 7
+    one, order = stamped(x, label), np.random.default_rng(2).permutation(500)
+    assert stamped(x[order], label[order]) == one and (stamped(x[:200], label[:200]) + stamped(x[200:], label[200:])) % 2**64 == one
+    label[17] += 1
+    assert stamped(x, label) != one
 
 
 def test_sums_merged_by_cluster_are_the_same(spark, monkeypatch):
@@ -95,8 +125,6 @@ def test_plus_plus_spreads_and_is_stable(spark):
 
 def test_draws_follow_the_potential(spark):
     """The second center is drawn in proportion to squared distance (greedy choice aside)."""
-    from halyard.operators import kmeans
-
     x = np.array([[0.0]] * 50 + [[1.0], [2.0], [3.0]])
     first = 0
     for seed in range(30):
