@@ -67,12 +67,14 @@ SAMPLE, FREQUENT, TOLD = 8000, 4, 1 << 16
 PAIRS, CHARS, SEEN = 1 << 19, 1 << 19, 1 << 17
 #: Ids of lines to verify that are broadcast at most; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1 << 19
+#: Widest band that fits into 64 bits, and pairs that are compared at once at least.
+LANE, FEW = 31, 12
 #: Words of a substring under which a segment of words is filed.
 GRAM = 4
 #: A key is a hash, and from its end: payload, whether it is of words, whether it probes.
 WORDS, PROBES, HASH = 1 << 20, 1 << 21, 22
-#: Length and place of a key of words are counted up to here.
-FAR = 1023
+#: Places of words in a line that a key tells apart, and how far a run of equal substrings is followed until one probes again.
+FAR, RUN = (1 << 12) - 1, 8
 
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
@@ -100,21 +102,94 @@ class Rule:
         least = range(max(self.per_word, words - words // self.per_word), words + 1)
         return min(n // (n // self.per_word + 1) for n in least) - GRAM + 1
 
-    def linked(self, one: str, two: str) -> bool:
-        a, b = one.split(), two.split()
-        n = min(len(a), len(b))
-        if n < self.per_word:
-            x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (one, two))
-            limit = int(self.chars(min(len(x), len(y))))
-        else:
-            number: dict[str, int] = {}
-            x, y = (np.array([number.setdefault(w, len(number)) for w in s]) for s in (a, b))
-            limit = n // self.per_word
-            # an edit takes one word away and adds one, at most
-            more = np.bincount(x, minlength=len(number)) - np.bincount(y, minlength=len(number))
-            if max(more[more > 0].sum(), -more[more < 0].sum()) > limit:
-                return False
-        return edit_distance(x, y, limit) <= limit
+    @property
+    def ratio(self) -> float:
+        """Of the lengths of two classes; less than 256 of them hold all lines."""
+        return max(1.09, 1.01 * self.per_word / (self.per_word - 1))
+
+    def size(self, words: np.ndarray | int) -> np.ndarray:
+        """A class of lengths; those of lines that link differ by one at most."""
+        return np.floor(np.log(words) / np.log(self.ratio)).astype(np.int64)
+
+    def reach(self, size: np.ndarray) -> np.ndarray:
+        """Words by which places may differ, of lines of a class of lengths."""
+        return np.floor(self.ratio ** (size + 1) / self.per_word).astype(np.int64) + RUN
+
+
+def linked(lines: list[str], one: np.ndarray, two: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether pairs of lines, given by their numbers, link."""
+    split = [line.split() for line in lines]
+    number = {word: i for i, word in enumerate(set().union(*split))}
+    count = np.array([len(w) for w in split])
+    of_words = np.minimum(count[one], count[two]) >= rule.per_word
+    ids = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in split]
+    out = np.zeros(len(one), bool)
+    if of_words.any():
+        limit = np.minimum(count[one], count[two]) // rule.per_word
+        out[of_words] = within(ids, one[of_words], two[of_words], limit[of_words])
+    if not of_words.all():
+        codes = [np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.int32) for line in lines]
+        length = np.array([len(x) for x in codes])
+        limit = rule.chars(np.minimum(length[one], length[two]))
+        out[~of_words] = within(codes, one[~of_words], two[~of_words], limit[~of_words])
+    return out
+
+
+def within(sequences: list[np.ndarray], one: np.ndarray, two: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether pairs of sequences, given by their numbers, are at most ``limit`` edits apart; many pairs at once."""
+    length = np.array([len(x) for x in sequences])
+    short, long = np.where(length[one] <= length[two], one, two), np.where(length[one] <= length[two], two, one)
+    found = length[long] - length[short] <= limit
+    todo = np.flatnonzero(found & (short != long))
+    # lanes hold pairs of like bands and lengths; where few are alike, one after the other is quicker
+    wide, steps = np.minimum(limit[todo], LANE), np.int64(2 * np.log2(length[long[todo]] + 1))
+    order = np.lexsort((steps, wide))
+    todo, alike = todo[order], np.stack([wide, steps])[:, order]
+    cuts = np.flatnonzero(np.r_[True, (alike[:, 1:] != alike[:, :-1]).any(0)]) if len(todo) else []
+    far = []
+    for begin, end in zip(cuts, [*cuts[1:], len(todo)], strict=True):
+        for lo in range(begin, end, 1 << 10):
+            some = todo[lo : min(end, lo + (1 << 10))]
+            if len(some) < FEW:
+                far.append(some)
+                continue
+            score = _banded_lanes([sequences[i] for i in short[some].tolist()], [sequences[i] for i in long[some].tolist()], int(alike[0, begin]))
+            found[some] = score <= limit[some]
+            far.append(some[(score > LANE) & (limit[some] > LANE)])
+    for i in np.concatenate(far).tolist() if far else []:
+        x, y = sequences[short[i]], sequences[long[i]]
+        # an edit takes one away and adds one, at most
+        values, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        more = np.bincount(at[: len(x)], minlength=len(values)) - np.bincount(at[len(x) :], minlength=len(values))
+        found[i] = max(more[more > 0].sum(), -more[more < 0].sum()) <= limit[i] and edit_distance(x, y, int(limit[i])) <= limit[i]
+    return found
+
+
+def _banded_lanes(xs: list[np.ndarray], ys: list[np.ndarray], limit: int) -> np.ndarray:
+    """``_banded`` of pairs whose first is not the longer one, a number of 64 bits each; ``limit`` is LANE at most."""
+    m, n = (np.array([len(s) for s in side]) for side in (xs, ys))
+    width = 2 * limit + 1
+    x, y = np.full((len(xs), max(int(m.max()), int(n.max())) + width), -1, np.int32), np.full((len(ys), int(n.max())), -2, np.int32)
+    for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
+        x[i, limit : limit + len(a)] = a
+        y[i, : len(b)] = b
+    one = np.uint64(1)
+    full, top = np.uint64((1 << width) - 1), np.uint64(2 * limit)
+    up, down = np.full(len(xs), full ^ np.uint64((1 << limit) - 1)), np.zeros(len(xs), np.uint64)
+    score = np.minimum(limit, m)
+    bits = np.zeros((len(xs), 8), np.uint8)
+    for j in range(1, y.shape[1] + 1):
+        packed = np.packbits(x[:, j - 1 : j - 1 + width] == y[:, j - 1, None], axis=1, bitorder="little")
+        bits[:, : packed.shape[1]] = packed
+        match = bits.view(np.uint64).ravel()
+        kept = ((((match & up) + up) ^ up) | match | down) & full
+        right, left = (down | ~(kept | up)) & full, kept & up
+        row = np.clip(m - j + limit, 0, 63).astype(np.uint64)
+        along = (right >> row & one).astype(np.int64) - (left >> row & one).astype(np.int64)
+        score = score + np.where(j > n, 0, np.where(j + limit <= m, 1 - (kept >> top & one).astype(np.int64), along))
+        down = (kept >> one) & right
+        up = (left | ~((kept >> one) | right)) & full
+    return np.minimum(score, limit + 1)
 
 
 def edit_distance(one: np.ndarray, two: np.ndarray, limit: int) -> int:
@@ -235,13 +310,13 @@ def keys_of_characters(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Grams:
-    """Substrings of GRAM words of lines: hash of each, first word and number of words of each line, which end in their line."""
+    """Substrings of GRAM words of lines laid end to end: hash of each, which of them end in their line, place there; first word and number of words of each line."""
 
     hash: np.ndarray
-    first: np.ndarray
-    count: np.ndarray
     inside: np.ndarray
     place: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
 
     @classmethod
     def of(cls, lines: list[str]) -> Grams:
@@ -256,11 +331,11 @@ class Grams:
         for i in range(GRAM):
             gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[i : len(gram) + i]
         place = (np.arange(len(word)) - np.repeat(first, count))[: len(gram)]
-        return cls(_mixed(gram), first, count, place + GRAM <= np.repeat(count, count)[: len(gram)], place)
+        return cls(_mixed(gram), place + GRAM <= np.repeat(count, count)[: len(gram)], place, first, count)
 
 
 def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key of the segments of lines of ``per_word`` words or more, and of the substrings that they probe with."""
+    """Line and key of the segments of lines of ``per_word`` words or more, and of the substrings that they probe with. Lines of one stretch lie together."""
     found = Grams.of(lines)
     first, count, place = found.first, found.count, found.place
     # in the order that decides: level, hash, place; substrings that run into the next line come last
@@ -270,7 +345,6 @@ def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.
         gram |= np.where(frequent[at] == found.hash, level[at], 0).astype(np.uint64) << np.uint64(60)
     gram = gram & ~np.uint64(FAR) | np.minimum(place, FAR).astype(np.uint64)
     gram = np.where(found.inside, gram, ~np.uint64(0))
-    payload = np.uint64(WORDS) | (np.minimum(count, FAR).astype(np.uint64) << np.uint64(10))
 
     parts = count // rule.per_word + 1
     line = np.repeat(np.arange(len(lines)), parts)
@@ -283,20 +357,26 @@ def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.
     chosen = [(line, least, False)]
 
     stretch = np.array([_stretch(rule, n) for n in count.tolist()])
-    of_line = np.repeat(np.arange(len(lines)), count)
-    for wide in np.unique(stretch).tolist():
-        low, have = gram, 1
+    cuts = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lines)], strict=True):
+        wide = int(stretch[lo])
+        low, have = gram[first[lo] : first[hi - 1] + count[hi - 1]], 1
         while have < wide:
             step = min(have, wide - have)
             low = np.minimum(low[:-step], low[step:])
             have += step
+        line = np.repeat(np.arange(lo, hi), count[lo:hi])[: len(low)]
+        new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])])
         # a stretch that begins here and ends in the line
-        line = of_line[: len(low)]
-        ok = (stretch[line] == wide) & (place[: len(low)] + GRAM + wide - 1 <= count[line])
-        line, low = line[ok], low[ok]
-        new = np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])] if len(low) else np.zeros(0, bool)
-        chosen.append((line[new], low[new], True))
-    out = [(line, _key(low >> np.uint64(10), probe, payload[line] | (low & np.uint64(FAR)))) for line, low, probe in chosen]
+        new = new[place[first[lo] + new] + GRAM + wide - 1 <= count[line[new]]]
+        line, low = line[new], low[new]
+        # in a run of equal substrings some are enough, for places need not agree so closely
+        same = (low[1:] >> np.uint64(12) == low[:-1] >> np.uint64(12)) & (low[1:] == low[:-1] + np.uint64(1)) & (line[1:] == line[:-1])
+        begin = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(low)), 0))
+        some = (np.arange(len(low)) - begin) % RUN == 0
+        chosen.append((line[some], low[some], True))
+    payload = np.uint64(WORDS) | (rule.size(count).astype(np.uint64) << np.uint64(12))
+    out = [(line, _key(low >> np.uint64(12), probe, payload[line] | (low & np.uint64(FAR)))) for line, low, probe in chosen]
     line, key = (np.concatenate(x) for x in zip(*out, strict=True))
     return line, key
 
@@ -319,6 +399,7 @@ def keys(lines: list[str], rule: Rule, frequent: tuple[np.ndarray, np.ndarray] =
         line, key = keys_of_characters([lines[i] for i in short.tolist()], rule)
         found.append((short[line], key))
     if len(long):
+        long = long[np.argsort([_stretch(rule, n) for n in words[long].tolist()], kind="stable")]
         line, key = keys_of_words([lines[i] for i in long.tolist()], rule, *frequent)
         found.append((long[line], key))
     line, key = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -443,28 +524,31 @@ def _by_row(packed: DataFrame) -> DataFrame:
 def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a filed and a probing line of one group that may link, and the groups that hold too many. Sorted by group, then by key."""
     probe, of_words = (key & PROBES) > 0, (key & WORDS) > 0
-    words, place = np.where(of_words, key >> 10 & FAR, 0), key & FAR
-    far = words // rule.per_word
-    number = group * 4096 + of_words * 2048
     filed, probing = np.flatnonzero(~probe), np.flatnonzero(probe)
-    known = (number + words)[filed]
-    low = np.where(words[probing] < FAR, words[probing] - far[probing], 0)
-    begin = np.searchsorted(known, number[probing] + low)
-    count = np.searchsorted(known, number[probing] + words[probing], "right") - begin
-    total = np.bincount(group[probing], count, int(group[-1]) + 1)
+    # filed rows by group, kind, class of length and place; of characters all are met
+    at = group * (2 * WORDS) + np.where(of_words, key & (2 * WORDS - 1), 0)
+    size, place = key >> 12 & 255, key & FAR
+    reach = rule.reach(size)
+    low = np.where(of_words, at - place + np.maximum(0, place - reach), at)
+    high = np.where(of_words, at - place + np.minimum(FAR, place + reach), at)
+    again = probing[of_words[probing] & (size[probing] > 0)]  # lines of the next smaller class
+    asked = np.concatenate([probing, again])
+    less = np.r_[np.zeros(len(probing), np.int64), np.full(len(again), FAR + 1)]
+    begin = np.searchsorted(at[filed], low[asked] - less)
+    count = np.searchsorted(at[filed], high[asked] - less, "right") - begin
+    total = np.bincount(group[asked], count, int(group[-1]) + 1)
     crowded = np.flatnonzero(total > crowd)
-    count[np.isin(group[probing], crowded)] = 0
+    count[np.isin(group[asked], crowded)] = 0
     done, pairs = np.cumsum(count), []
     for lo in range(0, int(done[-1]) if len(done) else 0, PAIRS):
         some = np.arange(np.searchsorted(done, lo, "right"), np.searchsorted(done, lo + PAIRS, "right"))
         if not len(some):
             continue
         n = count[some]
-        right = np.repeat(probing[some], n)
+        right = np.repeat(asked[some], n)
         left = filed[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        close = (np.abs(place[left] - place[right]) <= far[left]) | (words[right] == FAR)
         even = np.bitwise_count((key[left] ^ key[right]) & (WORDS - 1)) <= 2 * rule.max_edits
-        hit = np.where(of_words[right], close, even) & (h1[left] != h1[right])
+        hit = (of_words[right] | even) & (h1[left] != h1[right])
         one, two = h1[left[hit]], h1[right[hit]]
         pairs.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
@@ -607,8 +691,8 @@ def verified(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            ok = pa.array([rule.linked(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
+            lines, at = np.unique(np.array(batch.column(2).to_pylist() + batch.column(3).to_pylist(), object), return_inverse=True) if batch.num_rows else ([], np.empty(0, int))
+            ok = pa.array(linked(list(lines), at[: batch.num_rows], at[batch.num_rows :], rule))
             u, v = (batch.column(c).filter(ok).to_numpy(zero_copy_only=False).astype("U32") for c in (0, 1))
             if not len(u):
                 continue

@@ -41,6 +41,27 @@ def test_edit_distance():
         assert linededup.edit_distance(codes(a), codes(b), limit) == min(distance(a, b), limit + 1), (a, b, limit)
 
 
+def test_many_pairs_at_once():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for _ in range(150)]
+    texts += [edited(rng.choice(texts), rng.randint(0, 40), rng, "abc") for _ in range(150)]
+    pairs = np.array([(rng.randrange(150), rng.randrange(300)) for _ in range(3000)])
+    limit = np.array([rng.choice([0, 1, 2, 5, 9, 20, 31, 32, 45]) for _ in pairs])
+    found = linededup.within([codes(t).astype(np.int32) for t in texts], *pairs.T, limit)
+    for (a, b), most, ok in zip(pairs, limit, found, strict=True):
+        assert ok == (a == b or abs(len(texts[a]) - len(texts[b])) <= most and linededup.edit_distance(codes(texts[a]), codes(texts[b]), int(most)) <= most)
+    for (a, b), most, ok in list(zip(pairs, limit, found, strict=True))[:300]:
+        assert ok == (distance(texts[a], texts[b]) <= most)
+
+
+def test_classes_of_lengths_differ_by_one():
+    for per_word in (8, 12, 30):
+        rule = linededup.Rule(per_word=per_word)
+        n = np.unique(np.r_[np.arange(per_word, 5000), np.geomspace(5000, 10**7, 4000).astype(int)])
+        assert (rule.size(n) - rule.size(np.maximum(per_word, n - n // per_word)) <= 1).all()
+        assert (rule.reach(rule.size(n)) >= n // per_word + linededup.RUN).all() and rule.size(10**7) < 256
+
+
 def test_edit_distance_of_wide_bands():
     rng = random.Random(5)
     for _ in range(300):
