@@ -4,8 +4,9 @@ A text is the set of buckets of its terms (lower-cased words without punctuation
 at their ends). Its raw score is a constant, a weight for every bucket, and for
 every pair of buckets the inner product of their factors, so that a pair such as
 insult and group mention can count for more than its parts (Rendle, 2010). The
-model is fitted to a bounded sample of labelled documents, on the buckets whose
-link with the label is no chance.
+model is fitted to a bounded sample of labelled documents, on the buckets that say
+something of the label by more than chance: alone, or in a pair with another one (among
+the ``PAIRED`` most frequent buckets), be either of them neutral by itself.
 
 Defined results: null and empty texts are scored by the constant alone; repeated
 rows get equal scores; documents without a label, or with a null one, are scored
@@ -29,6 +30,8 @@ from halyard.llm.workers import tidy
 
 BITS = 20
 FACTORS = 4
+#: Buckets, the most frequent ones, of which all pairs are looked at; rows counted at once.
+PAIRED, ROWS = 1024, 4096
 
 
 def _bucket(word: str) -> int:
@@ -98,6 +101,43 @@ def telling(count: np.ndarray, toxic: np.ndarray, n: float, positive: float) ->
     return np.flatnonzero((count > 1) & (count * part >= np.log(max(2, (count > 1).sum()))))
 
 
+def _gain(n: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """By how many nats the toxic ones of n documents depart from a share that they should have."""
+    found, share = np.clip(toxic / np.maximum(n, 1e-9), 0, 1), np.clip(share, 1e-6, 1 - 1e-6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = np.where(found > 0, found * np.log(found / share), 0) + np.where(found < 1, (1 - found) * np.log((1 - found) / (1 - share)), 0)
+    return n * part
+
+
+def telling_pairs(row: np.ndarray, buckets: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that tell more than each of their halves does.
+
+    Documents that hold both buckets must depart from the share that those holding one
+    have, and from the share that those holding the other have, by more than chance
+    among all pairs looked at (Chernoff's bound again).
+    """
+    count = np.bincount(buckets, weight[row], 1 << BITS)
+    top = np.sort(np.argsort(-count, kind="stable")[: min(PAIRED, int((count > 1).sum()))])
+    at = np.full(1 << BITS, -1, np.int32)
+    at[top] = np.arange(len(top))
+    known = at[buckets] >= 0
+    row, place = row[known], at[buckets[known]]
+    both, toxic = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
+    for lo in range(0, len(label), ROWS):
+        some = slice(*np.searchsorted(row, [lo, lo + ROWS]))
+        held = np.zeros((min(ROWS, len(label) - lo), len(top)), np.float32)
+        held[row[some] - lo, place[some]] = 1
+        mass = weight[lo : lo + ROWS].astype(np.float32)
+        both += held.T @ (held * mass[:, None])
+        bad = label[lo : lo + ROWS] == 1
+        toxic += held[bad].T @ (held[bad] * mass[bad, None])
+    n, share = np.diag(both), np.diag(toxic) / np.maximum(np.diag(both), 1e-9)
+    chance = np.log(max(2, len(top) * (len(top) - 1)))
+    found = np.minimum(_gain(both, toxic, share[:, None]), _gain(both, toxic, share[None, :])) >= chance
+    found &= ~np.eye(len(top), dtype=bool) & (both < np.minimum(n[:, None], n[None, :]))
+    return top[found.any(0)]
+
+
 def train(row: np.ndarray, place: np.ndarray, label: np.ndarray, weight: np.ndarray, width: int, seed: int, steps: int = 300, ridge: float = 1e-5, rate: float = 0.05) -> tuple[float, np.ndarray, np.ndarray]:
     """Constant, weights and factors by Adam over all weighted rows; ``row`` and ``place`` are the rows' buckets.
 
@@ -155,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 42
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     row, buckets = row[buckets >= 0], buckets[buckets >= 0]
     weight = lone(row, buckets, len(label))
-    used = telling(np.bincount(buckets, weight[row], 1 << BITS), np.bincount(buckets, (weight * label)[row], 1 << BITS), weight.sum(), weight @ label)
+    alone = telling(np.bincount(buckets, weight[row], 1 << BITS), np.bincount(buckets, (weight * label)[row], 1 << BITS), weight.sum(), weight @ label)
+    used = np.union1d(alone, telling_pairs(row, buckets, label, weight))
     if not len(used):
         return nothing
     at = np.full(1 << BITS, -1, np.int32)

@@ -29,6 +29,74 @@ def test_pairs_count_for_more_than_their_parts():
     assert factors[0] @ factors[1] > 5 * max(abs(factors[0] @ factors[k]) for k in range(2, 12))
 
 
+@pytest.mark.parametrize("rule", ["both or neither", "both", "one alone"])
+def test_pairs_are_learnt_whose_halves_say_nothing(spark, docs, rule):
+    """Through ``fit``: neither word tells anything alone where toxic texts hold both of them or none."""
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(6000):
+        insult, group = rng.random(2) < 0.5
+        words = [f"w{n}" for n in rng.zipf(1.3, 25) if n < 5000] + ["insult"] * int(insult) + ["group"] * int(group)
+        rows.append((i, " ".join(rng.permutation(words)), "en", "s"))
+        labels.append((i, int(insult == group if rule == "both or neither" else insult and group if rule == "both" else insult != group)))
+    frame, marks = docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity.score(frame, toxicity.fit(frame, marks)).join(marks, "doc_id").where(held_out(F.col("doc_id"))).toPandas()
+    assert ((found.score >= 0.7) == (found.toxic == 1)).mean() > 0.98
+
+
+def test_toxicity_scores_are_the_machine_s(docs, spark):
+    """Scores against the sum over single terms and pairs of terms, one by one."""
+    from halyard.llm.terms import EDGES, bucket
+
+    rng = np.random.default_rng(3)
+    at = np.full(1 << toxicity.BITS, -1, np.int32)
+    words = [f"term{i}" for i in range(60)]
+    for i, w in enumerate(words[:40]):
+        at[bucket(w, toxicity.BITS)] = i
+    model = toxicity.Model(-0.3, at, rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)))
+    texts = {i: " ".join(f"({w.upper()}," if rng.random() < 0.3 else w for w in rng.choice(words, rng.integers(0, 30))) for i in range(80)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs([(i, t, "en", "s") for i, t in texts.items()]), model).collect()}
+    for i, t in texts.items():
+        places = sorted({int(at[bucket(w.strip(EDGES), toxicity.BITS)]) for w in t.lower().split()} - {-1})
+        raw = model.constant + sum(model.weights[a] for a in places)
+        raw += sum(float(model.factors[a] @ model.factors[b]) for n, a in enumerate(places) for b in places[n + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_quality_scores_are_the_scorer_s(docs):
+    """Scores against the dot product of weights and features, one by one."""
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=quality.SIZE)
+    texts = {i: " ".join(rng.choice(["Ab,", "x", "x", "99%", "%%%", "Wort.", "über", "ZZ"], rng.integers(0, 40))) for i in range(60)} | {99: "a b c " * 5000}
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs([(i, t, "en", "s") for i, t in texts.items()]), quality.Model(weights, 0.5, np.zeros(0))).collect()}
+    for i, t in texts.items():
+        words = t.split()
+        counts = Counter(b for w in words for b in quality._two(w))
+        raw = sum(weights[b] * n for b, n in counts.items()) / max(1, len(words)) + weights[quality.CONSTANT]
+        raw += weights[quality.REPEATED] * sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-raw)) if words else 0.0)
+
+
+def test_labellers_judge_long_texts_like_short_ones():
+    text = "Der Wald ist still und weit, und niemand geht hinein. " * 400
+    junk = " ".join(w for n in range(600) for w in [f"wort{n % 37}"] * 8)
+    assert quality.votes(junk)[3] == quality.votes(" ".join(junk.split()[:300]))[3] == quality.JUNK
+    assert quality.votes(text)[3] == quality.votes(text[: len(text) // 8])[3]
+
+
+def test_rare_languages_are_learnt(docs):
+    rng = np.random.default_rng(5)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    text = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    rows = [(i, text(lang, 30), lang, "s") for i, lang in enumerate(["aa"] * 900 + ["bb"] * 300 + ["cc"] * 9)]
+    model = langid.fit(docs(rows), sample=60, runs=400)
+    assert model.languages == ["aa", "bb", "cc"]
+    found = langid.predict(docs(rows), model).join(docs(rows).select("doc_id", "lang"), "doc_id").toPandas()
+    assert (found.lang_pred == found.lang).mean() > 0.98
+
+
 def test_copies_count_once():
     rng = np.random.default_rng(0)
     one = np.unique(rng.integers(0, 10**6, 80))
