@@ -70,12 +70,13 @@ def votes(text: str | None) -> list[int]:
     doubled = sum(1 for w in words if len(w) > 1 and w[-1] == w[-2] and not w[-1].isalnum()) / n
     entropy = -sum(c / n * log2(c / n) for c in counts.values()) / max(1.0, log2(n))
     length = sum(map(len, words)) / n
+    variety = sum(len(set(words[i : i + SPAN])) for i in range(0, n, SPAN)) / n
     enough = n >= 20
     return [
         share(0.05, 0.25, marks),
         share(0.05, 0.25, repeats) if n > 4 else NONE,
         share(0.02, 0.15, alone),
-        (JUNK if len(counts) / n < 0.2 and n < 2000 else GOOD if len(counts) / n > 0.45 else NONE) if enough else NONE,
+        (JUNK if variety < 0.2 else GOOD if variety > 0.45 else NONE) if enough else NONE,
         (GOOD if 0.01 <= ended <= 0.4 else JUNK) if enough else NONE,
         GOOD if pure > 0.9 else JUNK if pure < 0.6 else NONE,
         (GOOD if entropy > 0.75 else JUNK if entropy < 0.55 else NONE) if enough else NONE,
@@ -88,6 +89,8 @@ def votes(text: str | None) -> list[int]:
 #: Punctuation of ordinary prose.
 PUNCTUATION = ".,;:!?'\"()-"
 LABELLERS = 10
+#: Words among which different ones are counted, so that long texts are judged like short ones.
+SPAN = 200
 
 
 def estimate(given: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
