@@ -18,7 +18,7 @@ does not depend on how long single documents are and results are exact.
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 words without letters say nothing of their own; rows with a null lang are
 labelled but not learnt from; repeated rows get equal results; if nothing can be
-learnt all is ``und``; an empty table gives an empty result; other columns are ignored.
+learnt all is ``und``; of more than 256 langs the most frequent are learnt; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.terms import EDGES, held_out, sampled
 from halyard.llm.workers import tidy
+from halyard.session import cut
 
 BITS = 18
 LETTER = regex.compile(r"\p{L}")
@@ -150,9 +151,9 @@ def train(texts: list[tuple[int, list[str]]], languages: list[str], seed: int, e
     for label, words in texts:
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
         for i in range(0, len(ids), RUN):
-            if len(ids[i : i + RUN]) == RUN or i == 0:
-                runs.append((ids[i : i + RUN] * RUN)[:RUN])
-                of.append(label)
+            run = ids[i : i + RUN]
+            runs.append((run * RUN)[:RUN])
+            of.append(label)
     runs, of = np.array(runs), np.array(of)
     ids, first = word_features(list(vocabulary))
     weights, total = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-3)
@@ -200,30 +201,39 @@ def train(texts: list[tuple[int, list[str]]], languages: list[str], seed: int, e
     return Model(languages, weights.astype(np.float32), transitions, start)
 
 
-def spread_runs(words: list[str], runs: int) -> list[str]:
-    """At most ``runs`` runs of RUN words, spread evenly from a text's first word to its last."""
-    starts = range(0, len(words), RUN)
-    step = max(1.0, len(starts) / runs)
-    chosen = [starts[int(i * step)] for i in range(min(runs, len(starts)))]
-    return [w for s in chosen for w in words[s : s + RUN]]
+def fit(docs: DataFrame, sample: int = 4000, runs: int = 80_000, languages: int = 256, seed: int = 42) -> Model:
+    """Fits on runs of words of a bounded sample of documents that are not held out and have a lang.
 
-
-def fit(docs: DataFrame, sample: int = 4000, runs: int = 20, seed: int = 42) -> Model:
-    """Fits on ``runs`` runs of words, spread over the whole text, of about ``sample`` documents that are not held out and have a lang."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = sampled(known, F.col("doc_id"), sample, seed).where(F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    Every lang, the ``languages`` most frequent ones if there are more, gives an equal
+    part of about ``sample`` documents, or all it has; of all runs of their whole texts
+    about ``runs`` take part.
+    """
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(languages)
+    part = F.lit(float(sample)) / F.lit(max(1, counts.count()))
+    rate = counts.select("_lang", (part / F.col("_n")).alias("_rate"))
+    steps = 1 << 30
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(steps))
+    chosen = known.join(F.broadcast(rate), (F.col("lang") == F.col("_lang")) & (draw < steps * F.col("_rate")))
+    chosen = cut(chosen.select("doc_id", "lang", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [" ".join(spread_runs([w for w in t.lower().split() if LETTER.search(w)], runs)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.string())], ["doc_id", "lang", "text"])
-
-    rows = chosen.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text string").collect()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
-    languages = sorted({r["lang"] for r in rows})
-    if not languages:
+            for doc_id, lang, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                words = [w for w in text.as_py().lower().split() if LETTER.search(w)]
+                found = [" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+                for lo in range(0, len(found), 1 << 14):
+                    some = found[lo : lo + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(x, len(some)) for x in (doc_id, lang)] + [pa.array(range(lo, lo + len(some)), pa.int64()), pa.array(some, pa.string())], ["doc_id", "lang", "place", "run"])
+
+    every = chosen.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, place long, run string")
+    rows = sampled(every, F.struct("doc_id", "place"), runs, seed).collect()
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["place"], r["run"]))
+    names = sorted({r["lang"] for r in rows})
+    if not names:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    return train([(languages.index(r["lang"]), r["text"].split()) for r in rows], languages, seed)
+    number = {lang: i for i, lang in enumerate(names)}
+    return train([(number[r["lang"]], r["run"].split()) for r in rows], names, seed)
 
 
 class _Known:
