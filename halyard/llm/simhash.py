@@ -224,11 +224,16 @@ def groups(docs: DataFrame, width: int = 4, threshold: int = 4, more: DataFrame
 def deduplicate(docs: DataFrame, width: int = 4, threshold: int = 4, more: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, one row a document.
 
-    Rows without a doc_id cannot be told apart and stay.
+    Of rows with one doc_id the one with the least hash of all its columns stays. Rows
+    without a doc_id cannot be told apart and stay.
     """
     kept = groups(docs, width, threshold, more).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
     kept = cut(kept)
-    found = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
-    if kept.where(F.col("_rows") > 1).isEmpty():
+    once, more_often = kept.where(F.col("_rows") == 1), kept.where(F.col("_rows") > 1)
+    found = docs.join(once, docs["doc_id"] == once["_kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if more_often.isEmpty():
         return found
-    return found.where(F.col("doc_id").isNull()).unionByName(found.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    many = docs.join(more_often, docs["doc_id"] == more_often["_kept_id"], "left_semi")
+    one = many.select(F.col("doc_id").alias("_id"), row.alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_hash"))
+    return found.unionByName(one.groupBy("_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*"))

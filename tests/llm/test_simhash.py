@@ -110,3 +110,10 @@ def test_components_of_chains_and_stars(spark):
     assert {got[1000 + i] for i in range(300)} == {1000}
     assert got[6001] == 6000
     assert 5000 not in got
+
+
+def test_repeated_ids_keep_the_same_row_each_time(docs):
+    rows = [(1, f"some text number {i} of one id", "en", f"s{i}") for i in range(30)] + [(2, "another text entirely", "en", "s")] * 3
+    frame = docs(rows)
+    one, two = (sorted(map(tuple, simhash.deduplicate(f).collect())) for f in (frame, frame.orderBy("source", ascending=False).repartition(5)))
+    assert one == two and [r[0] for r in one] == [1, 2]
