@@ -13,9 +13,12 @@ is compared with every centroid. The ratio is found on the sample, from distance
 all centroids, where neighbours are sparser than in the whole and so harder to find
 (Chen et al., 2021).
 
-Lists and queries are split by hash into parts of bounded size, each pair of parts
-being compared in a task of its own, so a list of any length is searched in full.
-Scores are computed in double precision on the original vectors.
+Long lists are split by hash into parts of bounded size. A task holds a part, and the
+list's queries stream past it, so vectors are shuffled once for every list they are in,
+and queries once for every part; only where a list has more queries than ``ASKED`` are
+these split too, and its vectors copied for each split. So a list of any length is
+searched in full, and no key grows without bound. Scores are computed in double
+precision on the original vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do rows without vec_id; shorter vectors are filled up with zeros;
@@ -48,8 +51,8 @@ LINKS, RANDOM, FRONT = 16, 4, 64
 COPIES, NEAR = 4, 1.15
 #: Share of neighbours that the ratio must find on the sample, and queries that tell.
 RECALL, PROBES = 0.96, 300
-#: Vectors and queries of one part of a list; scores held at once.
-PART, ASKED, SCORES = 8192, 4096, 1 << 20
+#: Vectors of one part of a list, queries that stream past it at most; scores held at once.
+PART, ASKED, SCORES = 8192, 1 << 20, 1 << 20
 
 
 @dataclass
@@ -244,56 +247,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 42) -
     counts = F.broadcast(size.join(wants, "list"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     of = lambda n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    left = posted.join(counts, "list").select("list", of("parts").alias("part"), F.explode(every("askers")).alias("asker"), F.lit(1).alias("kind"), "id", "row", "x")
-    right = sought.join(counts, "list").select("list", F.explode(every("parts")).alias("part"), of("askers").alias("asker"), F.lit(0).alias("kind"), "id", "row", "x")
+    left = posted.join(counts, "list").select("list", of("parts").alias("part"), F.explode(every("askers")).alias("asker"), F.lit(0).alias("kind"), "id", "row", "x")
+    right = sought.join(counts, "list").select("list", F.explode(every("parts")).alias("part"), of("askers").alias("asker"), F.lit(1).alias("kind"), "id", "row", "x")
     together = left.unionByName(right).repartition("list", "part", "asker").sortWithinPartitions("list", "part", "asker", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, asks, best = None, [], [], None
+        key, parts, part = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in range(4)], 1)
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
             for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
                 if key != tuple(keys[lo, :3]):
-                    if best is not None:
-                        yield told(best)
-                    key, ids, asks, best = tuple(keys[lo, :3]), [], [], None
+                    key, parts, part = tuple(keys[lo, :3]), [], None
                 own, number = batch.column(4).to_numpy()[lo:hi], batch.column(5).to_numpy()[lo:hi]
-                xs = [np.frombuffer(v.as_buffer(), float) for v in batch.column(6).slice(lo, hi - lo)]
+                x = stacked([np.frombuffer(v.as_buffer(), float) for v in batch.column(6).slice(lo, hi - lo)])
                 if keys[lo, 3] == 0:
-                    ids.extend(own.tolist())
-                    asks.extend(xs)
-                elif ids:
-                    if best is None:
-                        q, qid = stacked(asks), np.array(ids)
-                        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-                    x = stacked(xs)
-                    step = max(16, SCORES // len(qid))
+                    parts.append((own, number, x))
+                elif parts:
+                    if part is None:
+                        width = max(x.shape[1] for _, _, x in parts)
+                        part = [np.concatenate([p[c] for p in parts]) for c in (0, 1)] + [_unit(np.concatenate([padded(x, width) for *_, x in parts]))]
+                    step = max(1, SCORES // len(part[0]))
                     for i in range(0, len(x), step):
-                        best = better(best, q, qid, x[i : i + step], own[i : i + step], number[i : i + step])
-        if best is not None:
-            yield told(best)
+                        yield nearest(x[i : i + step], own[i : i + step], part)
 
     def stacked(xs: list[np.ndarray]) -> np.ndarray:
         width = max(map(len, xs))
         return np.array([np.pad(x, (0, width - len(x))) if len(x) < width else x for x in xs])
 
-    def better(best: tuple, q: np.ndarray, qid: np.ndarray, x: np.ndarray, own: np.ndarray, number: np.ndarray) -> tuple:
+    def nearest(q: np.ndarray, qid: np.ndarray, part: list[np.ndarray]) -> pa.RecordBatch:
+        """The k nearest of a part, of unit vectors, to each of some queries."""
+        own, number, x = part
         width = max(q.shape[1], x.shape[1])
-        q, x = padded(q, width), padded(x, width)
-        a, b = _unit(q), _unit(x)
+        a, b = _unit(padded(q, width)), padded(x, width)
         rough = np.where(qid[:, None] == own[None, :], -np.inf, a @ b.T)
         floor = np.partition(rough, -min(k, len(own)), axis=1)[:, -min(k, len(own))][:, None] - 1e-9
         i, j = np.nonzero((rough >= floor) & np.isfinite(rough))
         score = np.einsum("nd,nd->n", a[i], b[j])
-        query, vec, row, score = (np.r_[a, b] for a, b in zip(best, (qid[i], own[j], number[j], score), strict=True))
-        order = np.lexsort((vec, -score, query))
-        query, vec, row, score = query[order], vec[order], row[order], score[order]
-        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return query[keep], vec[keep], row[keep], score[keep]
-
-    def told(best: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "vec_id", "row", "score"])
+        order = np.lexsort((own[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (qid[i], own[j], number[j], score[keep])], ["query_id", "vec_id", "row", "score"])
 
     found = together.mapInArrow(tidy(compare), "query_id long, vec_id long, row long, score double")
     found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))

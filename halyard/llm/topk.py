@@ -6,8 +6,13 @@ single precision); the k-th of what is gathered for a query is a safe cutoff, fo
 k candidates at least reach it. Phase 2 broadcasts the cutoffs, and every node
 collects the entries whose upper bound reaches the cutoff. Phase 3 resolves their
 scores exactly in whole numbers; a node sends its k best at most, ties to the
-smaller id, and the lists are merged. Queries are taken in blocks of bounded size
-(Cao and Wang, 2004, for a row-partitioned table).
+smaller id, and the lists are merged (Cao and Wang, 2004, for a row-partitioned table).
+
+Queries are taken in blocks of bounded size. Each block is read from a table that is
+partitioned by block, broadcast, answered, and forgotten before the next one, so that
+the driver and the executors hold one block, however many there are. Candidates are
+scanned once a phase and block and never shuffled: copies of them for all blocks at
+once would fill more disk than reading them again takes.
 
 Defined results: vectors that are null or hold null or non-finite components take
 no part, nor do rows without vec_id; vectors of unequal length are filled up with
@@ -23,11 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.vectors import matrix, padded
 from halyard.llm.workers import tidy
+from halyard.session import checkpoint_dir, cut
 
 #: Queries that are broadcast at once; scores held at once.
 BLOCK, SCORES = 8192, 1 << 21
@@ -64,8 +71,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], scale: int, queries: int) -> Iter
             yield ids[rows[i : i + step]].astype(np.int64), x[i : i + step]
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> DataFrame:
-    """The k best candidates of each of a block of queries: query_id, vec_id, score."""
+def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> tuple[DataFrame, list[Broadcast]]:
+    """The k best candidates of each of a block of queries: query_id, vec_id, score; and what is broadcast for it."""
     spark = vectors.sparkSession
     nodes = vectors.rdd.getNumPartitions()
     share = min(k, 3 * k // max(1, nodes) + 2)
@@ -110,7 +117,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, sca
             part = slice(lo, lo + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(own[at[part]]), pa.array(vec[part]), pa.array(score[part])], ["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(tidy(sufficient), "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(tidy(sufficient), "query_id long, vec_id long, score long"), [block, safe]
 
 
 def _best(at: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,22 +133,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
 
     A component x counts as floor(scale * x). A candidate with the query's own id is left out.
     """
-    rows = vectors.select("vec_id", "embedding")
+    spark, rows = vectors.sparkSession, vectors.select("vec_id", "embedding")
     asked = queries.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // BLOCK))
-    parts = []
+    if blocks > 1:
+        # written once, partitioned, so that a block is read without the others
+        folder = f"{checkpoint_dir(spark)}/queries-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+        asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(folder)
+    found = None
     for b in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # a block of bounded size
+        some = (spark.read.parquet(folder).where(F.col("block") == b) if blocks > 1 else asked).select("vec_id", "embedding").toArrow()  # of bounded size
         place, x = matrix(some.column("embedding"))
-        if len(place):
-            ids = some.column("vec_id").to_numpy()[place].astype(np.int64)
-            order = np.argsort(ids)
-            parts.append(_block(rows, ids[order], np.floor(scale * x[order]), k, scale))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        if not len(place):
+            continue
+        ids = some.column("vec_id").to_numpy()[place].astype(np.int64)
+        order = np.argsort(ids)
+        part, shared = _block(rows, ids[order], np.floor(scale * x[order]), k, scale)
+        part = _ranked(part, k)
+        if blocks > 1:
+            part = cut(part)
+            for broadcast in shared:
+                broadcast.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
