@@ -1,11 +1,11 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two different lines link if one turns into the other by few edits. Lines of
-``per_word`` words or more are sequences of words: an edit inserts, removes or
-replaces a word, and the shorter line may have one for every ``per_word`` words,
-however long it is. If the shorter line (by words) has fewer words, both are
-sequences of characters: one edit for every ``per_edit`` characters of the shorter
-one, ``max_edits`` at most.
+Two different lines link if one turns into the other by few edits of characters: one
+for every ``per_edit`` characters of the shorter line, ``max_edits`` at most. If
+``per_word`` is given, lines of that many words or more are sequences of words
+instead: an edit inserts, removes or replaces a word, and the line with fewer words
+may have one for every ``per_word`` of them, however long it is; only if it has fewer
+than ``per_word`` words are both sequences of characters.
 
 The shorter line is partitioned into one segment more than it may have edits, so at
 least one segment survives in the longer line. Of few characters, a segment is filed
@@ -87,11 +87,16 @@ class Rule:
 
     max_edits: int = 2
     per_edit: int = 16
-    per_word: int = 12
+    per_word: int | None = None
 
     def __post_init__(self) -> None:
-        if not 0 <= self.max_edits < 64 or self.per_edit < 8 or self.per_word < 2 * GRAM:
-            raise ValueError(f"max_edits must be from 0 to 63, per_edit 8 or more, per_word {2 * GRAM} or more")
+        if not 0 <= self.max_edits < 64 or self.per_edit < 8 or (self.per_word is not None and self.per_word < 2 * GRAM):
+            raise ValueError(f"max_edits must be from 0 to 63, per_edit 8 or more, per_word none or {2 * GRAM} or more")
+
+    @property
+    def shortest(self) -> int:
+        """Characters of the shortest line that may have an edit."""
+        return self.per_edit if self.per_word is None else min(self.per_edit, 2 * self.per_word - 1)
 
     def chars(self, length: np.ndarray | int) -> np.ndarray | int:
         """Edits of characters that a line of so many may have."""
@@ -118,10 +123,10 @@ class Rule:
 
 def linked(lines: list[str], one: np.ndarray, two: np.ndarray, rule: Rule) -> np.ndarray:
     """Whether pairs of lines, given by their numbers, link."""
-    split = [line.split() for line in lines]
+    split = [line.split() for line in lines] if rule.per_word is not None else []
     number = {word: i for i, word in enumerate(set().union(*split))}
     count = np.array([len(w) for w in split])
-    of_words = np.minimum(count[one], count[two]) >= rule.per_word
+    of_words = np.minimum(count[one], count[two]) >= rule.per_word if rule.per_word is not None else np.zeros(len(one), bool)
     ids = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in split]
     out = np.zeros(len(one), bool)
     if of_words.any():
@@ -391,6 +396,8 @@ NONE_FREQUENT = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 def keys(lines: list[str], rule: Rule, frequent: tuple[np.ndarray, np.ndarray] = NONE_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Line and key of all that lines file and probe with."""
+    if rule.per_word is None:
+        return keys_of_characters(lines, rule)
     words = np.array([len(line.split()) for line in lines])
     found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
     # a line may be short of the words of another one by as many as there are edits
@@ -443,7 +450,7 @@ def _lines(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[list
     for batch in batches:
         for text in batch.column(0):
             for line in (text.as_py() or "").split("\n"):
-                if len(line) >= min(rule.per_edit, 2 * rule.per_word - 1) and not line.isspace():
+                if len(line) >= rule.shortest and not line.isspace():
                     h = identity(line)
                     if h in seen:
                         continue
@@ -470,6 +477,8 @@ def _frequent(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
             pairs = np.unique(np.stack([line.astype(np.uint64), found.hash[found.inside]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64))], ["h"])
 
+    if rule.per_word is None:
+        return NONE_FREQUENT
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     some = sampled(known, F.col("doc_id"), SAMPLE, 42).select("text").mapInArrow(tidy(run), "h long")
     told = some.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(TOLD).toArrow()
@@ -528,7 +537,7 @@ def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd:
     # filed rows by group, kind, class of length and place; of characters all are met
     at = group * (2 * WORDS) + np.where(of_words, key & (2 * WORDS - 1), 0)
     size, place = key >> 12 & 255, key & FAR
-    reach = rule.reach(size)
+    reach = rule.reach(size) if rule.per_word is not None else place
     low = np.where(of_words, at - place + np.maximum(0, place - reach), at)
     high = np.where(of_words, at - place + np.minimum(FAR, place + reach), at)
     again = probing[of_words[probing] & (size[probing] > 0)]  # lines of the next smaller class
@@ -745,7 +754,7 @@ def _known(docs: DataFrame, rule: Rule) -> DataFrame:
     return placed.join(known, ["h1", "h2"])
 
 
-def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int = 12) -> DataFrame:
+def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int | None = None) -> DataFrame:
     """Every line of every document: doc_id, line_no, class_doc_id, class_line_no, links, kept.
 
     The class is named by the place of its first line; ``links`` counts the
@@ -760,7 +769,7 @@ def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: i
     return every.select("doc_id", "line_no", own[0].alias("class_doc_id"), own[1].alias("class_line_no"), "links", kept)
 
 
-def deduplicate(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int = 12) -> DataFrame:
+def deduplicate(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int | None = None) -> DataFrame:
     """``docs`` without the lines that are not the first of their class; no document is dropped.
 
     If there is a column ``n_chars``, it holds the length of the new text where that changed.

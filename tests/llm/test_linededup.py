@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from halyard.llm import linededup
 
@@ -70,7 +71,7 @@ def test_edit_distance_of_wide_bands():
         assert linededup.edit_distance(codes(a), codes(b), limit) == min(distance(a, b), limit + 1), (a, b, limit)
 
 
-RULE = linededup.Rule()
+RULE = linededup.Rule(per_word=12)
 VOCABULARY = [a + b for a in "abcdeé" for b in ("", "x", "yy", "漢")]
 
 
@@ -131,7 +132,7 @@ def test_linking_lines_of_words_meet():
     assert met_any > 800
 
 
-def brute_lines(rows, max_edits=2, per_edit=16, per_word=12):
+def brute_lines(rows, per_word=None, max_edits=2, per_edit=16):
     """Of every line: doc_id, line_no, place of its class, links, whether kept, and the line; by comparing all pairs of lines."""
     places = [(i, k, line) for i, t, *_ in rows for k, line in enumerate((t or "").split("\n")) if line and not line.isspace()]
     lines = list(dict.fromkeys(line for *_, line in places))
@@ -145,7 +146,7 @@ def brute_lines(rows, max_edits=2, per_edit=16, per_word=12):
     for n, a in enumerate(lines):
         for b in lines[n + 1 :]:
             one, two, limit = a, b, min(max_edits, min(len(a), len(b)) // per_edit)
-            if min(len(a.split()), len(b.split())) >= per_word:
+            if per_word and min(len(a.split()), len(b.split())) >= per_word:
                 one, two = a.split(), b.split()
                 limit = min(len(one), len(two)) // per_word
             if limit and abs(len(one) - len(two)) <= limit and distance(one, two) <= limit:
@@ -159,13 +160,13 @@ def brute_lines(rows, max_edits=2, per_edit=16, per_word=12):
     return [(i, k, *first.get(find(line), (None, None)), links[line], first.get(find(line)) == (None if i is None else (i, k)), line) for i, k, line in places]
 
 
-def brute(rows):
-    return sorted((x[:-1] for x in brute_lines(rows)), key=str)
+def brute(rows, per_word=None):
+    return sorted((x[:-1] for x in brute_lines(rows, per_word)), key=str)
 
 
-def plain_lines(rows):
+def plain_lines(rows, per_word=None):
     """Ids and texts without the lines that are not the first of their class."""
-    gone = {(i, k, line) for i, k, *_, kept, line in brute_lines(rows) if not kept and i is not None}
+    gone = {(i, k, line) for i, k, *_, kept, line in brute_lines(rows, per_word) if not kept and i is not None}
     return [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k, x) not in gone)) for i, t, *_ in rows]
 
 
@@ -181,16 +182,18 @@ def fixture(ids=range(120)):
     return rows
 
 
-def test_classes_match_brute_force(docs):
+@pytest.mark.parametrize("per_word", [None, 12])
+def test_classes_match_brute_force(docs, per_word):
     rows = fixture()
-    assert sorted(map(tuple, linededup.classes(docs(rows)).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, linededup.classes(docs(rows), per_word=per_word).collect()), key=str) == brute(rows, per_word)
 
 
-def test_crowded_keys_are_split_without_loss(docs, monkeypatch):
+@pytest.mark.parametrize("per_word", [None, 12])
+def test_crowded_keys_are_split_without_loss(docs, monkeypatch, per_word):
     rows = fixture()
     monkeypatch.setattr(linededup, "CROWD", 3)
     monkeypatch.setattr(linededup, "PART", 2)
-    assert sorted(map(tuple, linededup.classes(docs(rows)).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, linededup.classes(docs(rows), per_word=per_word).collect()), key=str) == brute(rows, per_word)
 
 
 def test_odd_rows(docs, odd_rows):
@@ -209,10 +212,11 @@ def test_odd_rows(docs, odd_rows):
     assert linededup.deduplicate(docs([])).count() == 0
 
 
-def test_deduplicate_matches_brute_force(docs):
+@pytest.mark.parametrize("per_word", [None, 12])
+def test_deduplicate_matches_brute_force(docs, per_word):
     rows = fixture()
-    found = linededup.deduplicate(docs(rows)).collect()
-    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(plain_lines(rows))
+    found = linededup.deduplicate(docs(rows), per_word=per_word).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(plain_lines(rows, per_word))
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
@@ -236,12 +240,13 @@ def test_ids_of_any_type(docs):
     assert sorted(map(tuple, linededup.deduplicate(frame).select("doc_id", "text").collect())) == sorted(plain_lines(named))
 
 
-def test_rows_of_one_key_beyond_memory_are_split(docs, monkeypatch):
+@pytest.mark.parametrize("per_word", [None, 12])
+def test_rows_of_one_key_beyond_memory_are_split(docs, monkeypatch, per_word):
     rows = fixture()
     monkeypatch.setattr(linededup, "MOST", 6)
     monkeypatch.setattr(linededup, "PART", 2)
     monkeypatch.setattr(linededup, "SAMPLE", 30)
-    assert sorted(map(tuple, linededup.classes(docs(rows)).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, linededup.classes(docs(rows), per_word=per_word).collect()), key=str) == brute(rows, per_word)
 
 
 def test_keys_of_short_lines():

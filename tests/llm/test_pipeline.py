@@ -36,14 +36,13 @@ def plain_lines(rows):
         both.subtract(two)
         return abs(len(one) - len(two)) <= limit and sum(map(abs, both.values())) <= 2 * limit and distance(one, two) <= limit
 
-    split = {x: x.split() for x in lines}
-    by_words = sorted(lines, key=lambda x: len(split[x]))
-    for n, a in enumerate(by_words):
-        for b in by_words[n + 1 :]:
-            words = len(split[a])
-            if len(split[b]) - words > max(2, words // 12):
+    by_length = sorted(lines, key=len)
+    for n, a in enumerate(by_length):
+        limit = min(2, len(a) // 16)
+        for b in by_length[n + 1 :]:
+            if len(b) - len(a) > limit or not limit:
                 break
-            if words >= 12 and few(split[a], split[b], words // 12) or words < 12 and min(len(a), len(b)) >= 16 and few(a, b, min(2, min(len(a), len(b)) // 16)):
+            if few(a, b, limit):
                 root[find(b)] = find(a)
     seen, out = set(), []
     for i, t in sorted(rows):
