@@ -5,6 +5,8 @@ from __future__ import annotations
 import threading
 import warnings
 from collections import Counter, deque
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,24 @@ def device_info() -> dict[str, object]:
     return {"engine": "spark", "version": spark.version, "master": spark.sparkContext.master, "parallelism": spark.sparkContext.defaultParallelism}
 
 
+def gpu_available() -> bool:
+    """Whether executors of the active session were given accelerators."""
+    spark = SparkSession.getActiveSession()
+    return spark is not None and int(spark.sparkContext.getConf().get("spark.executor.resource.gpu.amount", "0")) > 0
+
+
+@contextmanager
+def use_device(spark: SparkSession) -> Iterator[SparkSession]:
+    """Runs a block with ``spark`` as the active session."""
+    before, session = SparkSession.getActiveSession(), spark._jvm.SparkSession
+    session.setActiveSession(spark._jsparkSession)
+    try:
+        yield spark
+    finally:
+        if before is not None:
+            session.setActiveSession(before._jsparkSession)
+
+
 def resolve_device() -> SparkSession:
     spark = SparkSession.getActiveSession()
     if spark is None:

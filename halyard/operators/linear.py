@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression as _SparkLogistic
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,14 @@ from halyard.diagnostics import BackendEvent, record_event
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
 from halyard.functions.vectors import dot, lists, vector
 from halyard.operators.base import Estimator, sorted_labels
+from halyard.plans import partials
 from halyard.plans.nearest import fits, mapped
 from halyard.validation import checked, prepared, require_int, require_params, require_positive
 
 #: Features up to which Newton steps are taken; coefficients up to which scores are unrolled into generated code.
 NEWTON, UNROLLED = 256, 128
+#: Numbers of a long sum that are merged as one row.
+SLICE = 8192
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -256,7 +260,14 @@ class LogisticRegression(Estimator):
         return self.predict(df).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
 
     def densify(self) -> Self:
-        """Coefficients are dense always."""
+        """Coefficients as an array only."""
+        self.__dict__.pop("sparse_coef_", None)
+        return self
+
+    def sparsify(self) -> Self:
+        """Beside the array, ``sparse_coef_``: a sparse vector for every row of coefficients."""
+        self._need("coef_")
+        self.sparse_coef_ = [Vectors.sparse(len(row), np.flatnonzero(row).tolist(), row[np.flatnonzero(row)].tolist()) for row in self.coef_]
         return self
 
 
@@ -322,7 +333,7 @@ def _spark_fit(coded: DataFrame, k: int, penalty: float, l1_share: float, tol: f
 
 
 def _partials(coded: DataFrame, compute, width: int) -> np.ndarray:
-    """The sum over all rows of what ``compute`` (x, y, w) returns for a batch."""
+    """The sum over all rows of what ``compute`` (x, y, w) returns for a batch; long ones are merged in slices before they reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -330,10 +341,14 @@ def _partials(coded: DataFrame, compute, width: int) -> np.ndarray:
             if batch.num_rows:
                 y = batch.column(1).to_numpy(zero_copy_only=False)
                 total += compute(np.asarray(batch.column(0).flatten(), float).reshape(len(y), -1), y, batch.column(2).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-    parts = coded.select("features", "code", "weight").mapInArrow(run, "part binary").collect()
-    return np.sum([np.frombuffer(r["part"]) for r in parts], axis=0) if parts else np.zeros(width)
+        slices = [total[i : i + SLICE] for i in range(0, width, SLICE)]
+        yield partials.batch(np.arange(len(slices)), np.ones(len(slices)), slices)
+
+    found = np.zeros(width)
+    for r in partials.gathered(coded.select("features", "code", "weight").mapInArrow(run, partials.KIND), width * 8):
+        part = np.frombuffer(r["sums"])
+        found[r["cid"] * SLICE : r["cid"] * SLICE + len(part)] += part
+    return found
 
 
 def _evaluate(coded: DataFrame, coef: np.ndarray, intercept: np.ndarray, total: float, penalty: float, free: bool) -> tuple[float, np.ndarray, float]:

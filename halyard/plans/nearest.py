@@ -8,9 +8,10 @@ Two plans, chosen by the measured size of the training side:
 
 * it is at most ``broadcast_bytes``: it is broadcast, and queries stream past it
   without a shuffle;
-* else queries are taken in blocks of at most ``block_bytes``; each block is
-  broadcast, the training side streams past it, every task keeps its k best, and
-  these short lists are merged.
+* else queries are taken in blocks of at most ``block_bytes``, one after the other, so
+  the driver holds one block however many there are; each block is broadcast, the
+  training side streams past it, every task keeps its k best, and these short lists are
+  merged. Neither side is shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.config import get_tuning
 from halyard.functions.vectors import dense
-
+from halyard.plans.blocks import blocks
+from halyard.session import cut
 
 #: Training rows from which queries in few partitions are dealt to all cores first.
 SPREAD = 4096
@@ -113,22 +116,30 @@ def _streamed_queries(queries: DataFrame, train: DataFrame, dimensions: int, k:
 
 def _streamed_train(queries: DataFrame, train: DataFrame, dimensions: int, k: int | None, radius2: float | None, exclude_self: bool) -> DataFrame:
     tuning = get_tuning()
-    n = queries.count()
-    blocks = max(1, -(-n * (dimensions + 2) * 8 // tuning.block_bytes))
+    asked = queries.select("id", "features")
+    many = max(1, -(-asked.count() * (dimensions + 2) * 8 // tuning.block_bytes))
     found = None
-    for b in range(blocks):
-        block = collected(queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), dimensions)
+    for some in blocks(asked, F.col("id"), many):
+        block = collected(some, dimensions)
         if not len(block[0]):
             continue
-        part = _block(train, queries, block, dimensions, k, radius2, exclude_self, tuning.tile_values)
+        part, shared = _block(train, queries, block, dimensions, k, radius2, exclude_self, tuning.tile_values)
+        part = part if k is None else _ranked(part).where(F.col("rank") <= k)
+        if many > 1:  # answered at once, and forgotten
+            part = cut(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return queries.sparkSession.createDataFrame([], f"qid {_kind(queries)}, rank int, id {_kind(train)}, d2 double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id")))
-    return (ranked.where(F.col("rank") <= k) if k is not None else ranked).select("qid", "rank", "id", "d2")
+    return (found if k is not None else _ranked(found)).select("qid", "rank", "id", "d2")
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id")))
 
 
-def _block(train: DataFrame, queries: DataFrame, block: tuple[pa.Array, np.ndarray], dimensions: int, k: int | None, radius2: float | None, exclude_self: bool, tile: int) -> DataFrame:
+def _block(train: DataFrame, queries: DataFrame, block: tuple[pa.Array, np.ndarray], dimensions: int, k: int | None, radius2: float | None, exclude_self: bool, tile: int) -> tuple[DataFrame, Broadcast]:
+    """Candidates of a block of queries, and what is broadcast for it."""
     shared = train.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +170,7 @@ def _block(train: DataFrame, queries: DataFrame, block: tuple[pa.Array, np.ndarr
         out = pa.table({"qid": own.take(held.column("i").combine_chunks()), "id": held.column("id"), "d2": held.column("d2")})
         yield from out.combine_chunks().to_batches()
 
-    return train.select("id", "features").mapInArrow(run, f"qid {_kind(queries)}, id {_kind(train)}, d2 double")
+    return train.select("id", "features").mapInArrow(run, f"qid {_kind(queries)}, id {_kind(train)}, d2 double"), shared
 
 
 def closest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -56,6 +56,16 @@ def resolve_names(names: str | list[str] | None = None) -> list[str]:
     return list(dict.fromkeys(wanted))
 
 
+def short_name(name: str) -> str:
+    """The estimator of a full name such as ``pyspark.ml.feature.PCA``."""
+    return resolve_names(name.rpartition(".")[2])[0]
+
+
+def patch_names() -> list[str]:
+    """Full names that ``patch`` rebinds unless others are asked for."""
+    return [f"{ESTIMATORS[n].home}.{n}" for n in DEFAULT]
+
+
 def load(name: str) -> type:
     """The estimator of a name."""
     return ESTIMATORS[resolve_names(name)[0]].load()

@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from halyard.config import tuning_context
 from halyard.errors import SparseInput, UnsupportedInput, UnsupportedParameter
 from halyard.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor, NearestNeighbors
+from halyard.plans.blocks import blocks
 
 PLANS = {"broadcast_train": {}, "broadcast_query_blocks": {"broadcast_bytes": 1, "block_bytes": 4000, "tile_values": 500}}
 
@@ -109,3 +111,15 @@ def test_other_forms_of_vectors(spark):
     assert NearestNeighbors(1).fit(dense, "v").kneighbors().count() == 5
     got = {r["qid"]: r["id"] for r in NearestNeighbors(1).fit(columns, ["a", "b"], "name").kneighbors().collect()}
     assert got == {"k0": "k1", "k1": "k0", "k2": "k1", "k3": "k2", "k4": "k3"}
+
+
+def test_policy_and_release(spark, plan):
+    model = NearestNeighbors(1).fit(frame(spark, [[0.0], [1.0], [5.0]]))
+    assert model.execution_policy_ == plan
+    assert model.release().kneighbors().count() == 3
+
+
+def test_blocks_hold_every_row_once(spark):
+    rows = spark.range(200).withColumn("x", F.col("id") * 2)
+    found = [sorted(map(tuple, part.collect())) for part in blocks(rows, F.col("id"), 7)]
+    assert len(found) == 7 and sorted(r for part in found for r in part) == [(i, 2 * i) for i in range(200)] and max(map(len, found)) < 60

@@ -165,3 +165,13 @@ def test_queries_match_sql(spark, con, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_names_and_devices(spark):
+    assert registry.short_name("pyspark.ml.feature.PCA") == "PCA" and "pyspark.ml.feature.PCA" in registry.patch_names()
+    with pytest.raises(errors.UnsupportedParameter):
+        registry.short_name("pyspark.ml.feature.Bucketizer")
+    assert diagnostics.gpu_available() is False
+    with diagnostics.use_device(spark.newSession()) as other:
+        assert diagnostics.resolve_device() is not None and other is not spark
+    assert diagnostics.device_info()["engine"] == "spark"
