@@ -15,9 +15,10 @@ whole, and the longer line probes with the substrings that its length leaves pos
 that are least in any stretch as long as a segment of a line that it may link to, so
 their number grows with the line, not with the edits. Substrings that are frequent in
 a bounded sample count as greater than others, which decides what is quick but never
-what is found. What meets at a key is filtered by length and place (words), or by the
-parity of characters, of which an edit flips two at most, and is then verified exactly
-by a banded bit-parallel edit distance.
+what is found. What meets at a key is filtered by length and place (of words), by the
+parity of characters, of which an edit flips two at most, and by a sketch: the parity of
+pairs of characters, of which an edit flips four at most, or of words, two at most. It
+is then verified exactly by a banded bit-parallel edit distance.
 
 Equal lines are one line, which takes part once, so a line that a third of all
 documents hold costs no more than another. Keys travel in buckets, packed by the task
@@ -277,9 +278,16 @@ def _key(value: np.ndarray, probe: bool, payload: np.ndarray) -> np.ndarray:
     return (_mixed(value) >> np.uint64(HASH) << np.uint64(HASH)) | np.uint64(PROBES * probe) | payload.astype(np.uint64)
 
 
-def keys_of_characters(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key of the segments of lines, and of the substrings that they probe with."""
+Keys = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def keys_of_characters(lines: list[str], rule: Rule) -> Keys:
+    """Line and key of the segments of lines, and of the substrings that they probe with; and each line's sketch."""
     code, length, start, total, inverse = _codes(lines)
+    pair = np.uint64(1) << (_mixed(code[:-1] * np.uint64(0x1F123BB5) + code[1:]) >> np.uint64(58))
+    pair[start[1:] - 1] = 0
+    pair[start[1:] - 2] = 0
+    sketch = np.bitwise_xor.reduceat(pair, start)
     own = np.uint64(1) << (_mixed(code) % np.uint64(20))
     own[start[1:] - 1] = 0
     parity = np.bitwise_xor.reduceat(own, start)
@@ -310,18 +318,19 @@ def keys_of_characters(lines: list[str], rule: Rule) -> tuple[np.ndarray, np.nda
                     if ok.any():
                         add(line[ok], at[ok], size[ok], of[line][ok], i, True)
     line, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    return line, key
+    return line, key, sketch
 
 
 @dataclass
 class Grams:
-    """Substrings of GRAM words of lines laid end to end: hash of each, which of them end in their line, place there; first word and number of words of each line."""
+    """Substrings of GRAM words of lines laid end to end: hash of each, which of them end in their line, place there; first word and number of words of each line; hash of each word."""
 
     hash: np.ndarray
     inside: np.ndarray
     place: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    word: np.ndarray
 
     @classmethod
     def of(cls, lines: list[str]) -> Grams:
@@ -336,11 +345,11 @@ class Grams:
         for i in range(GRAM):
             gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[i : len(gram) + i]
         place = (np.arange(len(word)) - np.repeat(first, count))[: len(gram)]
-        return cls(_mixed(gram), place + GRAM <= np.repeat(count, count)[: len(gram)], place, first, count)
+        return cls(_mixed(gram), place + GRAM <= np.repeat(count, count)[: len(gram)], place, first, count, word)
 
 
-def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key of the segments of lines of ``per_word`` words or more, and of the substrings that they probe with. Lines of one stretch lie together."""
+def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.ndarray) -> Keys:
+    """Line and key of the segments of lines of ``per_word`` words or more, and of the substrings that they probe with; and each line's sketch. Lines of one stretch lie together."""
     found = Grams.of(lines)
     first, count, place = found.first, found.count, found.place
     # in the order that decides: level, hash, place; substrings that run into the next line come last
@@ -383,7 +392,7 @@ def keys_of_words(lines: list[str], rule: Rule, frequent: np.ndarray, level: np.
     payload = np.uint64(WORDS) | (rule.size(count).astype(np.uint64) << np.uint64(12))
     out = [(line, _key(low >> np.uint64(12), probe, payload[line] | (low & np.uint64(FAR)))) for line, low, probe in chosen]
     line, key = (np.concatenate(x) for x in zip(*out, strict=True))
-    return line, key
+    return line, key, np.bitwise_xor.reduceat(np.uint64(1) << (found.word >> np.uint64(58)), first)
 
 
 @lru_cache(maxsize=1 << 14)
@@ -394,23 +403,24 @@ def _stretch(rule: Rule, words: int) -> int:
 NONE_FREQUENT = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def keys(lines: list[str], rule: Rule, frequent: tuple[np.ndarray, np.ndarray] = NONE_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key of all that lines file and probe with."""
+def keys(lines: list[str], rule: Rule, frequent: tuple[np.ndarray, np.ndarray] = NONE_FREQUENT) -> Keys:
+    """Line, key and sketch of all that lines file and probe with."""
     if rule.per_word is None:
-        return keys_of_characters(lines, rule)
+        line, key, sketch = keys_of_characters(lines, rule)
+        return line, key, sketch[line]
     words = np.array([len(line.split()) for line in lines])
-    found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    found = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
     # a line may be short of the words of another one by as many as there are edits
     short, long = np.flatnonzero(words < rule.per_word + rule.max_edits), np.flatnonzero(words >= rule.per_word)
     if len(short):
-        line, key = keys_of_characters([lines[i] for i in short.tolist()], rule)
-        found.append((short[line], key))
+        line, key, sketch = keys_of_characters([lines[i] for i in short.tolist()], rule)
+        found.append((short[line], key, sketch[line]))
     if len(long):
         long = long[np.argsort([_stretch(rule, n) for n in words[long].tolist()], kind="stable")]
-        line, key = keys_of_words([lines[i] for i in long.tolist()], rule, *frequent)
-        found.append((long[line], key))
-    line, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    return line, key
+        line, key, sketch = keys_of_words([lines[i] for i in long.tolist()], rule, *frequent)
+        found.append((long[line], key, sketch[line]))
+    line, key, sketch = (np.concatenate(x) for x in zip(*found, strict=True))
+    return line, key, sketch
 
 
 def identity(line: str) -> bytes:
@@ -488,21 +498,21 @@ def _frequent(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """bucket and its pairs of key and h1, in rows of as many as a task meets at once."""
+    """bucket and its keys, each with h1 and sketch, in rows of as many as a task meets at once."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, rule))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, ids in _lines(batches, rule):
-            line, key = keys(some, rule, frequent.value)
+            line, key, sketch = keys(some, rule, frequent.value)
             if not len(line):
                 continue
             h1 = np.frombuffer(b"".join(ids), "<i8")[::2]
-            pairs = np.stack([key.view(np.int64), h1[line]], 1)
+            pairs = np.stack([key.view(np.int64), h1[line], sketch.view(np.int64)], 1)
             bucket = _bucket(key, buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, data = bucket[order], pairs[order].tobytes()
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            offsets = np.r_[first, len(bucket)].astype(np.int32) * 16
+            offsets = np.r_[first, len(bucket)].astype(np.int32) * 24
             rows = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), rows], ["bucket", "pairs"])
 
@@ -514,23 +524,23 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
-    """Pairs of key and h1 of some rows."""
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.int64).reshape(-1, 2)
+    """Key, h1 and sketch of what some rows hold."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.int64).reshape(-1, 3)
 
 
 def _by_row(packed: DataFrame) -> DataFrame:
-    """Every key of a packed table once: key, h1."""
+    """Every key of every line of a packed table once: key, h1, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = _unpacked(batch.column(1))
             for i in range(0, len(pairs), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c].copy()) for c in (0, 1)], ["key", "h1"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c].copy()) for c in range(3)], ["key", "h1", "sketch"])
 
-    return packed.mapInArrow(tidy(run), "key long, h1 long").distinct()
+    return packed.mapInArrow(tidy(run), "key long, h1 long, sketch long").distinct()
 
 
-def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd: float) -> tuple[np.ndarray, np.ndarray]:
+def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, sketch: np.ndarray, rule: Rule, crowd: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a filed and a probing line of one group that may link, and the groups that hold too many. Sorted by group, then by key."""
     probe, of_words = (key & PROBES) > 0, (key & WORDS) > 0
     filed, probing = np.flatnonzero(~probe), np.flatnonzero(probe)
@@ -538,6 +548,7 @@ def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd:
     at = group * (2 * WORDS) + np.where(of_words, key & (2 * WORDS - 1), 0)
     size, place = key >> 12 & 255, key & FAR
     reach = rule.reach(size) if rule.per_word is not None else place
+    flips, sketch = np.where(of_words, 2 * (reach - RUN), 4 * rule.max_edits), sketch.view(np.uint64)
     low = np.where(of_words, at - place + np.maximum(0, place - reach), at)
     high = np.where(of_words, at - place + np.minimum(FAR, place + reach), at)
     again = probing[of_words[probing] & (size[probing] > 0)]  # lines of the next smaller class
@@ -557,7 +568,8 @@ def _meet(group: np.ndarray, key: np.ndarray, h1: np.ndarray, rule: Rule, crowd:
         right = np.repeat(asked[some], n)
         left = filed[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         even = np.bitwise_count((key[left] ^ key[right]) & (WORDS - 1)) <= 2 * rule.max_edits
-        hit = (of_words[right] | even) & (h1[left] != h1[right])
+        near = np.bitwise_count(sketch[left] ^ sketch[right]) <= flips[right]
+        hit = (of_words[right] | even) & near & (h1[left] != h1[right])
         one, two = h1[left[hit]], h1[right[hit]]
         pairs.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0))
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
@@ -608,24 +620,24 @@ def _meeting_in_buckets(packed: DataFrame, rule: Rule, crowd: float) -> DataFram
         if n > MOST:
             yield from _told(np.empty((0, 2), np.int64), np.empty(0, np.int64), [bucket])
         elif n:
-            key, h1 = np.concatenate(held).T
+            key, h1, sketch = np.concatenate(held).T
             order = np.lexsort((h1, key))
             key, h1 = key[order], h1[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])]
-            key, h1 = key[new], h1[new]
+            key, h1, sketch = key[new], h1[new], sketch[order[new]]
             at = _groups(key >> HASH)
-            pairs, many = _meet(at, key, h1, rule, crowd)
+            pairs, many = _meet(at, key, h1, sketch, rule, crowd)
             yield from _told(pairs, key[np.searchsorted(at, many)] >> HASH, [])
 
     return packed.mapInArrow(tidy(run), MET)
 
 
 def _meeting(dealt: DataFrame, rule: Rule, crowd: float) -> DataFrame:
-    """Rows (key, h1, and part if split), sorted by part and key -> pairs and crowded keys."""
+    """Rows (key, h1, sketch, and part if split), sorted by part and key -> pairs and crowded keys."""
     split = "part" in dealt.columns
 
     def group(rows: pa.RecordBatch) -> np.ndarray:
-        return _groups(rows.column(0).to_numpy() >> HASH, *([rows.column(2).to_numpy()] if split else []))
+        return _groups(rows.column(0).to_numpy() >> HASH, *([rows.column(3).to_numpy()] if split else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, over = [], 0, None
@@ -662,7 +674,7 @@ def _meeting(dealt: DataFrame, rule: Rule, crowd: float) -> DataFrame:
 
     def answer(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, at = rows.column(0).to_numpy(), group(rows)
-        pairs, many = _meet(at, key, rows.column(1).to_numpy(), rule, crowd)
+        pairs, many = _meet(at, key, rows.column(1).to_numpy(), rows.column(2).to_numpy(), rule, crowd)
         yield from _told(pairs, key[np.searchsorted(at, many)] >> HASH, [])
 
     return dealt.mapInArrow(tidy(run), MET)
@@ -691,7 +703,7 @@ def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     own = F.array(F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     probes = F.col("key").bitwiseAND(F.lit(PROBES)) != 0
     split = hot.join(counted, "crowded").withColumn("part", F.explode(F.when(probes, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    dealt = split.select("key", "h1", "part").repartition(bare, "part").sortWithinPartitions("part", "key")
+    dealt = split.select("key", "h1", "sketch", "part").repartition(bare, "part").sortWithinPartitions("part", "key")
     return cut(pairs.unionByName(_meeting(dealt, rule, float("inf")).select("u", "v")).distinct())
 
 

@@ -77,13 +77,13 @@ VOCABULARY = [a + b for a in "abcdeé" for b in ("", "x", "yy", "漢")]
 
 def met(lines, one, other, rule=RULE, frequent=linededup.NONE_FREQUENT):
     """Whether two lines meet at a key, one filed and the other probing, and may link there."""
-    line, key = linededup.keys(lines, rule, frequent)
+    line, key, sketch = linededup.keys(lines, rule, frequent)
     h1 = np.array([one, other])[(line == other).astype(int)]
     mine = (line == one) | (line == other)
-    line, key, h1 = line[mine], key[mine].view(np.int64), h1[mine]
+    key, h1, sketch = key[mine].view(np.int64), h1[mine], sketch[mine].view(np.int64)
     order = np.argsort(key, kind="stable")
     own = key[order] >> linededup.HASH
-    found, _ = linededup._meet(np.cumsum(np.r_[0, own[1:] != own[:-1]]), key[order], h1[order], rule, float("inf"))
+    found, _ = linededup._meet(np.cumsum(np.r_[0, own[1:] != own[:-1]]), key[order], h1[order], sketch[order], rule, float("inf"))
     return len(found) > 0
 
 
@@ -250,6 +250,6 @@ def test_rows_of_one_key_beyond_memory_are_split(docs, monkeypatch, per_word):
 
 
 def test_keys_of_short_lines():
-    line, key = linededup.keys(["x" * 16], RULE)
+    line, *_ = linededup.keys(["x" * 16], RULE)
     assert len(line) and np.all(line == 0)
     assert not len(linededup.keys(["x" * 15, "a b c"], RULE)[0])
