@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.config import tuning_context
 from halyard.functions.vectors import dot, squared_distance, squared_norm
 from halyard.operators import schedules
 from halyard.operators.decomposition import PCA
 from halyard.operators.emeans import EMeans, OMeans
-from halyard.operators.kmeans import KMeans
+from halyard.operators.kmeans import KMeans, plus_plus
 from halyard.operators.linear import LogisticRegression, reference_objective
 from halyard.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor, NearestNeighbors
 from halyard.operators.svm import SVC, kernel_matrix, kkt_violations, resolve_gamma
@@ -77,6 +78,20 @@ def knn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearestNeighbors(3).fit(points).kneighbors(points).withColumn("distance", F.round("distance", 6))
 
 
+@_query(NEAREST + "SELECT qid, rank, id, round(dist, 6) AS distance FROM n")
+def knn_self_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the training side is too large to broadcast: queries in blocks, one after the other."""
+    with tuning_context(broadcast_bytes=1, block_bytes=1 << 17):
+        return NearestNeighbors(5).fit(_points(spark, sf_dir)).kneighbors().withColumn("distance", F.round("distance", 6))
+
+
+@_query(f"WITH {PAIRS} SELECT qid, id, round(dist, 6) AS distance FROM d WHERE dist <= 1.0")
+def radius_self_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors within distance 1 of every vector, in blocks of queries."""
+    with tuning_context(broadcast_bytes=1, block_bytes=1 << 17):
+        return NearestNeighbors(radius=1.0).fit(_points(spark, sf_dir)).radius_neighbors().withColumn("distance", F.round("distance", 6))
+
+
 @_query(NEAREST + "SELECT qid AS src, id AS dst, round(dist, 6) AS value FROM n")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of nearest neighbours, weighted by distance."""
@@ -212,6 +227,23 @@ def kmeans_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("prediction").agg(F.count("*").alias("n"), F.round(F.avg(F.array_min("distances") ** 2), 6).alias("mse"))
 
 
+@_query("SELECT DISTINCT p_size::DOUBLE AS size FROM part")
+def kmeans_plus_plus_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many k-means++ centers as there are different sizes of parts: every size is one."""
+    parts = _parts(spark, sf_dir).select("id", F.array("size").alias("features"))
+    k = parts.select("features").distinct().count()
+    return spark.createDataFrame([(float(c),) for c in plus_plus(parts, k, 1, 3).ravel()], "size double")
+
+
+@_query("SELECT DISTINCT p_size::DOUBLE AS size FROM part")
+def kmeans_plus_plus_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from candidates that are drawn in rounds, as of a table beyond memory."""
+    parts = _parts(spark, sf_dir).select("id", F.array("size").alias("features"))
+    k = parts.select("features").distinct().count()
+    with tuning_context(broadcast_bytes=1):
+        return spark.createDataFrame([(float(c),) for c in plus_plus(parts, k, 1, 3).ravel()], "size double")
+
+
 EMA = _lloyd(1) + ", s AS (SELECT cid, j, sum(v) AS s, count(*) AS n FROM a0 JOIN x USING (id) GROUP BY cid, j) SELECT cid, j, round((0.5 * 1e-10 * c0.v + 0.5 * s) / (0.5 * 1e-10 + 0.5 * n), 6) AS v FROM c0 JOIN s USING (cid, j)"
 
 
@@ -238,6 +270,40 @@ def omeans_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _center_rows(spark, model.cluster_centers_)
 
 
+TWO_STEPS = (
+    _lloyd(0).rstrip()
+    + """, s1 AS (SELECT cid, j, sum(v) AS s, count(*) AS n FROM a0 JOIN x USING (id) GROUP BY cid, j),
+m1 AS (SELECT cid, j, 0.5 * 1e-10 + 0.5 * n AS m, (0.5 * 1e-10 * c0.v + 0.5 * s) / (0.5 * 1e-10 + 0.5 * n) AS v FROM c0 JOIN s1 USING (cid, j)),
+d1 AS (SELECT x.id, cid, sum((x.v - c.v) * (x.v - c.v)) AS d2 FROM x JOIN m1 c USING (j) GROUP BY x.id, cid),
+a1 AS (SELECT id, arg_min(cid, (d2, cid)) AS cid FROM d1 GROUP BY id),
+s2 AS (SELECT cid, j, sum(v) AS s, count(*) AS n FROM a1 JOIN x USING (id) GROUP BY cid, j)
+SELECT cid, j, round((0.725 * m * m1.v + 0.275 * s) / (0.725 * m + 0.275 * n), 6) AS v FROM m1 JOIN s2 USING (cid, j)"""
+)
+
+
+@_query(TWO_STEPS)
+def emeans_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two moving-average updates by whole passes: the step size falls to 0.55 of the first one."""
+    points = _points(spark, sf_dir)
+    return _center_rows(spark, EMeans(5, max_iter=2, batch_size=10**9, alpha0=0.5, finalization="ema", init=_starts(points), compute_labels=False).fit(points).cluster_centers_)
+
+
+@_query(TWO_STEPS)
+def emeans_two_steps_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with batches that stay in Spark."""
+    points = _points(spark, sf_dir)
+    with tuning_context(broadcast_bytes=1):
+        return _center_rows(spark, EMeans(5, max_iter=2, batch_size=10**9, alpha0=0.5, finalization="ema", init=_starts(points), compute_labels=False).fit(points).cluster_centers_)
+
+
+@_query(_lloyd(1) + "SELECT cid, j, round(v, 6) AS v FROM c1")
+def omeans_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing means of one pass by two-level search that probes one cell of five, a center in each."""
+    points = _points(spark, sf_dir)
+    model = OMeans(5, max_iter=1, batch_size=10**9, alpha0=0.5, init=_starts(points), n_cells=5, n_probe=1, assignment="two_level", compute_labels=False).fit(points)
+    return _center_rows(spark, model.cluster_centers_)
+
+
 @_query()
 def emeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scheduled fit: sizes of clusters by full search."""
@@ -300,6 +366,13 @@ def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logistic_row(spark, LogisticRegression(tol=1e-8).fit(_parts(spark, sf_dir), "big", ["x"]))
 
 
+@_query(_newton("1.0"))
+def logistic_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by Spark ML and Newton steps on sums of second derivatives, as for a table beyond memory."""
+    with tuning_context(broadcast_bytes=1):
+        return _logistic_row(spark, LogisticRegression(tol=1e-8).fit(_parts(spark, sf_dir), "big", ["x"]))
+
+
 @_query("WITH fit AS (" + _newton("1.0").replace("round(b, 6) AS coef, round(a, 6) AS intercept", "b, a") + "), z AS (SELECT p_partkey AS id, b * (p_retailprice - 1000) / 500 + a AS z FROM part, fit) SELECT id, (z > 0)::INT AS prediction, round(z, 5) AS decision, round(1 / (1 + exp(-z)), 5) AS probability FROM z")
 def logistic_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, score and probability of every part by that fit."""
@@ -337,6 +410,18 @@ def logistic_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(model.predict_proba(points)).select("id", "prediction", F.round(F.array_max("probability"), 6).alias("probability"))
 
 
+@_query("SELECT grp, label, round(n / sum(n) OVER (PARTITION BY grp), 4) AS probability FROM (SELECT (c_nationkey % 3)::INT AS grp, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY ALL)")
+def logistic_multinomial_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A multinomial fit without penalty on three groups of customers: probabilities are the shares of the segments in each group."""
+    grp = (F.col("c_nationkey") % 3).cast("int")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), grp.alias("grp"), F.array((grp == 1).cast("double"), (grp == 2).cast("double")).alias("features"), F.col("c_mktsegment").alias("label"))
+    model = LogisticRegression(penalty=None, tol=1e-9, max_iter=1000).fit(rows)
+    asked = spark.createDataFrame([(g, [float(g == 1), float(g == 2)]) for g in range(3)], "grp int, features array<double>")
+    names = F.array(*[F.lit(c) for c in model.classes_])
+    found = model.predict_proba(asked).select("grp", F.explode(F.arrays_zip(names.alias("label"), F.col("probability"))).alias("p"))
+    return found.select("grp", "p.label", F.round("p.probability", 4).alias("probability"))
+
+
 # --- principal components
 
 @_query(f"WITH {POINTS}, x AS (SELECT id, unnest(range(1, len(e) + 1)) AS j, unnest(e) AS v FROM p) SELECT j, round(avg(v), 6) AS mean FROM x GROUP BY j")
@@ -429,6 +514,31 @@ def svc_kkt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kkt_violations(SVC(C=1.0, tol=1e-3).fit(points), points, slack=1e-6)
 
 
+BANDS = """WITH s AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x, CASE WHEN c_acctbal < 2500 THEN 0 WHEN c_acctbal BETWEEN 3500 AND 6000 THEN 1 WHEN c_acctbal > 7000 THEN 2 END AS label FROM customer),
+e AS (SELECT max(x) FILTER (label = 0) AS a, min(x) FILTER (label = 1) AS b, max(x) FILTER (label = 1) AS c, min(x) FILTER (label = 2) AS d FROM s) """
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balance = F.col("c_acctbal")
+    label = F.when(balance < 2500, 0).when(balance.between(3500, 6000), 1).when(balance > 7000, 2)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array(balance / 1000).alias("features"), label.alias("label"))
+
+
+@_query(BANDS + "SELECT id, CASE WHEN x < (a + b) / 2 THEN 0 WHEN x < (c + d) / 2 THEN 1 ELSE 2 END AS prediction FROM s, e")
+def svc_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three bands of balances that a linear kernel parts: labels of all customers, those between the bands too."""
+    rows = _bands(spark, sf_dir)
+    return SVC(C=1e5, kernel="linear", tol=1e-8).fit(rows.where("label IS NOT NULL")).predict(rows).select("id", "prediction")
+
+
+@_query(BANDS + "SELECT id, round((x - (a + b) / 2) * 2 / (b - a), 4) AS decision FROM s, e")
+def svc_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of the lower two of those bands: -1 and 1 at the margins."""
+    rows = _bands(spark, sf_dir)
+    model = SVC(C=1e5, kernel="linear", tol=1e-8).fit(rows.where("label < 2"))
+    return model.decision_function(rows).select("id", F.round("decision", 4).alias("decision"))
+
+
 @_query()
 def svc_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of all vectors by an exact fit."""

@@ -146,7 +146,7 @@ OWN = [n for n in __spark_entry__.queries() if n in __spark_entry__.oracle_sql()
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("embeddings", "part", "supplier"):
+    for t in ("embeddings", "part", "supplier", "customer"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     return c
 
