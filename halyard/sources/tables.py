@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.vectors import vector
@@ -19,7 +19,7 @@ def vectors(df: DataFrame, id_col: str, features: str | list[str], label: str |
     return df.select(*columns, *([F.col(label).alias("label")] if label else []), *([F.col(weight).cast("double").alias("weight")] if weight else []))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "id") -> DataFrame:
     """``df`` with a number from 0 in the order of columns, for tables without an id.
 
     Rows are sorted by range over all tasks and numbered within their task, after the
