@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.session import cut
+from halyard.sources.tables import numbered
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the seeded hash that name a slice of a source; the slice in
 #: which the target is reached is the only one that is sorted by document.
 SLICE_DIGITS = 3
-#: The table of sources is handled on the driver; more sources than this are refused.
-MAX_SOURCES = 1_000_000
+#: Up to this many sources are shared out on the driver, else by rounds of aggregates.
+DRIVER_SOURCES = 200_000
 #: Up to this many sources the table of sources is broadcast, else it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -78,17 +79,19 @@ def _shares(sized: DataFrame, weights: Sequence[float], max_epochs: int) -> Data
     """
     spark = sized.sparkSession
     slices = cut(sized.groupBy("skey", "source", "slice").agg(F.sum("size").alias("slice_size")))
-    sources = slices.groupBy("skey", "source").agg(F.sum("slice_size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    targets = water_fill([r["n"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], sum(r["n"] for r in sources), max_epochs)
-    rows = []
-    for r, target in zip(sources, targets, strict=True):
-        words = int(np.floor(target + 0.5))
-        whole = words // r["n"] if r["n"] else 0
-        rows.append((r["skey"], int(r["n"]), round(float(target), 6), int(whole), int(words - whole * r["n"])))
-    shares = spark.createDataFrame(rows, "skey string, source_size long, target double, whole long, rest long")
+    sources = slices.groupBy("skey", "source").agg(F.sum("slice_size").alias("n"))
+    rows = sources.limit(DRIVER_SOURCES + 1).collect()
+    many = len(rows) > DRIVER_SOURCES
+    if many:
+        shares = _filled(sources, weights, max_epochs)
+    else:
+        rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        targets = water_fill([r["n"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], sum(r["n"] for r in rows), max_epochs)
+        shares = spark.createDataFrame([(r["skey"], int(r["n"]), float(target)) for r, target in zip(rows, targets, strict=True)], "skey string, source_size long, target double")
+    words = F.floor(F.col("target") + 0.5)
+    whole = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)
+    shares = shares.withColumn("words", words).withColumn("whole", whole.cast("long")).withColumn("rest", (F.col("words") - F.col("whole") * F.col("source_size")).cast("long"))
+    shares = shares.withColumn("target", F.round("target", 6)).drop("words")
     along = Window.partitionBy("skey").orderBy("slice")
     edges = (
         slices.select("skey", "slice", "slice_size", (F.sum("slice_size").over(along) - F.col("slice_size")).alias("before"))
@@ -97,7 +100,28 @@ def _shares(sized: DataFrame, weights: Sequence[float], max_epochs: int) -> Data
         .select("skey", F.col("slice").alias("edge"), F.col("before").alias("edge_before"))
     )
     known = cut(shares.join(edges, "skey", "left"))
-    return known if len(rows) > BROADCAST_SOURCES else F.broadcast(known)
+    return known if many or len(rows) > BROADCAST_SOURCES else F.broadcast(known)
+
+
+def _filled(sources: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
+    """``water_fill`` for any number of sources: skey, source_size, target.
+
+    Every round clamps the sources whose share exceeds their cap and shares out what is
+    left among the others, until no more are clamped.
+    """
+    ranked = numbered(sources, [F.col("source").isNull(), F.col("source")], "_rank")
+    of_rank = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    known = cut(ranked.select("skey", F.col("n").alias("source_size"), of_rank.alias("weight"), (F.col("n") * F.lit(float(max_epochs))).alias("cap")))
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    level, clamped = 0.0, -1
+    while True:
+        open_ = F.col("cap") > level * F.col("weight")
+        r = known.agg(F.sum((~open_).cast("long")).alias("clamped"), F.sum(F.when(~open_, F.col("cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(open_, F.col("weight"))).alias("weight")).first()
+        if r["weight"] is None or r["clamped"] == clamped:
+            break
+        level, clamped = (total - r["taken"]) / r["weight"], r["clamped"]
+    share = F.col("cap") if r["weight"] is None else F.least("cap", F.lit(level) * F.col("weight"))
+    return known.select("skey", "source_size", share.alias("target"))
 
 
 def _decided(sized: DataFrame, shares: DataFrame) -> DataFrame:

@@ -59,3 +59,13 @@ def test_empty_table(docs):
 
 def test_words_are_counted_between_ascii_spaces_only(docs):
     assert [r["size"] for r in mixing.plan(docs([(1, "a b c d", "en", "s")])).collect()] == [2]
+
+
+def test_many_sources_are_shared_out_in_rounds(docs, odd_rows, monkeypatch):
+    rows = odd_rows + [(i, "w " * (i * i % 91), "en", f"s{i * i % 40}") for i in range(20, 500)] + [(900, "w " * 5000, "en", None), (901, "w " * 3000, "en", "s7")]
+    frame = docs(rows)
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    want = sorted(map(tuple, mixing.plan(frame).select(*columns).collect()), key=str)
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 3)
+    assert sorted(map(tuple, mixing.plan(frame).select(*columns).collect()), key=str) == want
+    assert mixing.plan(docs([])).count() == 0
