@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from halyard.config import config_context, tuning_context
 from halyard.diagnostics import get_last_backend_event
 from halyard.errors import ConvergenceWarning, UnsupportedParameter
+from halyard.operators import svm
 from halyard.operators.decomposition import PCA, choose_svd_solver, mle_dimension
 from halyard.operators.linear import LogisticRegression, minimize
 from halyard.operators.svm import SVC, kernel_diagonal, kernel_matrix, kkt_violations, ovo_votes, ovr_decision, solve
@@ -123,14 +124,17 @@ def test_dual_of_two_points():
     assert ok and alpha == pytest.approx([0.5, 0.5]) and rho == pytest.approx(-1)
 
 
-def test_dual_value_beats_random_feasible_points():
+def test_dual_value_beats_random_feasible_points(monkeypatch):
     x, y = data(40, 2)
     y = np.where(np.array(y) == 0, 1.0, -1.0)
     q = kernel_matrix(x, x, "rbf", 0.5) * np.outer(y, y)
     value = lambda a: 0.5 * a @ q @ a - a.sum()
     alpha, *_ = solve(x, y, np.full(40, 1.0), 1e-6, 10**6, kernel="rbf", gamma=0.5)
-    cached, *_ = solve(x, y, np.full(40, 1.0), 1e-6, 10**6, cache_mb=0.001, kernel="rbf", gamma=0.5)
-    assert abs(y @ alpha) < 1e-9 and value(cached) == pytest.approx(value(alpha))
+    monkeypatch.setattr(svm, "GRAM", 100)
+    for cache_mb in (0.001, 0.008, 200):  # blocks of 16 and 26 rows, and of all
+        blocks, _, _, ok = solve(x, y, np.full(40, 1.0), 1e-6, 10**6, cache_mb=cache_mb, kernel="rbf", gamma=0.5)
+        assert ok and abs(y @ blocks) < 1e-9 and value(blocks) == pytest.approx(value(alpha))
+    assert abs(y @ alpha) < 1e-9
     rng = np.random.default_rng(0)
     for _ in range(300):
         other = np.clip(alpha + rng.normal(size=40) * 0.05, 0, 1)
@@ -140,6 +144,20 @@ def test_dual_value_beats_random_feasible_points():
         assert value(other) >= value(alpha) - 1e-6
 
 
+@pytest.mark.parametrize("kernel", KERNELS[:3])
+def test_pairs_beyond_one_task(spark, monkeypatch, kernel):
+    rows = frame(spark, *data(160, 3, 3)).withColumn("w", 1 + F.col("id") % 3)
+    want = SVC(tol=1e-5, **kernel).fit(rows, weight="w")
+    monkeypatch.setattr(svm, "PAIR_ROWS", 105)
+    monkeypatch.setattr(svm, "WORKING", 24)
+    monkeypatch.setattr(svm, "HELD_BLOCKS", 2)
+    found = SVC(tol=1e-5, **kernel).fit(rows, weight="w")
+    assert found.converged_ and found.intercept_ == pytest.approx(want.intercept_, abs=1e-3)
+    a, b = (np.stack(m.decision_function(rows).orderBy("id").toPandas()["decision"]) for m in (found, want))
+    assert a == pytest.approx(b, abs=1e-3)
+    assert sum(r["violations"] for r in kkt_violations(found, rows, weight="w", slack=1e-6).collect()) == 0
+
+
 def test_votes():
     decision = np.array([[1.0, 1.0, 1.0], [0.0, 0.0, 0.0], [1.0, -1.0, 1.0], [-1.0, -2.0, 0.0]])
     assert ovo_votes(decision, 3).tolist() == [0, 2, 0, 2]
