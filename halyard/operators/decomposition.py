@@ -2,13 +2,17 @@
 
 Two passes over the data give the mean and the centred second moments, summed per
 task and then over tasks; the d x d eigenproblem is solved on the driver. With fewer
-rows than features the sample-side Gram is used instead, so nothing larger than
-min(n, d) squared is ever formed. Each component's largest loading is positive.
+rows than features the sample-side Gram is used instead. Where neither fits, a given
+number of components is found by subspace iteration: every pass multiplies some more
+directions than are wanted by the covariance, until their variances settle, so nothing
+larger than d times that number is ever formed. Each component's largest loading is
+positive.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Self
 
@@ -17,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.errors import UnsupportedInput
+from halyard.errors import ConvergenceWarning, UnsupportedInput
 from halyard.functions.vectors import dense, lists, vector
 from halyard.operators.base import Estimator
 from halyard.plans import partials
 from halyard.plans.nearest import mapped
+from halyard.seeds import numpy_generator, resolve_seed
 from halyard.validation import checked, prepared, require_params
 
-#: The largest matrix side that the driver takes.
-SIDE = 8192
+#: The largest matrix side that the driver takes, and the most values of a table with few rows.
+SIDE, VALUES = 8192, 1 << 27
+#: Passes of subspace iteration at most, and the relative change of the variances that ends it.
+PASSES, SETTLED = 200, 1e-10
 
 
 def _summed(rows: DataFrame, dimensions: int, compute: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
@@ -117,10 +124,12 @@ class PCA(Estimator):
             solver = choose_svd_solver(n, d, self.n_components, self.svd_solver)
             self._wanted(n, d, solver)
             self.svd_solver_ = solver
-            if min(n, d) > SIDE:
-                raise UnsupportedInput(f"the smaller of rows and features is {min(n, d)}; {SIDE} is the most")
             mean = _summed(rows, d, lambda x: x.sum(0), (d,)) / n
-            if n < d:
+            rest = None
+            if d > SIDE and (n > SIDE or n * d > VALUES):
+                values, vectors, rest = self._subspace(rows, mean, n, d)
+                path = "subspace"
+            elif n < d:
                 x = dense(rows.toArrow().column("features"), d) - mean
                 values, left = np.linalg.eigh(x @ x.T)
                 order = np.argsort(values)[::-1]
@@ -136,7 +145,7 @@ class PCA(Estimator):
         finally:
             rows.unpersist()
         variances = values / (n - 1)
-        total = variances.sum()
+        total = variances.sum() if rest is None else rest / (n - 1)
         ratio = variances / total if total > 0 else np.zeros_like(variances)
         top = np.abs(vectors).argmax(1)
         sign = np.where(vectors[np.arange(len(vectors)), top] < 0, -1.0, 1.0)
@@ -152,10 +161,36 @@ class PCA(Estimator):
         self.mean_, self.components_ = mean, (vectors * sign[:, None])[:k]
         self.explained_variance_, self.explained_variance_ratio_ = variances[:k], ratio[:k]
         self.singular_values_, self.n_components_ = np.sqrt(values[:k]), k
-        self.noise_variance_ = float(variances[k : min(n, d)].mean()) if k < min(n, d) else 0.0
+        if rest is None:
+            self.noise_variance_ = float(variances[k : min(n, d)].mean()) if k < min(n, d) else 0.0
+        else:
+            self.noise_variance_ = max(0.0, float(total - variances[:k].sum())) / max(1, min(n, d) - k)
         self._ran("fit", path, solver, (n, d))
         return self
 
+    def _subspace(self, rows: DataFrame, mean: np.ndarray, n: int, d: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """The largest eigenvalues of the centred second moments, their vectors, and the sum of all eigenvalues."""
+        k = self.n_components
+        if isinstance(k, str) or k is None or not float(k).is_integer() or k < 1:
+            raise UnsupportedInput(f"with {n} rows of {d} features, n_components must be a whole number from 1")
+        size = min(int(k) + max(2, self.n_oversamples), min(n, d))
+        whole = float(_summed(rows, d, lambda x: np.square(x - mean).sum(keepdims=True).reshape(1), (1,))[0])
+        basis = np.linalg.qr(numpy_generator(resolve_seed(self.random_state), "pca").normal(size=(d, size)))[0]
+        before = np.full(int(k), np.inf)
+        for _ in range(PASSES):
+            moved = _summed(rows, d, lambda x, basis=basis: (x - mean).T @ ((x - mean) @ basis), (d, size))
+            inner = basis.T @ moved
+            values, turn = np.linalg.eigh((inner + inner.T) / 2)
+            values, turn = np.maximum(values[::-1], 0), turn[:, ::-1]
+            if np.abs(values[: int(k)] - before).max() <= SETTLED * max(values[0], 1e-300):
+                break
+            before, kept = values[: int(k)], basis
+            basis = np.linalg.qr(moved)[0]
+        else:
+            warnings.warn(f"the variances of PCA had not settled after {PASSES} passes", ConvergenceWarning, stacklevel=4)
+            basis = kept
+        return values[: int(k)], (basis @ turn).T[: int(k)], whole
+
     def _scale(self) -> np.ndarray:
         scale = np.sqrt(self.explained_variance_)
         return np.maximum(scale, np.finfo(float).eps)

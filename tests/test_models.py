@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from halyard.config import config_context, tuning_context
 from halyard.diagnostics import get_last_backend_event
-from halyard.errors import ConvergenceWarning, UnsupportedParameter
-from halyard.operators import svm
+from halyard.errors import ConvergenceWarning, UnsupportedInput, UnsupportedParameter
+from halyard.operators import decomposition, svm
 from halyard.operators.decomposition import PCA, choose_svd_solver, mle_dimension
 from halyard.operators.linear import LogisticRegression, minimize
 from halyard.operators.svm import SVC, kernel_diagonal, kernel_matrix, kkt_violations, ovo_votes, ovr_decision, solve
@@ -230,6 +230,21 @@ def test_gram_merged_by_line_is_the_same(spark, monkeypatch):
     assert one.components_ == pytest.approx(two.components_) and one.mean_ == pytest.approx(two.mean_)
 
 
+def test_components_beyond_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 40)) * np.r_[9, 7, 5, 4, np.ones(36)] @ np.linalg.qr(rng.normal(size=(40, 40)))[0] + 3
+    rows = frame(spark, x)
+    want = PCA(3, whiten=True).fit(rows)
+    monkeypatch.setattr(decomposition, "SIDE", 20)
+    found = PCA(3, whiten=True, svd_solver="randomized").fit(rows)
+    for name in ("explained_variance_", "explained_variance_ratio_", "singular_values_", "noise_variance_", "mean_"):
+        assert getattr(found, name) == pytest.approx(getattr(want, name), rel=1e-6)
+    assert found.components_ == pytest.approx(want.components_, abs=1e-4) and found.execution_backend_ == "subspace"
+    for bad in (None, 0.5):
+        with pytest.raises((UnsupportedInput, ValueError)):
+            PCA(bad).fit(rows)
+
+
 def test_likelihood_is_that_of_the_covariance(spark):
     x = np.random.default_rng(0).normal(size=(100, 4)) * [3, 2, 1, 1]
     rows = frame(spark, x)
