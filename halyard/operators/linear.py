@@ -34,8 +34,8 @@ from halyard.validation import checked, prepared, require_int, require_params, r
 
 #: Features up to which Newton steps are taken; coefficients up to which scores are unrolled into generated code.
 NEWTON, UNROLLED = 256, 128
-#: Numbers of a long sum that are merged as one row.
-SLICE = 8192
+#: Numbers of a long sum that are merged as one row; passes of one Newton step at most.
+SLICE, CONJUGATE = 8192, 50
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -149,16 +149,21 @@ class LogisticRegression(Estimator):
             backend = "memory"
         else:
             value, slope, gradient, backend = self._solve_distributed(coded, k, total, penalty)
-        for _ in range(25):
-            if gradient <= min(self.tol, 1e-8) or k > 2 or self.n_features_in_ > NEWTON:
+        dense = k == 2 and d <= NEWTON
+        enough = min(self.tol, 1e-8) if dense else self.tol
+        for _ in range(25 if dense else min(25, self.max_iter - self.n_iter_)):
+            if gradient <= enough:
                 break
-            step = np.linalg.lstsq(_curvature(coded, self.coef_[0], self.intercept_[0], total, penalty, self.fit_intercept), slope, rcond=None)[0]
+            if dense:
+                step = np.linalg.lstsq(_curvature(coded, self.coef_[0], self.intercept_[0], total, penalty, self.fit_intercept), slope, rcond=None)[0]
+            else:
+                step = _conjugate(coded, self.coef_, self.intercept_, slope, total, penalty, self.fit_intercept)
             size = 1.0
             while size > 1e-6:
-                coef = self.coef_ - size * step[: self.n_features_in_]
-                intercept = self.intercept_ - (size * step[-1] if self.fit_intercept else 0.0)
+                coef = self.coef_ - size * step[: outputs * d].reshape(outputs, d)
+                intercept = self.intercept_ - (size * step[outputs * d :] if self.fit_intercept else 0.0)
                 new = _evaluate(coded, coef, intercept, total, penalty, self.fit_intercept)
-                if new[0] <= value + 1e-15 * abs(value) and new[2] < gradient:
+                if new[0] <= value + 1e-15 * abs(value) and (new[2] < gradient or not dense):
                     break
                 size /= 2
             else:
@@ -176,7 +181,7 @@ class LogisticRegression(Estimator):
             self._keep(_spark_fit(coded, k, penalty, 0.0, min(closeness, 1e-6), self.max_iter, self.fit_intercept))
             value, slope, gradient = _evaluate(coded, self.coef_, self.intercept_, total, penalty, self.fit_intercept)
             if gradient <= self.tol or self.n_iter_ >= self.max_iter or (k == 2 and self.n_features_in_ <= NEWTON):
-                break
+                break  # Newton steps do the rest
         return value, slope, gradient, "spark_ml"
 
     def _keep(self, found) -> None:
@@ -381,6 +386,45 @@ def _curvature(coded: DataFrame, coef: np.ndarray, intercept: float, total: floa
     return h
 
 
+def _conjugate(coded: DataFrame, coef: np.ndarray, intercept: np.ndarray, slope: np.ndarray, total: float, penalty: float, free: bool) -> np.ndarray:
+    """A Newton step by conjugate gradients, for any number of classes and features: each iteration is a pass that multiplies by the second derivatives."""
+    k, d = coef.shape
+
+    def times(v: np.ndarray) -> np.ndarray:
+        way, shift = v[: k * d].reshape(k, d), v[k * d :] if free else 0.0
+
+        def compute(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+            z, moved = x @ coef.T + intercept, x @ way.T + shift
+            if k == 1:
+                p = 0.5 * (1 + np.tanh(0.5 * z))
+                r = p * (1 - p) * moved
+            else:
+                p = _softmax(z)
+                r = p * (moved - (p * moved).sum(1, keepdims=True))
+            r = r * w[:, None]
+            return np.concatenate([(r.T @ x).ravel(), r.sum(0)])
+
+        found = _partials(coded, compute, k * d + k) / total
+        found[: k * d] += penalty * v[: k * d]
+        return found if free else found[: k * d]
+
+    step, rest = np.zeros_like(slope), slope.copy()
+    way, size = rest.copy(), rest @ rest
+    enough = size * min(0.25, np.sqrt(np.sqrt(size))) ** 2
+    for _ in range(CONJUGATE):
+        bent = times(way)
+        curve = way @ bent
+        if curve <= 1e-300:
+            break
+        step += size / curve * way
+        rest -= size / curve * bent
+        before, size = size, rest @ rest
+        if size <= enough:
+            break
+        way = rest + size / before * way
+    return step
+
+
 def reference_objective(df: DataFrame, coef: np.ndarray, intercept: np.ndarray, C: float, label: str = "code", weight: str | None = None) -> float:
     """The objective at given coefficients; ``label`` holds codes from 0."""
     rows = df.select("features", F.col(label).cast("int").alias("code"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"))

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.errors import BackendError
+
 
 def build(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "8g", app: str = "halyard") -> SparkSession:
     """A session with the settings that tests and benchmarks use."""
@@ -31,12 +33,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
     ``spark.checkpoint.dir`` of the session wins. Only where neither it nor the
-    context names a folder (as in tests) a temporary one is made.
+    context names a folder a temporary one is made, in local mode alone (as in
+    tests): executors of a cluster would not see it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise BackendError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="halyard-checkpoint-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get()
@@ -46,3 +51,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint that survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

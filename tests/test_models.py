@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from halyard.config import config_context, tuning_context
 from halyard.diagnostics import get_last_backend_event
 from halyard.errors import ConvergenceWarning, UnsupportedInput, UnsupportedParameter
-from halyard.operators import decomposition, svm
+from halyard.operators import decomposition, linear, svm
 from halyard.operators.decomposition import PCA, choose_svd_solver, mle_dimension
 from halyard.operators.linear import LogisticRegression, minimize
 from halyard.operators.svm import SVC, kernel_diagonal, kernel_matrix, kkt_violations, ovo_votes, ovr_decision, solve
@@ -50,6 +50,20 @@ def test_gradient_vanishes(spark, path, classes, C, shift):
     assert model.score(rows) == pytest.approx((want == np.array(y)).mean())
 
 
+@pytest.mark.parametrize(("classes", "free"), [(3, True), (2, False), (4, False)])
+def test_conjugate_steps_reach_the_optimum(spark, monkeypatch, classes, free):
+    """From a coarse fit, for shapes whose second derivatives are never formed."""
+    x, y = data(classes=classes)
+    rows, coarse = frame(spark, x, y), linear.minimize
+    monkeypatch.setattr(linear, "NEWTON", 0)
+    monkeypatch.setattr(linear, "minimize", lambda fun, p, tol, most: coarse(fun, p, 1e-2, most))
+    model = LogisticRegression(C=0.5, tol=1e-9, fit_intercept=free).fit(rows)
+    monkeypatch.undo()
+    want = LogisticRegression(C=0.5, tol=1e-9, fit_intercept=free, max_iter=2000).fit(rows)
+    assert model.execution_backend_ == "memory+newton" and model.gradient_max_ < 1e-9
+    assert model.coef_ == pytest.approx(want.coef_, abs=1e-6) and model.objective_ == pytest.approx(want.objective_, abs=1e-12)
+
+
 def test_weights_are_repetitions_and_classes(spark):
     x, y = data(120)
     w = [1 + i % 3 for i in range(120)]

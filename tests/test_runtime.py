@@ -13,7 +13,7 @@ from halyard.operators.decomposition import PCA
 from halyard.operators.kmeans import KMeans
 from halyard.operators.linear import LogisticRegression
 from halyard.operators.neighbors import NearestNeighbors
-from halyard.session import checkpoint_dir, cut
+from halyard.session import checkpoint_dir, cut, forget
 from halyard.sources import tables
 from tests.test_neighbors import frame
 
@@ -134,6 +134,17 @@ def test_tables(spark, tmp_path):
     assert tables.edges_to_lists(edges).first()["targets"] == [2, 3]
 
 
+def test_checkpoints_are_deleted(spark):
+    import pathlib
+
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    held = cut(spark.range(10))
+    assert held.count() == 10 and set(folder.rglob("part-*")) > before
+    forget(held)
+    assert set(folder.rglob("part-*")) == before
+
+
 def test_checkpoints(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
     plan = cut(spark.range(5).selectExpr("id * 2 AS x"))._jdf.queryExecution().toString()
