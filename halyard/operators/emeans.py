@@ -13,9 +13,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Self
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from halyard.operators.schedules import FILING, Schedule, TwoLevelSchedule, plan
 from halyard.plans.lloyd import Assign, Totals, dense_assign, total
 from halyard.plans.nearest import closest, fits, mapped
 from halyard.seeds import numpy_generator, resolve_seed, uniform
+from halyard.session import cut
 from halyard.validation import checked, prepared, require_int, require_params, require_positive
 
 
@@ -157,12 +160,12 @@ class _Batches:
         self.rows, self.d, self.n, self.seed = rows, dimensions, n, seed
         self.small = fits(n, dimensions + 1)
 
-    def of(self, epoch: int, wanted: int, size: int) -> Iterator[DataFrame | np.ndarray]:
-        """Each batch holds the rows whose draw falls into its part of [0, 1)."""
+    def of(self, epoch: int, wanted: int, size: int, stay: bool = False) -> Iterator[DataFrame | np.ndarray]:
+        """Each batch holds the rows whose draw falls into its part of [0, 1). With ``stay`` batches are tables, however small."""
         place = uniform(F.col("id"), self.seed, "epoch", epoch)
         drawn = self.rows.select("features", "id", place.alias("u"))
         parts = [(start / self.n, min(start + size, wanted) / self.n) for start in range(0, wanted, size)]
-        if self.small:
+        if self.small and not stay:
             table = drawn.toArrow().sort_by([("u", "ascending"), ("id", "ascending")])
             x, u = dense(table.column("features"), self.d), table.column("u").to_numpy()
             for low, high in parts:
@@ -240,8 +243,12 @@ class EMeans(Centers):
             start = given(self.init, shape.dimensions, k)
         return Prepared(rows, shape, [self._readout(start)], 0.0, repr(self.get_params()))
 
-    def train(self, ready: Prepared) -> Self:
-        """Fits from prepared input; every call starts anew."""
+    def train(self, ready: Prepared, capture_assignments: bool = False) -> Self:
+        """Fits from prepared input; every call starts anew.
+
+        With ``capture_assignments``, ``captured_`` holds id and label of every row of the
+        last pass, as it was assigned when its batch was met.
+        """
         if ready.settings != repr(self.get_params()):
             raise ValueError("the prepared input does not match these settings")
         n, d, k = ready.shape.rows, ready.shape.dimensions, self.n_clusters
@@ -258,11 +265,16 @@ class EMeans(Centers):
         all_evaluated, stats = 0.0, []
         for epoch, wanted in enumerate(plan.pass_rows):
             objective, evaluated, seen = 0.0, 0.0, 0
-            for batch in batches.of(epoch, wanted, plan.batch_size):
+            capturing = capture_assignments and epoch + 1 == len(plan.pass_rows)
+            captured = []
+            for batch in batches.of(epoch, wanted, plan.batch_size, stay=capturing):
                 spent = [0.0]
                 readout = self._readout(state.centers)
                 assign = self._low(search.assign(rounded(readout, self.precision), done < n, spent))
                 found, size = _totals(batch, assign, k, d, spent)
+                if capturing:
+                    labelled = mapped(batch.select("id", "features"), d, {"label": "int"}, lambda x, assign=assign: [pa.array(assign(x)[0].astype(np.int32))])
+                    captured.append(cut(labelled.select("id", "label")))
                 done, seen = done + size, seen + size
                 objective += found.inertia
                 of_batch = found.evaluated if search.cells is not None else size * k
@@ -289,6 +301,8 @@ class EMeans(Centers):
                             values[children], values[donors] = half, half
                     splits += len(children)
                 search.weigh(step, False, all_evaluated / max(1, done * k))
+            if capturing:
+                self.captured_ = reduce(DataFrame.unionByName, captured)
             search.weigh(step, True, all_evaluated / max(1, done * k))
             stats.append({"epoch": epoch + 1, "rows": seen, "steps": step, "moving_objective": objective, "moving_mse": objective / max(seen, 1), "splits": splits, "evaluated_fraction": evaluated / max(1, seen * k), "cell_builds": search.builds, "search": search.name})
         closed = state.close_counts > plan.least_closing

@@ -234,6 +234,18 @@ def test_memory_and_spark_give_one_result(spark, kind):
     assert [s["rows"] for s in one.epoch_stats_][0] == 141
 
 
+@pytest.mark.parametrize("kind", [EMeans, OMeans])
+def test_assignments_of_the_last_pass(spark, kind):
+    rows = frame(spark, BLOBS)
+    model = kind(3, max_iter=2, batch_size=30, init=BLOBS[[0, 47, 94]], unused_threshold=0.0)
+    plain = kind(3, max_iter=2, batch_size=30, init=BLOBS[[0, 47, 94]], unused_threshold=0.0).fit(rows)
+    ready = model.prepare(rows)
+    model.train(ready, capture_assignments=True)
+    assert model.cluster_centers_ == pytest.approx(plain.cluster_centers_)
+    found = model.captured_.orderBy("id").toPandas()
+    assert found["id"].tolist() == list(range(141)) and found["label"].tolist() == np.repeat([0, 1, 2], 47).tolist()
+
+
 def test_fit_is_good_on_blobs(spark):
     rows = frame(spark, BLOBS)
     best = KMeans(3, random_state=0).fit(rows).inertia_
