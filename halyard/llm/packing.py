@@ -34,7 +34,7 @@ from halyard.session import cut
 GROUP = 32768
 ISLANDS = 3
 ROUNDS = 3
-POPULATION = 4
+POPULATION = 6
 CHILDREN = 60
 #: Bytes of ids that one Arrow batch holds at most, but for a single piece.
 BATCH = 1 << 22
@@ -123,11 +123,13 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
 def crossover(sizes: np.ndarray, one: np.ndarray, other: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """A child: whole well-filled bins of ``other`` replace the bins of ``one`` that hold their items."""
     fill = np.bincount(other, sizes)
-    good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    chosen = rng.choice(good, max(1, len(good) // 12), replace=False)
+    good = np.flatnonzero(fill >= np.quantile(fill, 0.9))
+    chosen = rng.choice(good, max(1, len(good) // 2), replace=False)
     injected = np.isin(other, chosen)
     own = np.bincount(one, sizes)
-    loose = np.argsort(own, kind="stable")[: max(2, len(own) // 50)]  # mutation: the emptiest bins go too
+    # mutation: some bins go too, the likelier the emptier they are
+    room = capacity - own + 1e-3
+    loose = rng.choice(len(own), min(len(own), max(2, len(own) // 10)), replace=False, p=room / room.sum())
     removed = np.isin(one, np.union1d(one[injected], loose))
     child = np.where(injected, other + len(own), np.where(removed, -1, one))
     displaced = np.flatnonzero(child < 0)
@@ -193,11 +195,12 @@ def near_fit(sizes: np.ndarray, capacity: int, slack: int) -> np.ndarray:
 
 
 def first_population(sizes: np.ndarray, capacity: int, rng: np.random.Generator, size: int) -> list[np.ndarray]:
-    """Near fits of different slack, and best fit by falling length."""
+    """Near fits of different slack, best fit by falling length, and best fits in random order, which crossover has the more to take from."""
     none = np.full(len(sizes), -1)
-    found = [near_fit(sizes, capacity, 1 + int(slack)) for slack in rng.permutation(4)[: size - 1]]
+    found = [near_fit(sizes, capacity, 1 + int(slack)) for slack in rng.permutation(4)[: size // 2]]
+    found.append(best_fit(sizes, np.lexsort((rng.random(len(sizes)), -sizes)), none, capacity))
     while len(found) < size:
-        found.append(best_fit(sizes, np.lexsort((rng.random(len(sizes)), -sizes)), none, capacity))
+        found.append(best_fit(sizes, rng.permutation(len(sizes)), none, capacity))
     return found
 
 
