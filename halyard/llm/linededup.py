@@ -781,6 +781,24 @@ def classes(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: i
     return every.select("doc_id", "line_no", own[0].alias("class_doc_id"), own[1].alias("class_line_no"), "links", kept)
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the lines of some numbers."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, numbers in batches:
+            out = []
+            for one, some in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
+                barred = set(some or ())
+                out.append(None if one is None else "\n".join(line for k, line in enumerate(one.split("\n")) if k not in barred))
+            yield pa.array(out, pa.string())
+
+    @F.arrow_udf("string")
+    def strip(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from tidy(run)(batches)
+
+    return strip(text, gone)
+
+
 def deduplicate(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_word: int | None = None) -> DataFrame:
     """``docs`` without the lines that are not the first of their class; no document is dropped.
 
@@ -792,9 +810,9 @@ def deduplicate(docs: DataFrame, max_edits: int = 2, per_edit: int = 16, per_wor
     gone = gone.groupBy(F.col("doc_id").alias("_of"), "text_hash").agg(F.collect_set("line_no").alias("_gone"))
     row = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     joined = row.join(gone, (F.col("_id") == F.col("_of")) & (F.col("_hash") == F.col("text_hash")), "left")
-    lines = F.split(F.col("_row.text"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    changes = F.col("_gone").isNotNull()
+    # only texts that change go to Python
+    text = F.when(changes, _without(F.when(changes, F.col("_row.text")), F.col("_gone"))).otherwise(F.col("_row.text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_row.n_chars")).otherwise(F.length(text).cast("long"))
