@@ -9,14 +9,20 @@ at such a shingle, and whose sizes, places in the order and parities allow a lin
 verified on the whole sets (of 64-bit hashes). Parities are the counts, modulo 2, of a
 set's shingles in 2,048 buckets; of two sets they differ in no more bits than shingles.
 
-A text takes part once a task, whatever the number of copies. A shingle with more
-than ``CROWD`` rows makes no pairs: its whole sets are compared where they
-meet, in parts of ``PART``, and a forest of what links is passed on.
+A text takes part once a task, whatever the number of copies. A shingle with more than
+``CROWD`` rows is crowded and makes no pairs at first. In each of ``ROUNDS`` rounds every
+text goes, with its whole set, to one of its crowded shingles, where sets are compared
+and a forest of what links is passed on; that finds most links of a large group of near
+copies at the cost of a few shingles, not of all that the group shares. Then, at every
+crowded shingle that holds texts of several components, in parts of ``PART``, the texts
+outside the largest component are held against all others, and only pairs of different
+components whose parities allow a link are verified. So no component is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.graph import local_roots
+from halyard.llm.graph import components
 from halyard.llm.simhash import fingerprint
 from halyard.llm.terms import sampled
 from halyard.llm.workers import tidy
@@ -34,7 +40,7 @@ SEED = 42
 #: Documents of the sample, and how many of them have a frequent shingle.
 SAMPLE, FREQUENT = 8000, 3
 #: Rows of a shingle beyond which sets are compared in place; sets of one part.
-CROWD, PART = 256, 2048
+CROWD, PART, ROUNDS = 256, 2048, 2
 #: Pairs compared at once, texts that a task remembers having sent, ids that are broadcast at most.
 PAIRS, SEEN, BROADCAST_IDS = 1 << 19, 1 << 17, 1 << 19
 #: Bits that say in which bucket a shingle is.
@@ -107,15 +113,16 @@ def apart(a: np.ndarray | int, b: np.ndarray | int, similarity: float) -> np.nda
     return np.floor((np.asarray(a) + b) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def promising(size: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets have parities (rows of uint64) that allow a link with another one."""
-    found = np.zeros(len(size), bool)
-    for i in range(len(size) - 1):
-        differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int64)
-        near = differ <= apart(size[i + 1 :], size[i], similarity)
-        found[i] |= near.any()
-        found[i + 1 :] |= near
-    return found
+def outside(ident: np.ndarray, size: np.ndarray, bits: np.ndarray, component: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of sets of different components whose parities (rows of uint64) allow a link; every one that is not inside the largest component is held against all."""
+    _, of, count = np.unique(component, return_inverse=True, return_counts=True)
+    pairs = []
+    for i in np.flatnonzero(of != count.argmax()):
+        other = np.flatnonzero(of != of[i])
+        differ = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
+        near = other[differ <= apart(size[other], size[i], similarity)]
+        pairs.append(np.stack([np.minimum(ident[near], ident[i]), np.maximum(ident[near], ident[i])], 1))
+    return np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
 
 
 def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
@@ -123,8 +130,8 @@ def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(one) + len(two) - shared) - 1e-9
 
 
-def forest(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links among sets, breadth first: each is compared with those that nothing has reached yet."""
+def forest(ident: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links among sets, breadth first: each is compared with those that nothing has reached yet, first by parity."""
     size = np.array([len(s) for s in sets])
     us, vs = [], []
     rest, todo = np.arange(len(sets)), []
@@ -132,7 +139,8 @@ def forest(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> tup
         if not todo:
             todo, rest = [rest[0]], rest[1:]
         pivot = todo.pop()
-        may = np.flatnonzero((least(np.maximum(size[rest], size[pivot]), similarity) <= np.minimum(size[rest], size[pivot])))
+        differ = np.bitwise_count(bits[rest] ^ bits[pivot]).sum(1, dtype=np.int64)
+        may = np.flatnonzero(differ <= apart(size[rest], size[pivot], similarity))
         if not len(may):
             continue
         many = np.concatenate([sets[i] for i in rest[may]])
@@ -140,15 +148,12 @@ def forest(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> tup
         of = size[rest[may]]
         shared = np.add.reduceat((sets[pivot][at] == many).astype(np.int64), np.cumsum(of) - of)
         near = may[shared >= similarity * (of + size[pivot] - shared) - 1e-9]
-        us.append(prints[rest[near]])
-        vs.append(np.full(len(near), prints[pivot]))
+        us.append(ident[rest[near]])
+        vs.append(np.full(len(near), ident[pivot]))
         todo.extend(rest[near])
         rest = np.delete(rest, near)
     u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-    if not (u != v).any():
-        return u[:0], v[:0]
-    nodes, roots = local_roots(u, v)
-    return nodes[nodes != roots], roots[nodes != roots]
+    return u, v
 
 
 def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
@@ -227,13 +232,18 @@ def links(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int =
             ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= apart(batch.column(3).to_numpy(), batch.column(5).to_numpy(), similarity)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], ["u", "v"])
 
-    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parities(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, 2):
             key = np.stack([rows.column(c).to_numpy() for c in range(2)])
             cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-            size, bits = rows.column(3).to_numpy(), np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-            ok = pa.array(np.concatenate([promising(size[lo:hi], bits[lo:hi], similarity) for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True)]))
-            yield pa.RecordBatch.from_arrays([rows.column(c).filter(ok) for c in range(3)], ["key", "part", "id"])
+            ident, size, bits, component = rows.column(2).to_numpy(), rows.column(3).to_numpy(), parities(rows.column(4)), rows.column(5).to_numpy()
+            for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):
+                found = outside(ident[lo:hi], size[lo:hi], bits[lo:hi], component[lo:hi], similarity)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,12 +255,19 @@ def links(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int =
         for rows in grouped(batches, 2):
             key = np.stack([rows.column(c).to_numpy() for c in range(2)])
             cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-            prints, sets = rows.column(2).to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(3)]
+            ident, bits, sets = rows.column(2).to_numpy(), parities(rows.column(3)), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(4)]
             for lo, hi in zip(cuts, [*cuts[1:], len(sets)], strict=True):
-                u, v = forest(prints[lo:hi], sets[lo:hi], similarity)
+                u, v = forest(ident[lo:hi], bits[lo:hi], sets[lo:hi], similarity)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    def fetched(ids: DataFrame) -> DataFrame:
+        """id, fp and own (the whole set) of some texts."""
+        ids = cut(ids.distinct())
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        found = texts.mapInArrow(tidy(whole), "id long, text string").join(few, "id", "left_semi").mapInArrow(tidy(made), "id long, fp long, own binary")
+        return cut(found.groupBy("id").agg(F.first("fp").alias("fp"), F.first("own").alias("own")))
+
     begun = cut(texts.mapInArrow(tidy(begin), "id long, size int, bits binary, keys array<long>"))
     spreaded = begun.select(F.posexplode("keys").alias("place", "key"), "id", "size").select("key", "id", "size", "place")
     met = cut(spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(pairs), "u long, v long, crowded long").distinct())
@@ -259,24 +276,35 @@ def links(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int =
     meeting = met.where(F.col("u").isNotNull()).select("u", "v").join(left, "u").join(right, "v")
     meeting = cut(meeting.select("u", "v", "u_bits", "u_size", "v_bits", "v_size").mapInArrow(tidy(near), "u long, v long"))
     hot = met.where(F.col("crowded").isNotNull()).select(F.col("crowded").alias("key"))
-    crowded = not hot.isEmpty()
-    ids = meeting.select(F.explode(F.array("u", "v")).alias("id"))
-    if crowded:
-        hot_rows = cut(spreaded.join(hot, "key", "left_semi").select("key", "id").distinct())
-        parts = hot_rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    known = None
+    if not hot.isEmpty():
+        rows = cut(spreaded.join(hot, "key", "left_semi").select("key", "id").distinct())
+        known = fetched(rows.select("id"))
+        sketched = cut(sketches.join(known.select("id"), "id", "left_semi"))
+        told = known.join(sketched.select("id", "bits"), "id").select("id", "bits", "own")
+        joined = []
+        for r in range(ROUNDS):
+            chosen = rows.groupBy("id").agg(F.min_by("key", F.xxhash64("key", F.lit(SEED + r))).alias("key"))
+            # a part holds PART sets in the mean; what lies in different parts is found below
+            parts = chosen.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+            dealt = chosen.join(parts, "key").join(told, "id").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long").alias("part"), "id", "bits", "own")
+            joined.append(cut(dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(compare), "u long, v long")))
+        joined = reduce(DataFrame.unionByName, joined)
+        reach = components(joined)
+        placed = cut(rows.join(reach, rows["id"] == reach["node"], "left").select("key", "id", F.coalesce("root", "id").alias("component")))
+        several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("a <> b").select("key", "parts")
         own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own).cast("long") * (1 << 31) + F.greatest(o, own))
-        dealt = hot_rows.join(parts, "key").withColumn("part", F.explode(every)).join(sketches, "id").select("key", "part", "id", "size", "bits")
-        hot_rows = cut(dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(hopeful), "key long, part long, id long"))
-        ids = ids.unionByName(hot_rows.select("id"))
-    ids = cut(ids.distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = texts.mapInArrow(tidy(whole), "id long, text string").join(few, "id", "left_semi").mapInArrow(tidy(made), "id long, fp long, own binary")
-    sets = cut(sets.groupBy("id").agg(F.first("fp").alias("fp"), F.first("own").alias("own")))
+        dealt = placed.join(several, "key").withColumn("part", F.explode(every)).join(sketched, "id").select("key", "part", "id", "size", "bits", "component")
+        more = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(tidy(across), "u long, v long")
+        meeting = cut(meeting.unionByName(more).distinct())
+    ids = meeting.select(F.explode(F.array("u", "v")).alias("id"))
+    sets = fetched(ids) if known is None else known.unionByName(fetched(ids.join(known.select("id"), "id", "left_anti")))
     left, right = (sets.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("own").alias(f"{c}_own")) for c in "uv")
     both = meeting.join(left, "u").join(right, "v").select("u_fp", "u_own", "v_fp", "v_own").where("u_fp <> v_fp")
     found = both.mapInArrow(tidy(verify), "u long, v long")
-    if crowded:
-        dealt = hot_rows.join(sets, "id").select("key", "part", "fp", "own").repartition("key", "part").sortWithinPartitions("key", "part")
-        found = found.unionByName(dealt.mapInArrow(tidy(compare), "u long, v long"))
+    if known is not None:
+        prints = sets.select("id", "fp")
+        ends = joined.join(prints.select(F.col("id").alias("u"), F.col("fp").alias("u_fp")), "u").join(prints.select(F.col("id").alias("v"), F.col("fp").alias("v_fp")), "v")
+        found = found.unionByName(ends.where("u_fp <> v_fp").select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v")))
     return found.distinct()
