@@ -101,7 +101,9 @@ def test_groups_of_odd_rows(docs, odd_rows):
     assert simhash.deduplicate(docs([])).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("broadcast", [0, 1 << 18])
+def test_components_of_chains_and_stars(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(graph, "BROADCAST", broadcast)
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
     loops = [(5000, 5000), (6000, 6001), (6001, 6000), (6001, None)]
