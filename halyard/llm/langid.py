@@ -208,13 +208,13 @@ def fit(docs: DataFrame, sample: int = 4000, runs: int = 80_000, languages: int
     part of about ``sample`` documents, or all it has; of all runs of their whole texts
     about ``runs`` take part.
     """
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(languages)
-    part = F.lit(float(sample)) / F.lit(max(1, counts.count()))
-    rate = counts.select("_lang", (part / F.col("_n")).alias("_rate"))
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    rates = [(r["lang"], sample / len(counts) / r["count"]) for r in counts]
     steps = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(steps))
-    chosen = known.join(F.broadcast(rate), (F.col("lang") == F.col("_lang")) & (draw < steps * F.col("_rate")))
+    rate = docs.sparkSession.createDataFrame(rates, "_lang string, _rate double")
+    chosen = known.join(F.broadcast(rate), (F.col("lang") == F.col("_lang")) & (draw < steps * F.col("_rate"))).where(F.col("text").isNotNull())
     chosen = cut(chosen.select("doc_id", "lang", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
