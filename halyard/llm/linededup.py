@@ -696,13 +696,15 @@ def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     if crowded.isEmpty():
         return pairs
     crowded = cut(crowded)
+    few = crowded.count() <= BROADCAST_IDS  # then the rows of a crowded key stay where they are until it is split
+    near = F.broadcast if few else lambda small: small
     of = F.pmod(F.col("crowded").bitwiseAND(F.lit((1 << (64 - HASH)) - 1)), F.lit(buckets)).cast("int")
-    hot = _by_row(packed.join(crowded.select(of.alias("bucket")).distinct(), "bucket", "left_semi")).join(crowded, bare == F.col("crowded"))
+    hot = _by_row(packed.join(near(crowded.select(of.alias("bucket")).distinct()), "bucket", "left_semi")).join(near(crowded), bare == F.col("crowded"))
     counted = cut(hot.groupBy("crowded").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     # every filed row goes to one part, every probing row to all parts
     own = F.array(F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
     probes = F.col("key").bitwiseAND(F.lit(PROBES)) != 0
-    split = hot.join(counted, "crowded").withColumn("part", F.explode(F.when(probes, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    split = hot.join(near(counted), "crowded").withColumn("part", F.explode(F.when(probes, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     dealt = split.select("key", "h1", "sketch", "part").repartition(bare, "part").sortWithinPartitions("part", "key")
     return cut(pairs.unionByName(_meeting(dealt, rule, float("inf")).select("u", "v")).distinct())
 
