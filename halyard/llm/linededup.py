@@ -661,7 +661,7 @@ def _meeting(dealt: DataFrame, rule: Rule, crowd: float) -> DataFrame:
                 now = joined(held)
                 filed = int(((now.column(0).to_numpy() & PROBES) == 0).sum())
                 yield from answer(now)
-                held, rows = [now.slice(0, filed)], filed
+                held, rows = [now.slice(0, filed)] if filed else [], filed  # without filed rows the part has no pairs
             elif rows > MOST:
                 over = held[0].column(0)[0].as_py() >> HASH
                 held, rows = [], 0

@@ -249,6 +249,16 @@ def test_rows_of_one_key_beyond_memory_are_split(docs, monkeypatch, per_word):
     assert sorted(map(tuple, linededup.classes(docs(rows), per_word=per_word).collect()), key=str) == brute(rows, per_word)
 
 
+def test_a_part_of_probing_rows_alone_has_no_pairs(spark, monkeypatch):
+    """A part beyond memory into which no filed row was dealt, before and between others."""
+    monkeypatch.setattr(linededup, "MOST", 3)
+    rows = [(key << linededup.HASH | linededup.PROBES, 100 * key + n, 0, 0) for key in (1, 3) for n in range(9)]
+    rows += [(2 << linededup.HASH, 7, 0, 0), *((2 << linededup.HASH | linededup.PROBES, n, 0, 0) for n in range(9))]
+    dealt = spark.createDataFrame(rows, "key long, h1 long, sketch long, part int").coalesce(1).sortWithinPartitions("part", "key", "h1")
+    found = linededup._meeting(dealt, RULE, float("inf")).select("u", "v").distinct().collect()
+    assert sorted(map(tuple, found)) == [(min(n, 7), max(n, 7)) for n in range(9) if n != 7]
+
+
 def test_keys_of_short_lines():
     line, *_ = linededup.keys(["x" * 16], RULE)
     assert len(line) and np.all(line == 0)
