@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from halyard.operators.emeans import EMeans, OMeans
 from halyard.operators.kmeans import KMeans, plus_plus
 from halyard.operators.linear import LogisticRegression, reference_objective
 from halyard.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor, NearestNeighbors
-from halyard.operators.svm import SVC, kernel_matrix, kkt_violations, resolve_gamma
-from halyard.plans.nearest import collected, mapped
+from halyard.operators.svm import SVC, kkt_violations, resolve_gamma
+from halyard.operators.svm import kernel_sums as sums_of_kernels
 from halyard.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,16 +494,9 @@ def svc_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("WITH s AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x FROM supplier) SELECT a.id, round(sum(exp(-0.5 * (a.x - b.x) * (a.x - b.x))), 6) AS rbf, round(sum((0.1 * a.x * b.x + 1) ** 2), 4) AS poly, round(sum(tanh(0.01 * a.x * b.x)), 6) AS sigmoid, round(sum(a.x * b.x), 4) AS linear FROM s a, s b GROUP BY a.id")
 def kernel_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of four kernels between every supplier and all of them."""
-    rows = _suppliers(spark, sf_dir)
-    shared = spark.sparkContext.broadcast(collected(rows, 1)[1])
-
-    def compute(x: np.ndarray) -> list:
-        own = shared.value
-        values = ({"kernel": "rbf", "gamma": 0.5}, {"kernel": "poly", "gamma": 0.1, "degree": 2, "coef0": 1.0}, {"kernel": "sigmoid", "gamma": 0.01}, {"kernel": "linear"})
-        return [pa.array(np.round(kernel_matrix(x, own, **v).sum(1), d)) for v, d in zip(values, (6, 4, 6, 4), strict=True)]
-
-    found = mapped(rows.select("id", "features"), 1, {"rbf": "double", "poly": "double", "sigmoid": "double", "linear": "double"}, compute)
-    return found.drop("features")
+    kernels = {"rbf": {"kernel": "rbf", "gamma": 0.5}, "poly": {"kernel": "poly", "gamma": 0.1, "degree": 2, "coef0": 1.0}, "sigmoid": {"kernel": "sigmoid", "gamma": 0.01}, "linear": {"kernel": "linear"}}
+    found = sums_of_kernels(_suppliers(spark, sf_dir), 1, kernels)
+    return found.select("id", *(F.round(name, d).alias(name) for name, d in zip(kernels, (6, 4, 6, 4), strict=True)))
 
 
 @_query("SELECT p::INT AS pair, 0::BIGINT AS violations FROM range(45) t(p)")

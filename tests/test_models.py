@@ -293,3 +293,21 @@ def test_partitions_do_not_matter(spark):
         assert a == pytest.approx(b, abs=1e-9)
 
 
+
+
+@pytest.mark.parametrize("tuning", [{}, {"block_bytes": 200, "broadcast_bytes": 1}])
+def test_kernel_sums_hold_a_tile_at_a_time(spark, tuning, monkeypatch):
+    x = np.random.default_rng(2).integers(-4, 5, (300, 1)) / 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    kernels = {"a": {"kernel": "rbf", "gamma": 0.5}, "b": {"kernel": "poly", "gamma": 0.1, "degree": 2, "coef0": 1.0}}
+    with tuning_context(tile_values=20, **tuning):
+        found = {r["id"]: (r["a"], r["b"]) for r in svm.kernel_sums(rows, 1, kernels).collect()}
+    want = np.stack([kernel_matrix(x, x, **kernel).sum(1) for kernel in kernels.values()], 1)
+    assert [found[i] for i in range(300)] == [pytest.approx(tuple(w)) for w in want]
+
+    def small(a, b, **kernel):
+        assert len(a) * len(b) <= 20
+        return kernel_matrix(a, b, **kernel)
+
+    monkeypatch.setattr(svm, "kernel_matrix", small)
+    assert svm._tiled_sums(x, x, np.ones(300), kernels["a"], 20) == pytest.approx(want[:, 0])
