@@ -2,7 +2,8 @@
 
 Two texts link if the Jaccard similarity of their sets of shingles (lower-cased
 words) is ``similarity`` or more. Shingles have one order for all documents: those
-that are frequent in a bounded sample come last. Of two sets that alike one shingle
+that are frequent in a sample come last. The sample grows with the table, so that a
+shingle of ``CROWD`` documents is frequent in a table of any size. Of two sets that alike one shingle
 at least is among the first ``n - ceil(similarity * n) + 1`` of either, whatever the
 order, so the sample decides what is quick but never what is found. Pairs that meet
 at such a shingle, and whose sizes, places in the order and parities allow a link, are
@@ -37,8 +38,8 @@ from halyard.llm.workers import tidy
 from halyard.session import cut
 
 SEED = 42
-#: Documents of the sample, and how many of them have a frequent shingle.
-SAMPLE, FREQUENT = 8000, 3
+#: Least documents of the sample, how many of them have a frequent shingle, and the frequent shingles kept at most.
+SAMPLE, FREQUENT, KNOWN = 8000, 3, 1 << 20
 #: Rows of a shingle beyond which sets are compared in place; sets of one part.
 CROWD, PART, ROUNDS = 256, 2048, 2
 #: Pairs compared at once, texts that a task remembers having sent, ids that are broadcast at most.
@@ -104,6 +105,11 @@ def meet(key: np.ndarray, ident: np.ndarray, size: np.ndarray, place: np.ndarray
     return np.concatenate(found) if found else np.empty((0, 2), np.int64), key[first[count > crowd]]
 
 
+def sample_size(documents: int) -> int:
+    """Documents of the sample: at least so many that a shingle of ``CROWD`` documents is expected in twice ``FREQUENT``."""
+    return max(SAMPLE, -(-2 * FREQUENT * documents // CROWD))
+
+
 def parity(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS) & 1).tobytes()
 
@@ -176,11 +182,15 @@ def links(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int =
     """(u, v): SimHash fingerprints (of ``width`` words) of documents that link; pairs of one fingerprint are left out."""
     spark = docs.sparkSession
     texts = docs.select("text").where(F.col("text").isNotNull())
-    some = sampled(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), F.col("doc_id"), SAMPLE, SEED).select("text").mapInArrow(
+    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    some = sampled(named, F.col("doc_id"), sample_size(docs.count()), SEED).select("text").mapInArrow(
         tidy(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(_words(t.as_py()), words) for t in b.column(0)] or [np.empty(0, np.uint64)]).view(np.int64))], ["h"]) for b in batches)), "h long"
     )
-    # at most SAMPLE documents' shingles: those of FREQUENT or more
-    top = some.groupBy("h").count().where(F.col("count") >= FREQUENT).toArrow()
+    # those of FREQUENT sampled documents or more; should they be more than KNOWN, of more documents
+    often = cut(some.groupBy("h").count().where(F.col("count") >= FREQUENT))
+    each = sorted(often.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True)
+    few = np.searchsorted(np.cumsum([r["n"] for r in each]), KNOWN, "right")
+    top = often.where(F.col("count") > (each[few]["count"] if few < len(each) else 0)).toArrow()
     frequent, count = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[order], count[order]))

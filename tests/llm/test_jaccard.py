@@ -76,3 +76,23 @@ def test_odd_rows(docs, odd_rows):
     assert jaccard.links(frame).count() == 0
     assert jaccard.links(docs([])).count() == 0
     assert simhash.deduplicate(frame, more=jaccard.links(frame)).count() == simhash.deduplicate(frame).count()
+
+
+def test_the_sample_grows_with_the_table():
+    """A shingle of CROWD documents is known to be frequent in a table of any size."""
+    for n in (1, 8000, 10**6, 10**9):
+        assert jaccard.sample_size(n) >= jaccard.SAMPLE
+        assert jaccard.sample_size(n) * jaccard.CROWD >= 2 * jaccard.FREQUENT * n
+
+
+def test_few_shingles_are_known_and_no_link_is_lost(docs, monkeypatch):
+    """In a small sample of a crowded table, and with room for the most frequent shingles alone."""
+    rows = fixture()
+    found = []
+    for known in (1 << 20, 5, 0):
+        for name, value in (("SAMPLE", 20), ("CROWD", 12), ("KNOWN", known)):
+            monkeypatch.setattr(jaccard, name, value)
+        found.append(sorted(tuple(sorted((r["u"], r["v"]))) for r in jaccard.links(docs(rows)).collect()))
+    assert found[0]
+    components = [simhash.local_roots(*np.array(f).T) for f in found]
+    assert all(np.array_equal(a, b) for c in components[1:] for a, b in zip(components[0], c, strict=True))
