@@ -311,3 +311,20 @@ def test_kernel_sums_hold_a_tile_at_a_time(spark, tuning, monkeypatch):
 
     monkeypatch.setattr(svm, "kernel_matrix", small)
     assert svm._tiled_sums(x, x, np.ones(300), kernels["a"], 20) == pytest.approx(want[:, 0])
+
+
+def test_large_pairs_compute_few_kernel_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 3)), np.where(np.arange(300) % 2, 1.0, -1.0)
+    whole = solve(x, y, np.ones(300), 1e-6, 10**6, kernel="rbf", gamma=0.5)
+    most = []
+
+    def counted(a, b, **kernel):
+        most.append(len(a))
+        return kernel_matrix(a, b, **kernel)
+
+    monkeypatch.setattr(svm, "GRAM", 100)
+    monkeypatch.setattr(svm, "kernel_matrix", counted)
+    alpha, rho, _, converged = solve(x, y, np.ones(300), 1e-6, 10**6, cache_mb=0.1, kernel="rbf", gamma=0.5)
+    assert converged and max(most) <= 32
+    assert alpha == pytest.approx(whole[0], abs=1e-4) and rho == pytest.approx(whole[1], abs=1e-5)
